@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, sharding
+from tessera.llm import mixing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharding.op1_shard_documents,
+    "op4_quality_rules": quality.op4_quality_rules,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
 
 SQL: dict[str, str] = {
+    "op4_quality_rules": quality.ORACLE_SQL,
     "op8_mix_sources": mixing.ORACLE_SQL,
 }
