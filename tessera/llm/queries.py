@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, mixing, quality, secrets, sharding
+from tessera.llm import bpe, langid, mixing, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharding.op1_shard_documents,
+    "op2_language_id": langid.op2_language_id,
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op8_mix_sources": mixing.op8_mix_sources,
