@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, langid, mixing, quality, secrets, sharding
+from tessera.llm import bpe, langid, mixing, quality, secrets, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharding.op1_shard_documents,
@@ -15,9 +15,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": secrets.op6_secret_scan,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 
 SQL: dict[str, str] = {
     "op4_quality_rules": quality.ORACLE_SQL,
     "op8_mix_sources": mixing.ORACLE_SQL,
+    "op10_substring_dedup": substrings.ORACLE_SQL,
 }
