@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, langid, mixing, quality, secrets, sharding, substrings
+from tessera.llm import bpe, jaccard, langid, mixing, quality, secrets, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharding.op1_shard_documents,
     "op2_language_id": langid.op2_language_id,
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_substring_dedup": substrings.op10_substring_dedup,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op4_quality_rules": quality.ORACLE_SQL,
+    "op7_jaccard_join": jaccard.ORACLE_SQL,
     "op8_mix_sources": mixing.ORACLE_SQL,
     "op10_substring_dedup": substrings.ORACLE_SQL,
 }
