@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, jaccard, langid, mixing, quality, scoring, secrets, sharding, substrings
+from tessera.llm import bpe, forest, jaccard, langid, mixing, quality, scoring, secrets, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharding.op1_shard_documents,
     "op2_language_id": langid.op2_language_id,
     "op3_lm_scores": scoring.op3_lm_scores,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_nearest_vectors": forest.op5_nearest_vectors,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_mix_sources": mixing.op8_mix_sources,
