@@ -70,7 +70,7 @@ def mix_sources(
     draw: str = "draw",
     weights: tuple[int, ...] = WEIGHTS,
     most_epochs: int = MOST_EPOCHS,
-    rows_per_range: int = 20_000,
+    rows_per_range: int = 2_000,
     most_broadcast: int = 10_000,
 ) -> DataFrame:
     """``docs`` with ``mix_source_size``, ``mix_target``, ``mix_copies`` (whole copies taken) and ``mix_taken``.
@@ -128,7 +128,7 @@ def with_draws(docs: DataFrame) -> DataFrame:
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_draws(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "weight", "draw")
-    return mix_sources(docs).select(
+    return mix_sources(materialize(docs)).select(
         "doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken")
     )
 
