@@ -15,9 +15,14 @@ from tessera.llm import bpe, jaccard, mixing, quality, secrets
 from tessera.llm.common import materialize, table
 
 
+def _boxed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns that an operator needs beside the whole document, so that no name of a document's own columns clashes."""
+    return docs.select(F.struct("*").alias("document"), *columns)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality rules reject."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    return quality.judge(_boxed(docs, "text", "lang", "source"), keep_text=False).where("kept").select("document.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,21 +31,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without an id keep to themselves.
     """
     groups = jaccard.jaccard_groups(docs)
-    first = groups.where((F.col("component_id") == F.col("doc_id")) | (F.col("n_shingles") == 0)).select(F.col("doc_id").alias("stays")).where(F.col("stays").isNotNull()).distinct()
-    named = docs.join(first, F.col("doc_id") == F.col("stays"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    stays = groups.where((F.col("component_id") == F.col("doc_id")) | (F.col("n_shingles") == 0)).where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.where(F.col("doc_id").isNull()))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the kind of a secret in its place; n_chars follows."""
-    cut = secrets.redact(secrets.find_secrets(docs))
-    return cut.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    found = secrets.find_secrets(_boxed(docs, "doc_id", "text", "source"), keep_text=False)
+    cut = secrets.redact(found.withColumn("text", F.col("document.text")))
+    n_chars = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("document.n_chars"))
+    return cut.select(F.col("document").withField("text", F.col("text")).withField("n_chars", n_chars).alias("document")).select("document.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats each document as often as the mix takes it."""
-    mixed = mixing.mix_sources(materialize(mixing.with_draws(docs))).where("mix_copies > 0")
-    return mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    drawn = mixing.with_draws(_boxed(docs, "doc_id", "text", "source")).drop("text")
+    mixed = mixing.mix_sources(materialize(drawn)).where("mix_copies > 0")
+    return mixed.select("document", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("document.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -234,8 +234,9 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     ``und`` (score 0, no cross-entropy, rejected) for a null text, one without any letter, or without
     a model. score is the calibrated share of that language. rejected says that the text is less
     like the language than nearly all calibration documents. Equal texts get equal results; an empty
-    table gives an empty table. Other columns stay.
+    table gives an empty table. Other columns stay, but for those named as a result.
     """
+    docs = docs.drop("lang_pred", "score", "cross_entropy", "rejected", "langid_mean")
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNDECIDED), "score": F.lit(0.0), "cross_entropy": F.lit(None).cast("double"), "rejected": F.lit(True)})
     spark = docs.sparkSession
@@ -245,12 +246,12 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     odds = F.aggregate(mean, F.lit(0.0), lambda a, x: a + F.exp((best - x) / model.temperature))
     names, limits = F.array(*[F.lit(x) for x in model.langs]), F.array(*[F.lit(float(x)) for x in model.limit])
     return docs.withColumn("langid_mean", _entropies(spark.sparkContext.broadcast(model))(F.col(text))).select(
-        *docs.columns,
+        "*",
         F.when(mean.isNull(), UNDECIDED).otherwise(F.element_at(names, at)).alias("lang_pred"),
         F.when(mean.isNull(), 0.0).otherwise(1 / odds).alias("score"),
         best.alias("cross_entropy"),
         F.when(mean.isNull(), True).otherwise(best > F.element_at(limits, at)).alias("rejected"),
-    )
+    ).drop("langid_mean")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -81,8 +81,9 @@ def mix_sources(
 
     Null sources are one source. Empty documents (size 0) take part and change nothing. Repeated rows
     each count; rows with equal keys are ordered by nothing else, as they are equal. An empty table
-    gives an empty table. Other columns stay; names beginning with ``mix_`` are this operator's.
+    gives an empty table. Other columns stay, but for those named ``mix_*``.
     """
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("mix_")])
     key = -F.log(F.col(draw)) / F.col(weight)
     keyed = docs.withColumn("mix_key", key).withColumn("mix_source", F.col(source))
     totals = docs.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size"), F.count(F.lit(1)).alias("rows"))
@@ -94,12 +95,12 @@ def mix_sources(
         .drop("mix_name")
         .withColumn("mix_range", F.least(F.col("mix_ranges") - 1, F.floor(F.col("mix_ranges") * (1 - F.exp(-F.col("mix_key"))))))
     )
-    in_order = Window.partitionBy("at_source").orderBy("at_range").rowsBetween(Window.unboundedPreceding, -1)
+    in_order = Window.partitionBy("mix_at_source").orderBy("mix_at_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        ranged.groupBy(F.col("mix_source").alias("at_source"), F.col("mix_range").alias("at_range"))
-        .agg(F.sum(size).alias("at_size"))
-        .withColumn("mix_start", F.coalesce(F.sum("at_size").over(in_order), F.lit(0)))
-        .drop("at_size")
+        ranged.groupBy(F.col("mix_source").alias("mix_at_source"), F.col("mix_range").alias("mix_at_range"))
+        .agg(F.sum(size).alias("mix_at_size"))
+        .withColumn("mix_start", F.coalesce(F.sum("mix_at_size").over(in_order), F.lit(0)))
+        .drop("mix_at_size")
     )
     inside = Window.partitionBy("mix_source", "mix_range").orderBy("mix_key", draw).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     epochs = F.when(F.col("mix_source_size") > 0, F.floor(F.col("mix_target") / F.col("mix_source_size"))).otherwise(F.lit(0))
@@ -108,10 +109,10 @@ def mix_sources(
     middle = F.col("mix_start") + F.col("mix_sum") - F.col(size) / 2.0
     copies = (epochs + F.when((epochs < most_epochs) & (middle <= budget), 1).otherwise(0)).cast("int")
     return (
-        summed.join(starts, F.col("mix_source").eqNullSafe(F.col("at_source")) & (F.col("mix_range") == F.col("at_range")))
+        summed.join(starts, F.col("mix_source").eqNullSafe(F.col("mix_at_source")) & (F.col("mix_range") == F.col("mix_at_range")))
         .withColumn("mix_copies", copies)
         .withColumn("mix_taken", F.col("mix_copies") * F.col(size))
-        .drop("at_source", "at_range", "mix_key", "mix_source", "mix_ranges", "mix_range", "mix_start", "mix_sum")
+        .drop("mix_at_source", "mix_at_range", "mix_key", "mix_source", "mix_ranges", "mix_range", "mix_start", "mix_sum")
     )
 
 

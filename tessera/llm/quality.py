@@ -77,8 +77,8 @@ def _text_stats(texts: pa.Array) -> pa.Array:
 
 
 def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the columns of ``STATS`` for each whole text; a null text counts as empty."""
-    return docs.withColumn("quality_stats", _text_stats(F.col(text))).select(*docs.columns, "quality_stats.*")
+    """``docs`` with the columns of ``STATS`` for each whole text, in place of any of these names; a null text counts as empty."""
+    return docs.drop(*STATS).withColumn("quality_stats", _text_stats(F.col(text))).select("*", "quality_stats.*").drop("quality_stats")
 
 
 def bucket(value: Column) -> Column:
@@ -125,8 +125,10 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     base_failed: fewer than 50 words, or more than half of them in repeated windows of three words.
     kept: neither base_failed nor beyond a fence of its language and source. Null languages and
     sources are groups of their own. Null and empty texts have no words, so they fail. An empty table
-    gives an empty table. Repeated rows are judged alike. Other columns stay.
+    gives an empty table. Repeated rows are judged alike. Other columns stay, but for those named as
+    a result or ``quality_*`` or ``fence_*``.
     """
+    docs = docs.drop("base_failed", "broken", "kept", *[c for c in docs.columns if c.lower().startswith(("quality_", "fence_"))])
     measured = with_stats(docs, text)
     stats = materialize(measured if keep_text else measured.drop(text))
     limits = small(materialize(group_fences(stats, lang, source)), most_broadcast)

@@ -63,7 +63,7 @@ def split_counts(row: Column, drawn: Column, draws: Column) -> Column:
 
 
 def communication_matrix(counts: DataFrame, depth: int, shards: int, seed: int) -> DataFrame:
-    """(block, ends) from (block, rows): ``ends[s]`` rows of a block, in its own order, go to shards 0 to s.
+    """(shard_of, shard_ends) from (block, rows): ``shard_ends[s]`` rows of a block, in its own order, go to shards 0 to s.
 
     ``2 ** depth`` blocks; a block may be missing if it has no rows. One small array of block sizes is
     halved ``depth`` times.
@@ -87,7 +87,7 @@ def communication_matrix(counts: DataFrame, depth: int, shards: int, seed: int)
         )
         node = node.select(F.explode(halves).alias("h")).select("h.*")
     running = F.aggregate("row", F.array().cast("array<long>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long")) + x)))
-    return node.select(F.col("node").alias("block"), running.alias("ends"))
+    return node.select(F.col("node").alias("shard_of"), running.alias("shard_ends"))
 
 
 def shuffle_into_shards(
@@ -99,8 +99,9 @@ def shuffle_into_shards(
     tell rows apart: block and orders hang on their values and ``seed`` alone, so reruns and
     recomputed tasks agree. Rows that agree in all ``keys`` are ordered by nothing; they should be
     equal. Nulls in keys are values. An empty table gives an empty table; with fewer rows than shards
-    the last shards stay empty. Other columns stay; names beginning with ``shard_`` are this operator's.
+    the last shards stay empty. Other columns stay, but for those named ``shard``, ``slot`` or ``shard_*``.
     """
+    docs = docs.drop("shard", "slot", *[c for c in docs.columns if c.lower().startswith("shard_")])
     rows = docs.count()
     depth = min(most_depth, max(least_depth, (max(1, rows) // rows_per_block).bit_length()))
     ranges = max(1, rows // shards // rows_per_range)
@@ -112,26 +113,26 @@ def shuffle_into_shards(
     own = Window.partitionBy("shard_block").orderBy(random_bits(seed, "first", *at), *at)
     sent = (
         blocked.withColumn("shard_place", F.row_number().over(own))
-        .join(matrix, F.col("shard_block") == F.col("block"))
-        .withColumn("shard", F.size(F.filter("ends", lambda end: end < F.col("shard_place"))))
-        .drop("block", "ends", "shard_block", "shard_place")
+        .join(matrix, F.col("shard_block") == F.col("shard_of"))
+        .withColumn("shard", F.size(F.filter("shard_ends", lambda end: end < F.col("shard_place"))))
+        .drop("shard_of", "shard_ends", "shard_block", "shard_place")
         .withColumn("shard_bits", random_bits(seed, "second", *at))
         .withColumn("shard_range", F.floor(F.col("shard_bits") * F.lit(float(ranges)) / float(1 << 52)).cast("int"))
     )
     # the second one, of each shard, by ranges of its random keys
-    before = Window.partitionBy("in_shard").orderBy("in_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("shard_in_shard").orderBy("shard_in_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        sent.groupBy(F.col("shard").alias("in_shard"), F.col("shard_range").alias("in_range"))
-        .agg(F.count(F.lit(1)).alias("in_rows"))
-        .withColumn("in_start", F.coalesce(F.sum("in_rows").over(before), F.lit(0)))
-        .drop("in_rows")
+        sent.groupBy(F.col("shard").alias("shard_in_shard"), F.col("shard_range").alias("shard_in_range"))
+        .agg(F.count(F.lit(1)).alias("shard_in_rows"))
+        .withColumn("shard_in_start", F.coalesce(F.sum("shard_in_rows").over(before), F.lit(0)))
+        .drop("shard_in_rows")
     )
     inside = Window.partitionBy("shard", "shard_range").orderBy("shard_bits", *at)
     return (
         sent.withColumn("slot", F.row_number().over(inside).cast("long") - 1)
-        .join(starts, (F.col("shard") == F.col("in_shard")) & (F.col("shard_range") == F.col("in_range")))
-        .withColumn("slot", F.col("slot") + F.col("in_start"))
-        .drop("in_shard", "in_range", "in_start", "shard_bits", "shard_range")
+        .join(starts, (F.col("shard") == F.col("shard_in_shard")) & (F.col("shard_range") == F.col("shard_in_range")))
+        .withColumn("slot", F.col("slot") + F.col("shard_in_start"))
+        .drop("shard_in_shard", "shard_in_range", "shard_in_start", "shard_bits", "shard_range")
     )
 
 
