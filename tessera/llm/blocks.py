@@ -24,7 +24,7 @@ from tessera.llm.common import materialize
 
 #: The order of a null id: behind all others.
 NULL_ID = np.iinfo(np.int64).max
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 8 << 20
 BLOCKS = "block long, n int, ids array<long>, lengths array<long>, body binary"
 REQUESTS = "bucket int, block long, hashes binary, numbers array<binary>"
 REPLIES = "block long, bucket int, numbers array<binary>"
@@ -57,7 +57,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes:
             ids, texts = batch.column("key").take(pa.array(order)), batch.column("text").take(pa.array(order))
             data, at = T.raw(texts)
             for low, high in T.pieces(at, block_bytes):
-                body = zstandard.ZstdCompressor(level=3).compress(data[at[low] : at[high]].tobytes())
+                body = zstandard.ZstdCompressor(level=5).compress(data[at[low] : at[high]].tobytes())
                 own = [[x] for x in (block, high - low, ids[low:high].to_pylist(), np.diff(at[low : high + 1]).tolist(), body)]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(own, [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()], strict=True)], ["block", "n", "ids", "lengths", "body"])
                 block += 1

@@ -126,8 +126,9 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         g = Grams(*B.unpack(row))
         total, marks = B.replies_of(row, 2)
         context, token, pair = (total[x[g.train]] for x in (g.context, g.token, g.pair))
-        held = np.stack([_bucket(context - 1), _step((pair - 1) / np.maximum(context - 1, 1)), _step(token - 1)], 1)
-        rows, n = np.unique(held, axis=0, return_counts=True)
+        held = (_bucket(context - 1) << 44) + ((_step((pair - 1) / np.maximum(context - 1, 1)) - NEVER) << 22) + (_step(token - 1) - NEVER)
+        held, n = np.unique(held, return_counts=True)
+        rows = np.stack([held >> 44, (held >> 22 & 0x3FFFFF) + NEVER, (held & 0x3FFFFF) + NEVER], 1)
         rows = np.concatenate([rows, [[TOKENS, 0, 0], [WORDS, 0, 0]]])
         n = np.concatenate([n, [g.train.sum(), marks.sum()]])
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*rows.T, n)], ["bucket", "pair", "word", "n"])
