@@ -26,14 +26,19 @@ from pyspark.sql import functions as F
 
 from tessera.llm import blocks as B
 from tessera.llm import text as T
-from tessera.llm.common import materialize, table
+from tessera.llm.common import materialize, small, table
 from tessera.llm.components import components
 
 WORDS = 5
 PERCENT = 80
 #: Classes of a tile, n-grams that one step of a product takes, and pivots of a large block.
 TILE, COLUMNS, PIVOTS = 128, 4096, 8
-_DOCS = "doc_id long, n_shingles long, class long, check long, shingles array<long>"
+#: The first question takes 48 bits of a hash: n-grams that share them count together, which lets through
+#: more documents, never fewer; all that follows takes the whole hash.
+_COARSE = np.uint64(0xFFFFFFFFFFFF0000)
+_DOCS = "block long, at int, doc_id long, n_shingles long, class long, check long, shingles array<long>"
+#: Rows that a side of a join may have to be broadcast; a row of these tables has a few numbers.
+MOST_BROADCAST = 200_000
 
 
 def _sets(words: T.Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,21 +72,21 @@ def recurring(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Dat
     blocks = B.pack(docs, key, text)
 
     def ask(ids: np.ndarray, words: T.Words) -> tuple[np.ndarray, list[np.ndarray]]:
-        distinct, count = np.unique(_sets(words, n)[0], return_counts=True)
+        distinct, count = np.unique(_sets(words, n)[0] & _COARSE, return_counts=True)
         return distinct, [count]
 
     def keep(row: dict) -> Iterator[pa.RecordBatch]:
         ids, words = B.unpack(row)
         grams, owner, at = _sets(words, n)
-        shared = B.replies_of(row, 1)[0][np.unique(grams, return_inverse=True)[1]] > 1
+        shared = B.replies_of(row, 1)[0][np.unique(grams & _COARSE, return_inverse=True)[1]] > 1
         size = np.diff(at)
         enough = (100 * T.per_text(shared, at) >= percent * size) & (size > 0)
         lists = [grams[a:b][shared[a:b]].view(np.int64) if ok else None for a, b, ok in zip(at[:-1], at[1:], enough, strict=True)]
         sums = [np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (T.mix(grams + np.uint64(7)), T.mix(grams ^ np.uint64(0xABCDEF)))]
         class_, check = (T.mix(s[at[1:]] - s[at[:-1]] + size.astype(np.uint64)).view(np.int64) for s in sums)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64(), mask=ids == B.NULL_ID), pa.array(size, pa.int64()), pa.array(class_), pa.array(check), pa.array(lists, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "class", "check", "shingles"],
+            [pa.array(np.full(len(ids), row["block"])), pa.array(np.arange(len(ids), dtype=np.int32)), pa.array(ids, pa.int64(), mask=ids == B.NULL_ID), pa.array(size, pa.int64()), pa.array(class_), pa.array(check), pa.array(lists, pa.list_(pa.int64()))],
+            ["block", "at", "doc_id", "n_shingles", "class", "check", "shingles"],
         )
 
     return materialize(B.map_blocks(B.ask_and_answer(blocks, ask, _counted, B.n_buckets(blocks)), keep, _DOCS))
@@ -89,8 +94,10 @@ def recurring(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Dat
 
 def _classes(found: DataFrame, percent: int) -> DataFrame:
     """A written table (class, n, items) of distinct sets that may link; items: (count of classes, n-gram), rarest first."""
-    one = found.where(F.col("shingles").isNotNull()).groupBy("class", "check").agg(F.any_value("n_shingles").alias("n"), F.any_value("shingles").alias("shingles"))
-    entries = one.select("class", "n", F.explode("shingles").alias("h"))
+    linking = found.where(F.col("shingles").isNotNull())
+    first = materialize(linking.groupBy("class", "check").agg(F.min(F.struct("block", "at")).alias("f")).select("f.*"))
+    one = linking.join(small(first, MOST_BROADCAST), ["block", "at"], "left_semi")
+    entries = one.select("class", F.col("n_shingles").alias("n"), F.explode("shingles").alias("h"))
     counted = entries.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).where(F.col("df") > 1)
     sets = counted.groupBy("class").agg(F.any_value("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("items"))
     return materialize(sets.where(100 * F.size("items") >= percent * F.col("n")))
@@ -158,13 +165,13 @@ def links(classes: DataFrame, percent: int, tile: int = TILE, pivots: int = PIVO
     first = entries.groupBy("h").agg(F.min("class").alias("to"), F.count(F.lit(1)).alias("g")).where("g > 1").select(F.col("h").alias("at"), "to")
     touching = entries.join(first, F.col("h") == F.col("at")).select(F.col("class").alias("a"), F.col("to").alias("b"))
     blocks = materialize(components(touching))
-    in_blocks = classes.join(blocks, F.col("class") == F.col("node")).select(F.col("root").alias("block"), "class", "n", F.transform("items", lambda x: x.h).alias("items"))
-    sizes = blocks.groupBy(F.col("root").alias("of")).agg(F.count(F.lit(1)).alias("k"))
-    sized = materialize(in_blocks.join(sizes, F.col("block") == F.col("of")).drop("of"))
-    bins = bins or max(256, sized.count() // tile)
+    sizes = blocks.groupBy(F.col("root").alias("block")).agg(F.count(F.lit(1)).alias("k"))
+    where = materialize(blocks.join(sizes, F.col("root") == F.col("block")).select("node", "block", "k"))
+    sized = classes.join(small(where, MOST_BROADCAST), F.col("class") == F.col("node")).select("block", "k", "class", "n", F.transform("items", lambda x: x.h).alias("items"))
+    bins = bins or max(256, where.count() // tile)
     name = lambda *parts: F.xxhash64(*parts)
-    small = sized.where(F.col("k") <= tile).select(F.pmod(name("block"), F.lit(bins)).alias("bin"), "block", "class", "n", "items")
-    edges = materialize(_product(small, percent))
+    few = sized.where(F.col("k") <= tile).select(F.pmod(name("block"), F.lit(bins)).alias("bin"), "block", "class", "n", "items")
+    edges = materialize(_product(few, percent))
     large = sized.where(F.col("k") > tile)
     if large.isEmpty():
         return edges
@@ -178,7 +185,8 @@ def links(classes: DataFrame, percent: int, tile: int = TILE, pivots: int = PIVO
     star = materialize(_product(met.select(name("block", "group").alias("bin"), "block", "class", "n", "items"), percent))
     joined = components(star).withColumnRenamed("root", "label")
     # tiles by (label, size): pairs of tiles with one and the same label are done
-    labelled = large.join(joined, F.col("class") == F.col("node"), "left").withColumn("label", F.coalesce("label", "class")).drop("node")
+    labelled = large.join(joined, F.col("class") == F.col("node"), "left")
+    labelled = labelled.withColumns({"kin": F.coalesce("label", F.lit(-(1 << 63))), "label": F.coalesce("label", "class")}).drop("node")
     placed = materialize(_tiled(labelled, tile))
     tiles = materialize(placed.groupBy("block", "tile").agg(F.min("label").alias("from"), F.max("label").alias("upto"), F.min("n").alias("least"), F.max("n").alias("most")))
     x, y = tiles.alias("x"), tiles.alias("y")
@@ -193,22 +201,23 @@ def links(classes: DataFrame, percent: int, tile: int = TILE, pivots: int = PIVO
 
 
 def _tiled(labelled: DataFrame, tile: int) -> DataFrame:
-    """``labelled`` with ``tile``: successive runs of about ``tile`` classes of a block by label and size.
+    """``labelled`` with ``tile``: successive runs of about ``tile`` classes of a block by kin and size.
 
-    Labels and ranges of sizes (a factor of 1.25, which is where links end) are counted first, so no
-    block is sorted as a whole; a class's place within its range comes from a hash.
+    kin is the label, and one value for all classes that have not been joined. Kin and ranges of sizes
+    (a factor of 1.25, which is where links end) are counted first, so no block is sorted as a whole;
+    a class's place within its range comes from a hash.
     """
     ranged = labelled.withColumn("range", F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))))
-    order = Window.partitionBy("of_block").orderBy("of_label", "of_range")
+    order = Window.partitionBy("of_block").orderBy("of_kin", "of_range")
     counts = (
         labelled.withColumn("range", F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))))
-        .groupBy(F.col("block").alias("of_block"), F.col("label").alias("of_label"), F.col("range").alias("of_range"))
+        .groupBy(F.col("block").alias("of_block"), F.col("kin").alias("of_kin"), F.col("range").alias("of_range"))
         .agg(F.count(F.lit(1)).alias("c"))
         .withColumn("before", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     )
-    same = (F.col("block") == F.col("of_block")) & (F.col("label") == F.col("of_label")) & (F.col("range") == F.col("of_range"))
+    same = (F.col("block") == F.col("of_block")) & (F.col("kin") == F.col("of_kin")) & (F.col("range") == F.col("of_range"))
     place = F.coalesce(F.col("before"), F.lit(0)) + F.pmod(F.xxhash64("class", F.lit(1)), F.col("c"))
-    return ranged.join(counts, same).withColumn("tile", F.floor(place / tile)).drop("of_block", "of_label", "of_range", "c", "before", "range")
+    return ranged.join(counts, same).withColumn("tile", F.floor(place / tile)).drop("of_block", "of_kin", "of_range", "c", "before", "range")
 
 
 def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -47,7 +47,7 @@ def _folded() -> np.ndarray:
     return codes
 
 
-def sequences(texts: pa.Array, most_bytes: int = 2 << 20):
+def sequences(texts: pa.Array, most_bytes: int = 1 << 20):
     """For each piece of the batch: (codes with three spaces before each text, where texts begin, letters in each)."""
     data, at = T.raw(texts)
     for low, high in T.pieces(at, most_bytes):

@@ -43,12 +43,24 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from sums of prefixes."""
-    power, inverse = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _STEP)
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most_bytes: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, from sums of prefixes; spans rise and don't overlap.
+
+    A hash doesn't hang on the span's place, so the sums are of about ``most_bytes`` at a time.
+    """
+    out = np.empty(len(starts), np.uint64)
+    low = 0
+    while low < len(starts):
+        begin = starts[low]
+        high = max(low + 1, int(np.searchsorted(ends, begin + most_bytes, "right")))
+        part = data[begin : ends[high - 1]]
+        own, upto = starts[low:high] - begin, ends[low:high] - begin
+        power, inverse = powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=sums[1:])
+        out[low:high] = mix((sums[upto] - sums[own]) * inverse[own] + (upto - own).astype(np.uint64) * _STEP)
+        low = high
+    return out
 
 
 @dataclass
