@@ -44,9 +44,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it."""
+    """Repeats each document as often as the mix takes it. Sizes and keys are dealt by source, documents stay where they are."""
+    sizes = mixing.with_draws(docs.select("doc_id", "text", "source")).select("source", "size", "weight", "draw")
+    cuts = mixing.cutoffs(mixing.mix_sources(materialize(sizes)))
     drawn = mixing.with_draws(_boxed(docs, "doc_id", "text", "source")).drop("text")
-    mixed = mixing.mix_sources(materialize(drawn)).where("mix_copies > 0")
+    mixed = mixing.take(drawn, cuts).where("mix_copies > 0")
     return mixed.select("document", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select("document.*")
 
 

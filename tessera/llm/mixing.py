@@ -31,6 +31,15 @@ def quality_weight(text: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.05), F.lit(1.0) - F.lit(4.0) * share), F.lit(0.05))
 
 
+def _key(weight: str, draw: str) -> Column:
+    return -F.log(F.col(draw)) / F.col(weight)
+
+
+def _epochs() -> Column:
+    """Complete epochs of a source."""
+    return F.when(F.col("mix_source_size") > 0, F.floor(F.col("mix_target") / F.col("mix_source_size"))).otherwise(F.lit(0))
+
+
 def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
     """``totals`` (source, source_size, ...) with each source's ``target``.
 
@@ -84,8 +93,7 @@ def mix_sources(
     gives an empty table. Other columns stay, but for those named ``mix_*``.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("mix_")])
-    key = -F.log(F.col(draw)) / F.col(weight)
-    keyed = docs.withColumn("mix_key", key).withColumn("mix_source", F.col(source))
+    keyed = docs.withColumn("mix_key", _key(weight, draw)).withColumn("mix_source", F.col(source))
     totals = docs.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size"), F.count(F.lit(1)).alias("rows"))
     targets = small(materialize(source_targets(totals, weights, most_epochs)), most_broadcast).select(
         F.col("source").alias("mix_name"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.ceil(F.col("rows") / rows_per_range).alias("mix_ranges")
@@ -103,7 +111,7 @@ def mix_sources(
         .drop("mix_at_size")
     )
     inside = Window.partitionBy("mix_source", "mix_range").orderBy("mix_key", draw).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    epochs = F.when(F.col("mix_source_size") > 0, F.floor(F.col("mix_target") / F.col("mix_source_size"))).otherwise(F.lit(0))
+    epochs = _epochs()
     summed = ranged.withColumn("mix_sum", F.sum(size).over(inside))
     budget = F.col("mix_target") - epochs * F.col("mix_source_size")
     middle = F.col("mix_start") + F.col("mix_sum") - F.col(size) / 2.0
@@ -116,6 +124,30 @@ def mix_sources(
     )
 
 
+def cutoffs(mixed: DataFrame, source: str = "source", weight: str = "weight", draw: str = "draw") -> DataFrame:
+    """A written table (mix_name, mix_epochs, mix_last) of each source of what ``mix_sources`` returns.
+
+    The fractional epoch is a prefix of a source's keys, so its last (key, draw) says all of it; it is
+    null where no document is in it.
+    """
+    at = F.struct(_key(weight, draw).alias("key"), F.col(draw).alias("draw"))
+    return materialize(
+        mixed.groupBy(F.col(source).alias("mix_name")).agg(F.max(_epochs()).cast("int").alias("mix_epochs"), F.max(F.when(F.col("mix_copies") > _epochs(), at)).alias("mix_last"))
+    )
+
+
+def take(docs: DataFrame, cuts: DataFrame, source: str = "source", weight: str = "weight", draw: str = "draw", most_broadcast: int = 10_000) -> DataFrame:
+    """``docs`` with ``mix_copies`` by ``cutoffs``, as ``mix_sources`` gives them, but no document moves.
+
+    Rows with equal keys (a document that repeats with its id) are in the fractional epoch together,
+    if one of them is. Null sources are one source; an empty table gives an empty table.
+    """
+    at = F.struct(_key(weight, draw).alias("key"), F.col(draw).alias("draw"))
+    copies = F.col("mix_epochs") + F.when(at <= F.col("mix_last"), 1).otherwise(0)
+    found = docs.drop("mix_name", "mix_epochs", "mix_last", "mix_copies").join(small(cuts, most_broadcast), F.col(source).eqNullSafe(F.col("mix_name")))
+    return found.withColumn("mix_copies", copies).drop("mix_name", "mix_epochs", "mix_last")
+
+
 def with_draws(docs: DataFrame) -> DataFrame:
     """``docs`` with size, weight and draw as the query takes them: words, absence of junk, a hash of id and text."""
     return docs.withColumns(

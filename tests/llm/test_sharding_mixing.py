@@ -102,3 +102,19 @@ def test_ranges_change_nothing(spark):
     docs = mixing.with_draws(spark.read.parquet(str(DATA / "sf0.001/documents.parquet")))
     one, many = (sorted(map(tuple, mixing.mix_sources(docs, rows_per_range=n).select("doc_id", "mix_taken").collect())) for n in (10**6, 3))
     assert one == many
+
+
+def test_cutoffs_take_what_the_mix_takes(spark):
+    docs = mixing.with_draws(spark.read.parquet(str(DATA / "sf0.001/documents.parquet")))
+    rows = [(None, "x y z", None, 1), (7, None, "s", 1), (8, "", "t", 1), (9, "a b", "t", 1), (10, "c d e f", "t", 1)]
+    odd = mixing.with_draws(spark.createDataFrame(rows, "doc_id long, text string, source string, mix_last int"))
+    for frame in (docs, odd, odd.limit(0)):
+        mixed = mixing.mix_sources(frame)
+        taken = mixing.take(frame, mixing.cutoffs(mixed))
+        assert sorted(map(repr, taken.select("doc_id", "mix_copies").collect())) == sorted(map(repr, mixed.select("doc_id", "mix_copies").collect()))
+
+
+def test_repeats_are_taken_together(spark):
+    docs = mixing.with_draws(spark.createDataFrame([(1, "a b c", s) for s in "uuuuvvvvwwww"], "doc_id long, text string, source string"))
+    taken = mixing.take(docs, mixing.cutoffs(mixing.mix_sources(docs))).collect()
+    assert len(taken) == 12 and all(len({r["mix_copies"] for r in taken if r["source"] == s}) == 1 and max(r["mix_copies"] for r in taken) <= 3 for s in "uvw")
