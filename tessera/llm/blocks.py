@@ -61,6 +61,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes:
                 own = [[x] for x in (block, high - low, ids[low:high].to_pylist(), np.diff(at[low : high + 1]).tolist(), body)]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(own, [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()], strict=True)], ["block", "n", "ids", "lengths", "body"])
                 block += 1
+        pa.default_memory_pool().release_unused()
 
     return materialize(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, BLOCKS))
 
@@ -105,6 +106,7 @@ def ask_and_answer(blocks: DataFrame, ask: Ask, answer: Answer, buckets: int) ->
                         ],
                         ["bucket", "block", "hashes", "numbers"],
                     )
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     def answering(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -146,5 +148,6 @@ def map_blocks(blocks: DataFrame, fn: Callable[[dict], Iterator[pa.RecordBatch]]
             for k in range(batch.num_rows):
                 for row in batch.slice(k, 1).to_pylist():
                     yield from fn(row)
+        pa.default_memory_pool().release_unused()
 
     return blocks.mapInArrow(run, schema)

@@ -203,13 +203,16 @@ def encode(text: Column, path: str = RANKS, pattern: str = PATTERN, most_chars:
     @F.arrow_udf(ArrayType(IntegerType()))
     def run(texts: pa.Array) -> pa.Array:
         own, out, some, chars = tokenizer(path, pattern), [], [], 0
-        for t in texts.to_pylist():
-            some.append(t)
-            chars += len(t or "")
-            if chars > most_chars:
-                out.append(own.encode(some))
-                some, chars = [], 0
-        return pa.concat_arrays([*out, own.encode(some)])
+        for low in range(0, len(texts), 256):
+            for t in texts.slice(low, 256).to_pylist():
+                some.append(t)
+                chars += len(t or "")
+                if chars > most_chars:
+                    out.append(own.encode(some))
+                    some, chars = [], 0
+        got = pa.concat_arrays([*out, own.encode(some)])
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
+        return got
 
     return run(text)
 
