@@ -36,7 +36,7 @@ def implicit_last_val(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def has_explicit_val(spark: SparkSession, sf_dir: str) -> DataFrame:
     explicit = A.explicit_val(F.col("holdout"), F.col("region"), VAL_REGIONS)
-    return catalogue(spark, sf_dir).where("aoi_index % 11 < 3").groupBy("recipe").agg(F.coalesce(F.bool_or(explicit), F.lit(False)).alias("has_val"))
+    return catalogue(spark, sf_dir).groupBy("recipe").agg(F.coalesce(F.bool_or(explicit), F.lit(False)).alias("has_val"))
 
 
 def region_list(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,3 +27,10 @@ def test_phenotypes_of_all_areas(spark):
         kinds[recipe].add(phenotype)
     want = {r: (",".join(sorted(k - {""})), len(k - {""}) > 1, len(k - {""}) == 1 and "" in k) for r, k in kinds.items()}
     assert {r["recipe"]: (r["phenotypes"], r["error"], r["warning"]) for r in aoi.phenotype_consistency(spark, SF).collect()} == want
+
+
+def test_validation_of_all_areas(spark):
+    val = defaultdict(bool)
+    for _, recipe, region, _, holdout in areas():
+        val[recipe] |= holdout or region == "ASIA"
+    assert {r["recipe"]: r["has_val"] for r in aoi.has_explicit_val(spark, SF).collect()} == dict(val)
