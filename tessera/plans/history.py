@@ -27,7 +27,7 @@ def epoch_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.best_epoch(_history(spark, sf_dir).where("run % 4 <> 0 OR epoch % 3 = 2"), "run")
+    return T.best_epoch(_history(spark, sf_dir), "run")
 
 
 def running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,10 +70,12 @@ def geojson_feature(kind, line):
 
 
 def pixel_classifier_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stand-in model: a logistic regression on a pixel and its neighbourhood, with validity as weight."""
-    px = chips.chips(spark, sf_dir)
-    model = pixel_model.fit(pixel_model.features(px.where("vec_id % 2 = 0"), chips.SIDE))
-    return pixel_model.predict(model, pixel_model.features(px.where("vec_id % 2 = 1"), chips.SIDE)).select("vec_id", "i", F.round("p", 6).alias("p"))
+    """The stand-in model: a logistic regression on a pixel and its neighbourhood, with validity as weight.
+
+    It is fitted on the even chips and predicts all; ``fitted`` says which chips it has seen.
+    """
+    px = pixel_model.features(chips.chips(spark, sf_dir), chips.SIDE).withColumn("fitted", F.col("vec_id") % 2 == 0)
+    return pixel_model.predict(pixel_model.fit(px.where("fitted")), px).select("vec_id", "i", F.round("p", 6).alias("p"), "fitted")
 
 
 QUERIES = {f.__name__: f for f in (epoch_history, best_epoch, running_best, masked_mean_loss, cache_miss_plan, cache_fill, geojson_sink, pixel_classifier_probabilities)}

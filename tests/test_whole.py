@@ -5,7 +5,8 @@ from collections import defaultdict
 import pyarrow.parquet as pq
 from compare import DATA
 
-from tessera.plans import aoi
+from tessera.operators import history as T
+from tessera.plans import aoi, chips, history
 
 SF = str(DATA / "sf0.001")
 
@@ -34,3 +35,27 @@ def test_validation_of_all_areas(spark):
     for _, recipe, region, _, holdout in areas():
         val[recipe] |= holdout or region == "ASIA"
     assert {r["recipe"]: r["has_val"] for r in aoi.has_explicit_val(spark, SF).collect()} == dict(val)
+
+
+def test_best_epoch_of_whole_histories(spark):
+    metric = defaultdict(dict)
+    for r in history.epoch_history(spark, SF).collect():
+        metric[r["run"]][r["epoch"]] = r["val_iou"]
+    want = {}
+    for run, of in metric.items():
+        seen = {e: v for e, v in of.items() if v is not None}
+        best = min(seen, key=lambda e: (-seen[e], e)) if seen else max(of)
+        want[run] = (best, seen.get(best))
+    assert {r["run"]: (r["best_epoch"], r["best_val_iou"]) for r in history.best_epoch(spark, SF).collect()} == want
+
+
+def test_best_epoch_without_any_metric(spark):
+    rows = spark.createDataFrame([(1, 0, None), (1, 2, None), (2, 0, 0.5), (2, 1, 0.5), (2, 2, None)], "run int, epoch long, val_iou double")
+    assert {tuple(r) for r in T.best_epoch(rows, "run").collect()} == {(1, 2, None), (2, 0, 0.5)}
+
+
+def test_all_chips_get_probabilities(spark):
+    got = history.pixel_classifier_probabilities(spark, SF).collect()
+    want = {(r["vec_id"], i) for r in table("embeddings") for i in range(chips.SIDE**2)}
+    assert len(got) == len(want) and {(r["vec_id"], r["i"]) for r in got} == want
+    assert all(r["fitted"] == (r["vec_id"] % 2 == 0) and 0 <= r["p"] <= 1 for r in got)
