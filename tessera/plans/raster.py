@@ -155,7 +155,7 @@ def rasterize_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sample_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample row for each chip: image facts, mask and validity counts, and the ways of its area (left join)."""
-    ways = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 3 = 0").groupBy((F.col("p_partkey") % 700).alias("aoi_index")).agg(F.count(F.lit(1)).alias("n_ways"))
+    ways = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy((F.col("p_partkey") % 700).alias("aoi_index")).agg(F.count(F.lit(1)).alias("n_ways"))
     count = lambda name: F.aggregate("px", F.lit(0).cast("long"), lambda a, x: a + x[name])
     chip = H.chips(spark, sf_dir).select(F.col("vec_id").alias("aoi_index"), "region", F.concat(F.lit("asset-"), F.col("vec_id")).alias("asset_id"), F.lit(H.SIDE).alias("height"), F.lit(H.SIDE).alias("width"), count("target").alias("mask_pixels"), count("valid").alias("valid_pixels"))
     return chip.join(ways, "aoi_index", "left").withColumn("n_ways", F.coalesce("n_ways", F.lit(0)))

@@ -1,12 +1,12 @@
 """Queries against plain Python over all rows of their tables, where the SQL beside them reads a part."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
 from compare import DATA
 
 from tessera.operators import history as T
-from tessera.plans import aoi, chips, history
+from tessera.plans import aoi, chips, history, raster
 
 SF = str(DATA / "sf0.001")
 
@@ -59,3 +59,9 @@ def test_all_chips_get_probabilities(spark):
     want = {(r["vec_id"], i) for r in table("embeddings") for i in range(chips.SIDE**2)}
     assert len(got) == len(want) and {(r["vec_id"], r["i"]) for r in got} == want
     assert all(r["fitted"] == (r["vec_id"] % 2 == 0) and 0 <= r["p"] <= 1 for r in got)
+
+
+def test_all_ways_are_counted(spark):
+    ways = Counter(r["p_partkey"] % 700 for r in table("part"))
+    want = {r["vec_id"]: ways[r["vec_id"]] for r in table("embeddings")}
+    assert {r["aoi_index"]: r["n_ways"] for r in raster.sample_projection(spark, SF).collect()} == want and 0 in want.values()
