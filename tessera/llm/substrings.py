@@ -1,10 +1,9 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by an index of windows, in place of a relative Lempel-Ziv parse.
 
-Documents are factored against the blocks of all other documents, whose windows of 13 words are
-indexed by hash. Where a window also begins in a document with a smaller id, the smallest such
-document is its reference; a factor is a longest run of successive windows with one reference, so
-it has 13 words or more. A factor ends where the reference does; windows that cross this boundary
-have references of their own and begin the next factor. All words of factors are duplicates.
+The windows of 13 words of all documents are indexed by hash. Where a window is also in a document
+with a smaller id, the smallest such document is its reference; a factor is a longest run of
+successive windows with one reference, so it has 13 words or more. No positions are exchanged: a
+factor need not be a contiguous part of its reference. All words of factors are duplicates.
 """
 
 from __future__ import annotations
