@@ -86,13 +86,15 @@ def _search(bits: int, most: int):
         if len(points) and len(queries):
             key, ids, x = points.column("key").to_numpy(), points.column("id").to_numpy(), _matrix(points.column("vector"))
             own, own_key, depth, q = queries.column("id").to_numpy(), queries.column("key").to_numpy(), queries.column("depth").to_numpy(), _matrix(queries.column("vector"))
+            # ties outlast the coarse cut, as far as rounding can part them
+            slack = 4 * x.shape[1] * np.finfo(float).eps * np.sqrt((x * x).sum(1).max() * (q * q).sum(1))
             shift = bits - depth
             low, high = np.searchsorted(key, (own_key >> shift) << shift), np.searchsorted(key, ((own_key >> shift) + 1) << shift)
             for k in range(len(own)):
                 match = np.arange(low[k], high[k])
                 if len(match) > 4 * most:  # a coarse cut, then scores that don't hang on a vector's place
                     rough = x[low[k] : high[k]] @ q[k]
-                    match = match[np.argpartition(-rough, 4 * most)[: 4 * most]]
+                    match = match[rough >= np.partition(rough, -4 * most)[-4 * most] - slack[k]]
                 score = (x[match] * q[k]).sum(1)
                 best = np.lexsort((ids[match], -score))[:most]
                 out.append((np.full(len(best), own[k]), ids[match[best]], score[best]))
@@ -108,16 +110,17 @@ def nearest(
     """(query_id, rank, vec_id, score): the ``k`` largest inner products found for each query, its own row left out.
 
     Ties go to the smaller id. Vectors that are null, zero, hold nulls or non-finite components, or
-    have not as many components as the most have, take no part on either side; neither do null ids.
+    are of another length than the most frequent one (of equally frequent ones the largest), take no part on either side; neither do null ids.
     An empty table, or one without other vectors, gives no rows. Rows that repeat an id are one
     candidate. Ids are longs.
     """
     usable = clean(vectors.where(F.col(key).isNotNull()), vector).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    dim, longest = usable.agg(F.max(F.size("vector")), F.max(norm)).first()
+    lengths = usable.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("longest")).orderBy(F.desc("n"), F.desc("dim")).first()
     spark = vectors.sparkSession
-    if dim is None:
+    if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim, longest = lengths["dim"], lengths["longest"]
     copies = Window.partitionBy("vector").orderBy("id")
     kept = usable.where(F.size("vector") == dim).distinct().withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
     points = materialize(kept.withColumn("keys", hasher(dim, longest, trees, bits, seed, False)(F.col("vector"))))

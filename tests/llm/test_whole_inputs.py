@@ -1,6 +1,8 @@
 """Inputs on which an operator once left out a part of its job."""
 
-from tessera.llm import secrets
+import random
+
+from tessera.llm import forest, secrets
 
 
 def test_values_of_one_owner_stay_spans_in_many_documents(spark):
@@ -10,3 +12,20 @@ def test_values_of_one_owner_stay_spans_in_many_documents(spark):
     got = {r["doc_id"]: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert [len(got[d]["spans"]) for d, *_ in rows] == [1] * 60 + [0] * 30 + [1] * 40
     assert [got[300 + i]["n_copied"] for i in range(40)] == [1] * 20 + [0] * 20
+
+
+def nearest(spark, rows, **options):
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    return [r["vec_id"] for r in forest.nearest(frame, frame.where("vec_id = 0"), k=5, share=24.0, **options).orderBy("rank").collect()]
+
+
+def test_ties_of_many_vectors_go_to_the_smaller_ids(spark):
+    ids = list(range(1, 513))
+    random.Random(3).shuffle(ids)
+    tied = [(d, [1.0] + [float(b >> i & 1) for i in range(9)]) for b, d in enumerate(ids)]
+    assert nearest(spark, [(0, [0.5] + [0.0] * 9), *tied]) == [1, 2, 3, 4, 5]
+
+
+def test_one_longer_vector_changes_nothing(spark):
+    rows = [(i, [1.0, float(i), 2.0]) for i in range(9)]
+    assert nearest(spark, [*rows, (50, [9.0] * 4)]) == nearest(spark, rows) == [1, 2, 3, 4, 5]
