@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, jaccard, mixing, quality, secrets
-from tessera.llm.common import materialize, table
+from tessera.llm.common import WORD, materialize, table
 
 
 def _boxed(docs: DataFrame, *columns: str) -> DataFrame:
@@ -26,13 +26,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near duplicates; of rows that repeat an id, one.
+    """Keeps the document of the smallest id of each group of near duplicates, by its text's hash where an id has several.
 
-    Documents without an id keep to themselves.
+    Rows that repeat an id are judged by their own text; of rows that repeat id and text one stays. Of
+    the documents without an id in a group one stays as well. Those without words link with nothing.
     """
-    groups = jaccard.jaccard_groups(docs)
-    stays = groups.where((F.col("component_id") == F.col("doc_id")) | (F.col("n_shingles") == 0)).where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.where(F.col("doc_id").isNull()))
+    row = F.xxhash64("doc_id", "text")
+    groups = jaccard.jaccard_groups(docs.select(row.alias("near_row"), "text"), key="near_row").select(F.col("doc_id").alias("in_row"), "component_id").distinct()
+    rows = docs.select(row.alias("near_row"), "doc_id").distinct()
+    first = F.min(F.struct("doc_id", "near_row")).alias("first")
+    stays = rows.join(groups, F.col("near_row") == F.col("in_row")).groupBy("component_id", F.col("doc_id").isNull()).agg(first).select(F.col("first.near_row").alias("stays"))
+    apart = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    boxed = docs.where(~apart).select(F.struct("*").alias("document"), row.alias("near_row"))
+    return boxed.join(stays, F.col("near_row") == F.col("stays"), "left_semi").dropDuplicates(["near_row"]).select("document.*").union(docs.where(apart))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

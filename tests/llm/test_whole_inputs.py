@@ -2,6 +2,8 @@
 
 import random
 
+import corpus_pipeline
+
 from tessera.llm import forest, secrets
 
 
@@ -29,3 +31,12 @@ def test_ties_of_many_vectors_go_to_the_smaller_ids(spark):
 def test_one_longer_vector_changes_nothing(spark):
     rows = [(i, [1.0, float(i), 2.0]) for i in range(9)]
     assert nearest(spark, [*rows, (50, [9.0] * 4)]) == nearest(spark, rows) == [1, 2, 3, 4, 5]
+
+
+def test_near_duplicates_are_judged_by_row(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(80)) for x in "abcd")
+    rows = [(1, a), (1, a), (3, a + " end"), (1, b), (2, b), (0, d), (1, d), (None, c), (None, c + " end"), (None, None), (None, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    found = [(r["doc_id"], (r["text"] or "")[:1]) for r in got.collect()]
+    assert got.columns == docs.columns and sorted(found, key=str) == sorted([(1, "a"), (1, "b"), (0, "d"), (None, "c"), (None, ""), (None, ""), (4, "")], key=str)
