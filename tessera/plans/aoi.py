@@ -150,10 +150,10 @@ SQL = {
     "aoi_split": f"""WITH {_CATALOGUE}, x AS (SELECT *, holdout OR region = 'ASIA' AS val FROM b), f AS (SELECT recipe, bool_or(val) AS any_val, count(*) AS k, max(aoi_index) AS last FROM x GROUP BY recipe)
 SELECT aoi_index, x.recipe, CASE WHEN val OR (NOT any_val AND k > 1 AND aoi_index = last) THEN 'val' ELSE 'train' END AS split FROM x JOIN f ON x.recipe = f.recipe""",
     "implicit_last_val": f"WITH {_CATALOGUE} SELECT recipe, max(aoi_index) AS aoi_index FROM b GROUP BY recipe HAVING count(*) > 1",
-    "has_explicit_val": f"WITH {_CATALOGUE} SELECT recipe, bool_or(holdout OR region = 'ASIA') AS has_val FROM b WHERE aoi_index % 11 < 3 GROUP BY recipe",
+    "has_explicit_val": f"WITH {_CATALOGUE} SELECT recipe, bool_or(holdout OR region = 'ASIA') AS has_val FROM b GROUP BY recipe",
     "region_list": f"WITH {_CATALOGUE} SELECT phenotype, coalesce(string_agg(DISTINCT region, ',' ORDER BY region) FILTER (aoi_index % 3 <> 0), '') AS regions FROM b GROUP BY phenotype",
     "phenotype_consistency": f"""WITH {_CATALOGUE} SELECT recipe, coalesce(string_agg(DISTINCT phenotype, ',' ORDER BY phenotype) FILTER (phenotype <> ''), '') AS phenotypes, count(DISTINCT phenotype) FILTER (phenotype <> '') > 1 AS error,
-  count(DISTINCT phenotype) FILTER (phenotype <> '') = 1 AND bool_or(phenotype = '') AS warning FROM b WHERE aoi_index % 200 < 8 GROUP BY recipe""",
+  count(DISTINCT phenotype) FILTER (phenotype <> '') = 1 AND bool_or(phenotype = '') AS warning FROM b GROUP BY recipe""",
     "train_val_leakage": f"WITH {_PAIRS} SELECT train, val, round(metres, 3) AS metres FROM d WHERE metres < 200",
     "recipe_validation": f"""WITH {_PAIRS}, l AS (SELECT train_recipe AS recipe, count(*) AS leaks FROM d WHERE metres < 200 AND train_recipe = val_recipe GROUP BY 1), k AS (SELECT recipe, count(DISTINCT nullif(phenotype, '')) AS kinds FROM b GROUP BY recipe)
 SELECT k.recipe, kinds, coalesce(leaks, 0)::BIGINT AS leaks, kinds <= 1 AND coalesce(leaks, 0) = 0 AS passes FROM k LEFT JOIN l ON k.recipe = l.recipe""",

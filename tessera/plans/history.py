@@ -87,8 +87,8 @@ _KEY = "substr(sha256('hotosm|' || aoi || '|dst_crs=EPSG:3857|max_side=1024'), 1
 _REQUESTS = f"r AS (SELECT DISTINCT o_custkey % 500 AS aoi FROM orders), k AS (SELECT aoi, {_KEY} AS key FROM r)"
 SQL = {
     "epoch_history": f"WITH {_HISTORY} SELECT * FROM h",
-    "best_epoch": f"""WITH {_HISTORY}, f AS (SELECT * FROM h WHERE run % 4 <> 0 OR epoch % 3 = 2)
-SELECT run, coalesce(arg_max(epoch, (val_iou, -epoch)) FILTER (val_iou > -1), max(epoch)) AS best_epoch, max(val_iou) FILTER (val_iou > -1) AS best_val_iou FROM f GROUP BY run""",
+    "best_epoch": f"""WITH {_HISTORY}
+SELECT run, coalesce(arg_max(epoch, (val_iou, -epoch)) FILTER (val_iou > -1), max(epoch)) AS best_epoch, max(val_iou) FILTER (val_iou > -1) AS best_val_iou FROM h GROUP BY run""",
     "running_best": f"WITH {_HISTORY} SELECT run, epoch, coalesce(val_iou > coalesce(max(val_iou) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1), false) AS improved FROM h",
     "masked_mean_loss": "SELECT user_id AS run, round(sum(value * (event_id % 3 <> 0)::INT) / greatest(sum((event_id % 3 <> 0)::INT), 1), 9) AS loss FROM events GROUP BY user_id",
     "cache_miss_plan": f"WITH {_REQUESTS} SELECT key, aoi FROM k WHERE aoi % 3 <> 0",
