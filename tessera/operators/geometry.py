@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType
+from pyspark.sql.types import BooleanType
 
 from tessera.functions import geo
-
-_RINGS = ArrayType(ArrayType(ArrayType(DoubleType())))
+from tessera.operators.kernels import dense, outline
 
 
 def buffer_degrees(width_m: Column, lat_ref: Column) -> Column:
@@ -21,77 +18,35 @@ def buffer_degrees(width_m: Column, lat_ref: Column) -> Column:
     return width_m / 2.0 / mean
 
 
-def segment_quads(line: list[list[float]], half: float) -> list[list[list[float]]]:
-    """A flat-capped rectangle for each segment of a line, its corners in order; none for a half width of 0."""
-    quads = []
-    for (x0, y0), (x1, y1) in zip(line, line[1:], strict=False):
-        length = math.hypot(x1 - x0, y1 - y0)
-        if half > 0 and length > 0:
-            nx, ny = -(y1 - y0) / length * half, (x1 - x0) / length * half
-            quads.append([[x0 + nx, y0 + ny], [x1 + nx, y1 + ny], [x1 - nx, y1 - ny], [x0 - nx, y0 - ny]])
-    return quads
-
-
-@F.arrow_udf(_RINGS)
-def buffer_lines(lines: pa.Array, half: pa.Array) -> pa.Array:
-    """The rectangles whose union covers each line's buffer up to the joins of its segments."""
-    out = [segment_quads(line or [], h or 0.0) for line, h in zip(lines.to_pylist(), half.to_pylist(), strict=True)]
-    return pa.array(out, pa.list_(pa.list_(pa.list_(pa.float64()))))
-
-
-def outline(cells: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Rings (column, row) round the set cells of a mask, the set side to the right: outer rings and holes."""
-    h, w = cells.shape
-    padded = np.pad(cells.astype(bool), 1)
-    step: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for r, c in zip(*np.nonzero(padded[1:-1, 1:-1]), strict=True):
-        r, c = int(r), int(c)
-        for beyond, a, b in ((padded[r, c + 1], (c, r), (c + 1, r)), (padded[r + 1, c + 2], (c + 1, r), (c + 1, r + 1)), (padded[r + 2, c + 1], (c + 1, r + 1), (c, r + 1)), (padded[r + 1, c], (c, r + 1), (c, r))):
-            if not beyond:
-                step.setdefault(a, []).append(b)
-    rings = []
-    while step:
-        start = min(step)
-        ring, at, came = [start], start, None
-        while True:
-            nexts = step[at]
-            if came is not None and len(nexts) > 1:  # where two cells touch by a corner, stay with the own cell
-                turn = lambda b, at=at, came=came: (at[0] - came[0]) * (b[1] - at[1]) - (at[1] - came[1]) * (b[0] - at[0])
-                nexts.sort(key=turn)
-                b = nexts.pop()
-            else:
-                b = nexts.pop(0)
-            if not nexts:
-                del step[at]
-            came, at = at, b
-            if at == start:
-                break
-            ring.append(at)
-        rings.append(ring)
-    return rings
-
-
-def rings(label: Column, component: Column, width: int) -> Column:
-    """The rings of one component of a label array, as corners [column, row]."""
-
-    @F.arrow_udf(ArrayType(ArrayType(ArrayType(IntegerType()))))
-    def run(labels: pa.Array, components: pa.Array) -> pa.Array:
-        out = [[[list(p) for p in ring] for ring in outline((np.array(own) == k).reshape(-1, width))] for own, k in zip(labels.to_pylist(), components.to_pylist(), strict=True)]
-        return pa.array(out, pa.list_(pa.list_(pa.list_(pa.int32()))))
-
-    return run(label, component)
-
-
-def bilinear(image: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Values of an image (bands, h, w) at fractional pixel centres; outside it 0."""
-    _, h, w = image.shape
-    inside = (rows >= 0) & (rows <= h - 1) & (cols >= 0) & (cols <= w - 1)
-    r, c = np.clip(rows, 0, h - 1), np.clip(cols, 0, w - 1)
-    r0, c0 = np.floor(r).astype(int), np.floor(c).astype(int)
-    r1, c1 = np.minimum(r0 + 1, h - 1), np.minimum(c0 + 1, w - 1)
-    fr, fc = r - r0, c - c0
-    mixed = image[:, r0, c0] * (1 - fr) * (1 - fc) + image[:, r0, c1] * (1 - fr) * fc + image[:, r1, c0] * fr * (1 - fc) + image[:, r1, c1] * fr * fc
-    return np.where(inside, mixed, 0)
+def buffer_lines(line: Column, half: Column) -> Column:
+    """A flat-capped rectangle [[x, y], ...] for each segment of a line of [x, y], which cover its buffer up to the joins; none for a half width of 0.
+
+    Segments without length have none either. Plain arithmetic on arrays.
+    """
+    segments = F.filter(F.arrays_zip(F.slice(line, F.lit(1), F.greatest(F.size(line) - 1, F.lit(0))).alias("a"), F.slice(line, 2, F.greatest(F.size(line) - 1, F.lit(0))).alias("b")), lambda s: (s["a"] != s["b"]) & (half > 0))
+
+    def quad(s: Column) -> Column:
+        x0, y0, x1, y1 = s["a"][0], s["a"][1], s["b"][0], s["b"][1]
+        length = F.hypot(x1 - x0, y1 - y0)
+        nx, ny = -(y1 - y0) / length * half, (x1 - x0) / length * half
+        return F.array(F.array(x0 + nx, y0 + ny), F.array(x1 + nx, y1 + ny), F.array(x1 - nx, y1 - ny), F.array(x0 - nx, y0 - ny))
+
+    return F.coalesce(F.transform(segments, quad), F.array().cast("array<array<array<double>>>"))
+
+
+def rings(label: Column, width: int) -> Column:
+    """A struct (component, ring) for each ring of a label array, by component; rings are corners [column, row]."""
+
+    @F.arrow_udf("array<struct<component:int,ring:array<array<int>>>>")
+    def run(labels: pa.Array) -> pa.Array:
+        out: list[list[dict]] = [[] for _ in range(len(labels))]
+        for rows, own in dense(labels, np.int64):
+            for row, label in zip(rows.tolist(), own, strict=True):
+                for k in np.unique(label[label >= 0]).tolist():
+                    out[row] += [{"component": k, "ring": ring} for ring in outline((label == k).reshape(-1, width))]
+        return pa.array(out, pa.list_(pa.struct([("component", pa.int32()), ("ring", pa.list_(pa.list_(pa.int32())))])))
+
+    return run(label)
 
 
 def simple_ring(points: list[list[float]]) -> bool:

@@ -6,80 +6,128 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
-
-
-def label_masks(masks: np.ndarray) -> np.ndarray:
-    """4-connected components of many masks (n, h, w): each set pixel gets the least pixel index of its component, others -1."""
-    n, h, w = masks.shape
-    far = h * w
-    label = np.where(masks, np.arange(far).reshape(1, h, w), far)
-    while True:
-        least = label.copy()
-        least[:, 1:] = np.minimum(least[:, 1:], label[:, :-1])
-        least[:, :-1] = np.minimum(least[:, :-1], label[:, 1:])
-        least[:, :, 1:] = np.minimum(least[:, :, 1:], label[:, :, :-1])
-        least[:, :, :-1] = np.minimum(least[:, :, :-1], label[:, :, 1:])
-        least = np.where(masks, least, far)
-        if (least == label).all():
-            return np.where(masks, label, -1)
-        label = least
+
+from tessera.operators import kernels as K
+
+_INTS, _DOUBLES = pa.int32(), pa.float64()
 
 
 def labels(mask: Column, width: int) -> Column:
-    """Labels (array<int>) of a mask (array<int> of 0 and 1 by rows); each distinct length of a batch is labelled at once."""
+    """Labels (array<int>) of a mask (array<int> of 0 and 1 by rows): the least pixel of each one's component, -1 outside."""
 
-    @F.arrow_udf(ArrayType(IntegerType()))
+    @F.arrow_udf("array<int>")
     def run(masks: pa.Array) -> pa.Array:
-        lists = [np.array(m or [], bool) for m in masks.to_pylist()]
-        out: list = [[]] * len(lists)
-        for size in {len(m) for m in lists} - {0}:
-            at = [i for i, m in enumerate(lists) if len(m) == size]
-            found = label_masks(np.stack([lists[i] for i in at]).reshape(len(at), -1, width)).reshape(len(at), -1)
-            for i, row in zip(at, found, strict=True):
-                out[i] = row.tolist()
-        return pa.array(out, pa.list_(pa.int32()))
+        return K.each(masks, bool, _INTS, lambda rows, m: K.label_masks(m.reshape(len(m), -1, width)).reshape(m.shape))
 
     return run(mask)
 
 
 def sizes(label: Column) -> Column:
-    """A struct (component, size) for each component of a label array."""
-    return F.transform(F.array_sort(F.array_distinct(F.filter(label, lambda x: x >= 0))), lambda c: F.struct(c.alias("component"), F.size(F.filter(label, lambda x: x == c)).alias("size")))
+    """A struct (component, size) for each component of a label array, by component."""
+
+    @F.arrow_udf("array<struct<component:int,size:int>>")
+    def run(labels: pa.Array) -> pa.Array:
+        found = []
+        for rows, own in K.dense(labels, np.int64):
+            at, component = np.nonzero(own == np.arange(own.shape[1]))  # a component is named by one of its pixels
+            found.append((rows[at], component, K.component_sizes(own)[at, component]))
+        row, component, size = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int),) * 3
+        order = np.lexsort((component, row))
+        items = pa.StructArray.from_arrays([pa.array(component[order], _INTS), pa.array(size[order], _INTS)], ["component", "size"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(len(labels) + 1)), pa.int32()), items)
+
+    return run(label)
 
 
 def keep_large(label: Column, pixel_area_m2: float, min_area_m2: float) -> Column:
     """The mask without components below the area; all of it where the area is not positive."""
-    if min_area_m2 <= 0 or pixel_area_m2 <= 0:
-        return F.transform(label, lambda x: (x >= 0).cast("int"))
-    large = F.transform(F.filter(sizes(label), lambda s: s["size"] * pixel_area_m2 >= min_area_m2), lambda s: s["component"])
-    return F.transform(label, lambda x: ((x >= 0) & F.array_contains(large, x)).cast("int"))
+    every = min_area_m2 <= 0 or pixel_area_m2 <= 0
+
+    @F.arrow_udf("array<int>")
+    def run(labels: pa.Array) -> pa.Array:
+        return K.each(labels, np.int64, _INTS, lambda rows, own: (own >= 0) if every else (own >= 0) & (K.component_sizes(own) * pixel_area_m2 >= min_area_m2))
+
+    return run(label)
+
+
+def component_counts(p: Column, target: Column, valid: Column, thresholds: tuple[float, ...], width: int) -> Column:
+    """For each threshold a struct (ordinal, positives, components): set pixels of the truth, and (size, tp, fp) of each component.
+
+    Counts are over valid pixels, sizes over all. Whatever is asked of any area filter is a sum over these.
+    """
+
+    @F.arrow_udf("array<struct<ordinal:int,positives:int,components:array<struct<size:int,tp:int,fp:int>>>>")
+    def run(ps: pa.Array, targets: pa.Array, valids: pa.Array) -> pa.Array:
+        n, t = len(ps), len(thresholds)
+        cell, numbers = [], []
+        positives = np.zeros(n, np.int64)
+        for (rows, own), (_, truth), (_, good) in zip(K.dense(ps, float), K.dense(targets, np.int64), K.dense(valids, np.int64), strict=True):
+            size = own.shape[1]
+            if not size:
+                continue
+            positives[rows] = ((truth == 1) & (good == 1)).sum(1)
+            for k, threshold in enumerate(thresholds):
+                label = K.label_masks((own >= threshold).reshape(len(own), -1, width)).reshape(own.shape)
+                on = label >= 0
+                at = (label + np.arange(len(own))[:, None] * size)[on]
+                counts = [np.bincount(at[mark[on]], minlength=own.size) for mark in (on, (truth == 1) & (good == 1), (truth == 0) & (good == 1))]
+                some = np.flatnonzero(counts[0])
+                cell.append(rows[some // size] * t + k)
+                numbers.append(np.stack([c[some] for c in counts]))
+        at = np.concatenate(cell) if cell else np.empty(0, np.int64)
+        by = np.argsort(at, kind="stable")
+        flat = (np.concatenate(numbers, 1) if numbers else np.empty((3, 0), np.int64))[:, by]
+        components = pa.ListArray.from_arrays(pa.array(np.searchsorted(at[by], np.arange(n * t + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(x, _INTS) for x in flat], ["size", "tp", "fp"]))
+        cells = pa.StructArray.from_arrays([pa.array(np.tile(np.arange(t), n), _INTS), pa.array(np.repeat(positives, t), _INTS), components], ["ordinal", "positives", "components"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * t, pa.int32()), cells)
+
+    return run(p, target, valid)
 
 
 def erode(mask: Column, width: int, height: int, k: int = 1) -> Column:
     """Erosion by a square of 2 k + 1; what is outside the image is background."""
-    around = [(dr, dc) for dr in range(-k, k + 1) for dc in range(-k, k + 1)]
 
-    def inside(i: Column) -> Column:
-        row, col = F.floor(i / width), i % width
-        whole = (row >= k) & (row < height - k) & (col >= k) & (col < width - k)
-        every = F.forall(F.array(*[i + dr * width + dc for dr, dc in around]), lambda j: F.get(mask, j.cast("int")) == 1)
-        return (whole & F.coalesce(every, F.lit(False))).cast("int")
+    @F.arrow_udf("array<int>")
+    def run(masks: pa.Array) -> pa.Array:
+        return K.each(masks, np.int64, _INTS, lambda rows, m: K.eroded(m.reshape(len(m), height, width), k).reshape(m.shape))
+
+    return run(mask)
+
+
+def _turned(dtype, kind: pa.DataType, height: int, width: int, values: pa.Array, *how: pa.Array) -> pa.Array:
+    flip_h, flip_v, turns = (x.cast(pa.int64()).to_numpy(zero_copy_only=False) for x in how)
+    if height != width:
+        turns = turns // 2 * 2  # a quarter turn would swap the sides, so only half turns are left
+
+    def turn(rows: np.ndarray, own: np.ndarray) -> np.ndarray:
+        code = (flip_h[rows] * 2 + flip_v[rows]) * 4 + turns[rows] % 4
+        out = np.empty_like(own)
+        for c in np.unique(code).tolist():
+            out[code == c] = own[code == c][:, K.turned_index(height, width, bool(c >> 3), bool(c >> 2 & 1), c & 3)]
+        return out
 
-    return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), inside)
+    return K.each(values, dtype, kind, turn)
 
 
 def d4(values: Column, side: int, flip_h: Column, flip_v: Column, turns: Column) -> Column:
-    """Flips and quarter turns (counter-clockwise, after the flips) of a square chip."""
+    """Flips and quarter turns (counter-clockwise, after the flips) of a square chip (array<int>)."""
 
-    def source(i: Column) -> Column:
-        r, c, last = F.floor(i / side).cast("int"), (i % side).cast("int"), F.lit(side - 1)
-        row = F.when(turns == 1, c).when(turns == 2, last - r).when(turns == 3, last - c).otherwise(r)
-        col = F.when(turns == 1, last - r).when(turns == 2, last - c).when(turns == 3, r).otherwise(c)
-        row, col = F.when(flip_v, last - row).otherwise(row), F.when(flip_h, last - col).otherwise(col)
-        return F.get(values, (row * side + col).cast("int"))
+    @F.arrow_udf("array<int>")
+    def run(values: pa.Array, flip_h: pa.Array, flip_v: pa.Array, turns: pa.Array) -> pa.Array:
+        return _turned(np.int64, _INTS, side, side, values, flip_h, flip_v, turns)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), source)
+    return run(values, flip_h, flip_v, turns)
+
+
+def augment(image: Column, mask: Column, valid: Column, height: int, width: int, flip_h: Column, flip_v: Column, turns: Column) -> Column:
+    """A struct (image, mask, valid) of a chip, one band, turned together; a chip that isn't square makes half turns only (0 or 2)."""
+
+    @F.arrow_udf("struct<image:array<double>,mask:array<int>,valid:array<int>>")
+    def run(image: pa.Array, mask: pa.Array, valid: pa.Array, *how: pa.Array) -> pa.Array:
+        parts = [_turned(dtype, kind, height, width, x, *how) for x, dtype, kind in ((image, float, _DOUBLES), (mask, np.int64, _INTS), (valid, np.int64, _INTS))]
+        return pa.StructArray.from_arrays(parts, ["image", "mask", "valid"])
+
+    return run(image, mask, valid, flip_h, flip_v, turns)
 
 
 def jitter(values: Column, factor: Column) -> Column:
@@ -88,14 +136,38 @@ def jitter(values: Column, factor: Column) -> Column:
 
 
 def pad_to(values: Column, h: Column, w: Column, to_h: Column, to_w: Column) -> Column:
-    """Zeros to the right and below up to a size."""
-    return F.transform(F.sequence(F.lit(0), to_h * to_w - 1), lambda i: F.when((F.floor(i / to_w) < h) & (i % to_w < w), F.get(values, (F.floor(i / to_w) * w + i % to_w).cast("int"))).otherwise(F.lit(0).cast("double")))
+    """Zeros to the right and below up to a size (array<double>)."""
+
+    @F.arrow_udf("array<double>")
+    def run(values: pa.Array, *sides: pa.Array) -> pa.Array:
+        size = np.stack([x.to_numpy(zero_copy_only=False).astype(np.int64) for x in sides], 1)
+        flat, begins = values.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(values.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        out = []
+        for own in np.unique(size, axis=0):
+            rows = np.flatnonzero((size == own).all(1))
+            h, w, to_h, to_w = own.tolist()
+            padded = np.zeros((len(rows), to_h, to_w))
+            padded[:, :h, :w] = flat[begins[rows][:, None] + np.arange(h * w)].reshape(-1, h, w)
+            out.append((rows, padded.reshape(len(rows), -1)))
+        return K.lists(len(values), out, _DOUBLES)
+
+    return run(values, h, w, to_h, to_w)
 
 
 def pad_multiple(n: Column, multiple: int) -> Column:
     return F.pmod(-n, F.lit(multiple))
 
 
+def resample(values: Column, width: int, rows: np.ndarray, cols: np.ndarray) -> Column:
+    """Chips (array<double>) read at fractional pixel centres by bilinear weights, 0 outside; rows and cols are the target grid's."""
+
+    @F.arrow_udf("array<double>")
+    def run(values: pa.Array) -> pa.Array:
+        return K.each(values, float, _DOUBLES, lambda _, own: K.bilinear(own.reshape(len(own), -1, width), rows, cols).reshape(len(own), -1))
+
+    return run(values)
+
+
 def normalised(bands: Column) -> Column:
     """The first three bands over 255; missing bands are 0."""
     return F.slice(F.concat(F.transform(bands, lambda b: b / 255.0), F.array_repeat(F.lit(0.0), 3)), 1, 3)

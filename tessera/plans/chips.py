@@ -15,11 +15,12 @@ PIXELS = SIDE * SIDE
 
 def chips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, region, px): px holds a struct (i, p, target, valid) for each pixel."""
-    order = Window.partitionBy("label").orderBy("vec_id")
+    order = Window.partitionBy("label").orderBy("vec_id")  # over ids alone; pixels meet by the id of the next chip
     low, high = F.array_min("v"), F.array_max("v")
     p = F.transform("v", lambda x: F.when(high > low, (x - low) / F.when(high > low, high - low).otherwise(1.0)).otherwise(0.0))
     base = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")).select("vec_id", "label", p.alias("p"))
-    paired = base.withColumn("next", F.coalesce(F.lead("p").over(order), F.first("p").over(order)))
+    follows = base.select("vec_id", F.coalesce(F.lead("vec_id").over(order), F.first("vec_id").over(order)).alias("next_id"))
+    paired = base.join(follows, "vec_id").join(base.select(F.col("vec_id").alias("next_id"), F.col("p").alias("next")), "next_id")
     px = F.zip_with(
         F.arrays_zip(F.sequence(F.lit(0), F.lit(PIXELS - 1)).alias("i"), F.col("p")),
         "next",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
@@ -47,8 +47,9 @@ def tile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = geo.tile_bounds(F.lit(float(z)), x, y)
     size = geo.tile_size_m(F.lit(float(z))) / 8
     label = raster.R.labels(F.transform("px", lambda p: raster.M.above(p["p"], 0.6).cast("int")), raster.H.SIDE)
-    found = raster.H.chips(spark, sf_dir).select("vec_id", label.alias("label")).withColumn("s", F.explode(raster.R.sizes(F.col("label")))).where(F.col("s.size") * size * size <= 10_000)
-    ringed = found.select("vec_id", F.col("s.component").alias("component"), F.explode(G.rings(F.col("label"), F.col("s.component"), raster.H.SIDE)).alias("ring"))
+    found = raster.H.chips(spark, sf_dir).select("vec_id", label.alias("label")).select("vec_id", raster.R.sizes(F.col("label")).alias("sizes"), G.rings(F.col("label"), raster.H.SIDE).alias("rings"))
+    small = F.transform(F.filter("sizes", lambda s: s["size"] * size * size <= F.lit(10_000)), lambda s: s["component"])
+    ringed = found.select("vec_id", F.explode(F.filter("rings", lambda r: F.array_contains(small, r["component"]))).alias("r")).select("vec_id", "r.*")
     corner = lambda p: F.struct(
         geo.quantize(geo.lon_of(b["west"] + p[0] * size), geo.lon_of(b["west"]), geo.lon_of(b["east"])).alias("x"),
         geo.quantize(geo.lat_of(b["north"] - p[1] * size), geo.lat_of(b["south"]), geo.lat_of(b["north"])).alias("y"),
@@ -59,18 +60,18 @@ def tile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def road_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat-capped rectangles of road segments; the first way of each area gives the latitude."""
     line = catalogue.ways(spark, sf_dir).where(K.way_kind(F.col("coords")) == "LineString").withColumn("aoi", F.col("id") % 50)
-    first = F.first(F.aggregate("coords", F.lit(0.0), lambda a, c: a + c["lat"]) / F.size("coords")).over(Window.partitionBy("aoi").orderBy("id"))
+    lat = F.aggregate("coords", F.lit(0.0), lambda a, c: a + c["lat"]) / F.size("coords")
+    first = line.select("aoi", "id", lat.alias("lat")).groupBy("aoi").agg(F.min_by("lat", "id").alias("lat_ref"))
     half = G.buffer_degrees(K.width_m(F.col("tags")), F.col("lat_ref"))
     quads = G.buffer_lines(F.transform("coords", lambda c: F.array(c["lon"], c["lat"])), F.col("half"))
-    made = line.withColumn("lat_ref", first).withColumn("half", half).select("id", "half", F.explode(quads).alias("q"))
+    made = line.join(first, "aoi").withColumn("half", half).select("id", "half", F.explode(quads).alias("q"))
     area = lambda q: F.abs(F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.lit(0.0), lambda a, i: a + F.get(F.get(q, i), F.lit(0)) * F.get(F.get(q, (i + 1) % 4), F.lit(1)) - F.get(F.get(q, (i + 1) % 4), F.lit(0)) * F.get(F.get(q, i), F.lit(1)))) / 2
     return made.select("id", "half", area(F.col("q")).alias("a")).groupBy("id").agg(F.count(F.lit(1)).alias("segments"), F.round(F.max("half"), 12).alias("half_deg"), F.round(F.sum("a"), 9).alias("area"))
 
 
 def component_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rings of components: how many, how many are holes, and the area that they enclose."""
-    one = raster.masks(spark, sf_dir, 0.4).select("vec_id", "label", F.explode(raster.R.sizes(F.col("label"))).alias("s"))
-    ring = one.select("vec_id", F.col("s.component").alias("component"), F.explode(G.rings(F.col("label"), F.col("s.component"), raster.H.SIDE)).alias("q"))
+    ring = raster.masks(spark, sf_dir, 0.4).select("vec_id", F.explode(G.rings(F.col("label"), raster.H.SIDE)).alias("r")).select("vec_id", "r.component", F.col("r.ring").alias("q"))
     n = F.size("q")
     at = lambda i, k: F.get(F.get("q", (i % n).cast("int")), F.lit(k))
     signed = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda a, i: a + at(i, 0) * at(i + 1, 1) - at(i + 1, 0) * at(i, 1)) / 2

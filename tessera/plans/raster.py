@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,17 +54,17 @@ def component_outline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sweep_with_area_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best threshold and area filter of each chip; components are labelled once for each threshold."""
-    grid = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(t).alias("threshold")) for i, t in enumerate(C.THRESHOLDS)])
-    each = H.chips(spark, sf_dir).withColumn("g", F.explode(grid))
-    each = each.withColumn("label", R.labels(F.transform("px", lambda x: M.at_least(x["p"], F.col("g.threshold")).cast("int")), H.SIDE))
-    target, valid = _field("target"), _field("valid")
-    filters = []
-    for k, area in enumerate(C.AREA_FILTERS_M2):
-        z = F.arrays_zip(R.keep_large(F.col("label"), PIXEL_M2, area).alias("k"), target.alias("t"), valid.alias("v"))
-        n = lambda a, b, z=z: F.size(F.filter(z, lambda x: (x["v"] == 1) & (x["k"] == a) & (x["t"] == b))).cast("long")
-        filters.append(F.struct((F.col("g.ordinal") * len(C.AREA_FILTERS_M2) + k).alias("ordinal"), F.lit(area).alias("area_filter"), n(1, 1).alias("tp"), n(1, 0).alias("fp"), n(0, 1).alias("fn")))
-    scored = C.scored(each.select("vec_id", F.col("g.threshold").alias("threshold"), F.explode(F.array(*filters)).alias("f")).select("vec_id", "threshold", "f.*"))
+    """Best threshold and area filter of each chip; components are labelled and counted once for each threshold, and filters are sums over them."""
+    found = R.component_counts(_field("p"), _field("target"), _field("valid"), C.THRESHOLDS, H.SIDE)
+    each = H.chips(spark, sf_dir).select("vec_id", F.explode(found).alias("f")).select("vec_id", "f.*")
+    areas = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(area).alias("area")) for k, area in enumerate(C.AREA_FILTERS_M2)])
+    each = each.withColumn("a", F.explode(areas))
+    total = lambda name: F.aggregate(
+        "components", F.lit(0).cast("long"), lambda s, c: s + F.when(c["size"] * F.lit(PIXEL_M2) >= F.col("a.area"), c[name]).otherwise(0)
+    )
+    threshold = F.element_at(F.array(*[F.lit(t) for t in C.THRESHOLDS]), F.col("ordinal") + 1)
+    counted = each.select("vec_id", threshold.alias("threshold"), F.col("a.area").alias("area_filter"), (F.col("ordinal") * len(C.AREA_FILTERS_M2) + F.col("a.k")).alias("ordinal"), total("tp").alias("tp"), total("fp").alias("fp"), "positives")
+    scored = C.scored(counted.withColumn("fn", F.col("positives") - F.col("tp")))
     best = M.first_best(F.col("iou"), F.col("ordinal"), F.col("threshold").alias("best_threshold"), F.col("area_filter").alias("best_area_filter_m2"), F.col("iou").alias("best_iou"), F.col("f1").alias("best_f1"))
     return scored.groupBy("vec_id").agg(best.alias("b")).select("vec_id", "b.*")
 
@@ -90,6 +91,23 @@ def pad_and_collate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return padded.select("vec_id", "batch", "to_h", "to_w", (F.col("h") * F.col("w")).alias("valid_pixels"), F.size("padded").alias("pixels"), R.pad_multiple(F.col("to_h"), 32).alias("pad_h"), F.round(total, 6).alias("total"))
 
 
+def augmented_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image, mask and validity of a chip as 4 by 16 pixels, turned together; such chips make half turns only."""
+    v = F.col("vec_id")
+    z = R.augment(_field("p"), _field("target"), _field("valid"), 4, 16, v % 2 == 1, F.floor(v / 2) % 2 == 1, F.floor(v / 4) % 4)
+    text = lambda x: F.array_join(x.cast("array<string>"), "")
+    first = F.round(F.aggregate(F.slice("z.image", 1, 16), F.lit(0.0), lambda a, x: a + x), 6)
+    return H.chips(spark, sf_dir).withColumn("z", z).select("vec_id", text(F.col("z.mask")).alias("mask"), text(F.col("z.valid")).alias("valid"), first.alias("first_row"))
+
+
+def bilinear_reproject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chips on a grid of five by five points of another spacing, from half a pixel outside; what is outside is 0."""
+    at = np.arange(5) * 1.75 - 0.5
+    rows, cols = np.meshgrid(at, at, indexing="ij")
+    z = R.resample(_field("p"), H.SIDE, rows, cols)
+    return H.chips(spark, sf_dir).select("vec_id", F.posexplode(z).alias("o", "value")).select("vec_id", "o", F.round("value", 9).alias("value"))
+
+
 def confusion_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixel = H.pixels(H.chips(spark, sf_dir)).withColumn("class", R.confusion_class(F.col("target"), M.at_least(F.col("p"), 0.5).cast("int"), F.col("valid")))
     return pixel.groupBy("region", "class").agg(F.count(F.lit(1)).alias("n"))
@@ -163,7 +181,7 @@ def sample_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (connected_components, small_component_filter, component_keep_semi_join, component_outline_stats, sweep_with_area_filter, binary_erosion, d4_augment, pad_and_collate, confusion_classes, inference_report, channel_normalise, valid_pixel_fraction, foreground_pixels, softmax_probability, rasterize_polygons, sample_projection)
+    for f in (connected_components, small_component_filter, component_keep_semi_join, component_outline_stats, sweep_with_area_filter, binary_erosion, d4_augment, augmented_samples, bilinear_reproject, pad_and_collate, confusion_classes, inference_report, channel_normalise, valid_pixel_fraction, foreground_pixels, softmax_probability, rasterize_polygons, sample_projection)
 }
 
 
@@ -205,6 +223,14 @@ SELECT vec_id, t AS best_threshold, area AS best_area_filter_m2, iou AS best_iou
 ), q AS (
   SELECT vec_id, o, (CASE WHEN (vec_id // 2) % 2 = 1 THEN 7 - row1 ELSE row1 END) * 8 + {_FLIP.format(c='col1')} AS i FROM s
 ) SELECT q.vec_id, string_agg(px.target::VARCHAR, '' ORDER BY o) AS turned FROM q JOIN px ON q.vec_id = px.vec_id AND q.i = px.i GROUP BY q.vec_id""",
+    "augmented_samples": f"""WITH {H.SQL}, j AS (
+  SELECT vec_id, o::INT AS o, o // 16 AS r, o % 16 AS c, (vec_id // 4) % 4 >= 2 AS half FROM (SELECT vec_id, unnest(range(64)) AS o FROM c)
+), s AS (SELECT vec_id, o, CASE WHEN half THEN 3 - r ELSE r END AS r, CASE WHEN half THEN 15 - c ELSE c END AS c FROM j
+), q AS (SELECT vec_id, o, (CASE WHEN (vec_id // 2) % 2 = 1 THEN 3 - r ELSE r END) * 16 + CASE WHEN vec_id % 2 = 1 THEN 15 - c ELSE c END AS i FROM s)
+SELECT q.vec_id, string_agg(px.target::VARCHAR, '' ORDER BY o) AS mask, string_agg(px.valid::VARCHAR, '' ORDER BY o) AS valid, round(sum(p) FILTER (o < 16), 6) AS first_row FROM q JOIN px ON q.vec_id = px.vec_id AND q.i = px.i GROUP BY q.vec_id""",
+    "bilinear_reproject": f"""WITH {H.SQL}, g AS (SELECT o::INT AS o, (o // 5) * 1.75::DOUBLE - 0.5::DOUBLE AS y, (o % 5) * 1.75::DOUBLE - 0.5::DOUBLE AS x FROM (SELECT unnest(range(25)) AS o)), k AS (
+  SELECT o, (floor(y) + dy)::INT AS r, (floor(x) + dx)::INT AS c, (1 - abs(y - floor(y) - dy)) * (1 - abs(x - floor(x) - dx)) AS weight, y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7 AS inside FROM g, (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx)
+) SELECT vec_id, o, round(coalesce(sum(p * weight) FILTER (inside), 0), 9) AS value FROM k LEFT JOIN px ON px.i = greatest(least(r, 7), 0) * 8 + greatest(least(c, 7), 0) GROUP BY vec_id, o""",
     "pad_and_collate": f"""WITH {H.SQL}, s AS (SELECT vec_id, vec_id // 4 AS batch, (vec_id % 5 + 3)::INT AS h, (vec_id % 3 + 5)::INT AS w FROM c), b AS (SELECT batch, max(h) AS to_h, max(w) AS to_w FROM s GROUP BY batch)
 SELECT s.vec_id, s.batch, to_h, to_w, any_value(h * w) AS valid_pixels, any_value(to_h * to_w) AS pixels, any_value((32 - to_h % 32) % 32) AS pad_h, round(sum(p), 6) AS total
 FROM s JOIN b USING (batch) JOIN px ON s.vec_id = px.vec_id AND px.i // 8 < h AND px.i % 8 < w GROUP BY s.vec_id, s.batch, to_h, to_w""",

@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tessera.functions import geo, metrics
-from tessera.operators import aoi, calibration, catalogue, geometry, history, raster
+from tessera.operators import aoi, calibration, catalogue, geometry, history, kernels, raster
 from tessera.plans.history import geojson_feature
 
 
@@ -50,7 +50,7 @@ def test_region_summary_counts_a_missing_metric_as_zero(spark):
 @given(st.lists(st.lists(st.booleans(), min_size=7, max_size=7), min_size=5, max_size=5))
 def test_labels_are_components(mask):
     mask = np.array(mask)
-    label = raster.label_masks(mask[None])[0]
+    label = kernels.label_masks(mask[None])[0]
     for r in range(5):
         for c in range(7):
             assert (label[r, c] >= 0) == mask[r, c]
@@ -73,10 +73,51 @@ def test_labels_are_components(mask):
 @given(st.lists(st.lists(st.booleans(), min_size=6, max_size=6), min_size=6, max_size=6))
 def test_outlines_enclose_the_cells(mask):
     mask = np.array(mask)
-    area = sum(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) for ring in geometry.outline(mask)) / 2
+    area = sum(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) for ring in kernels.outline(mask)) / 2
     assert area == mask.sum()
 
 
+def test_labels_of_a_serpentine_and_of_a_large_chip():
+    mask = np.zeros((256, 256), bool)
+    mask[::2] = True
+    mask[1::4, -1] = mask[3::4, 0] = True
+    assert set(np.unique(kernels.label_masks(mask[None]))) == {-1, 0}
+    noise = np.random.default_rng(3).random((2, 256, 256)) < 0.6
+    label = kernels.label_masks(noise).reshape(2, -1)
+    sizes = kernels.component_sizes(label)
+    for own, size in zip(label, sizes, strict=True):
+        names, n = np.unique(own[own >= 0], return_counts=True)
+        assert dict(zip(names.tolist(), n.tolist(), strict=True)) == {k: size[k] for k in names.tolist()}
+
+
+def test_component_counts_equal_single_filters(spark):
+    rng = np.random.default_rng(5)
+    p, target, valid = rng.random(48), rng.integers(0, 2, 48), rng.integers(0, 2, 48)
+    base = spark.createDataFrame([(p.tolist(), target.tolist(), valid.tolist()), ([], [], [])], "p array<double>, t array<int>, v array<int>")
+    found, empty = base.select(raster.component_counts(F.col("p"), F.col("t"), F.col("v"), (0.3, 0.6), 8).alias("c")).collect()
+    for cell, threshold in zip(found["c"], (0.3, 0.6), strict=True):
+        label = kernels.label_masks((p >= threshold).reshape(1, 6, 8)).ravel()
+        for least in (0, 2, 5):
+            keep = [k for k in np.unique(label[label >= 0]).tolist() if (label == k).sum() >= least]
+            on = np.isin(label, keep)
+            want = [int((on & (target == t) & (valid == 1)).sum()) for t in (1, 0)]
+            assert want == [sum(c[x] for c in cell["components"] if c["size"] >= least) for x in ("tp", "fp")]
+        assert cell["positives"] == ((target == 1) & (valid == 1)).sum()
+    assert [c["components"] for c in empty["c"]] == [[], []]
+
+
+def test_image_mask_and_validity_turn_together(spark):
+    base = spark.createDataFrame([(i, [float(x) for x in range(12)], list(range(12)), [x % 2 for x in range(12)]) for i in range(16)], "i int, a array<double>, b array<int>, c array<int>")
+    how = (F.col("i") % 2 == 1, F.floor(F.col("i") / 2) % 2 == 1, F.floor(F.col("i") / 4) % 4)
+    for h, w in ((3, 4), (12, 1)):
+        for r in base.select("i", raster.augment(F.col("a"), F.col("b"), F.col("c"), h, w, *how).alias("x")).collect():
+            at = np.arange(12).reshape(h, w)
+            at = at[:, ::-1] if r["i"] % 2 else at
+            at = at[::-1] if r["i"] // 2 % 2 else at
+            at = np.rot90(at, r["i"] // 4 % 4 // 2 * 2).ravel().tolist()
+            assert (r["x"]["image"], r["x"]["mask"], r["x"]["valid"]) == ([float(x) for x in at], at, [x % 2 for x in at])
+
+
 def test_small_components_go(spark):
     mask = np.zeros((10, 10), int)
     mask[1:5, 1:5] = 1
@@ -170,4 +211,4 @@ def test_geojson_and_rings(spark):
 
 def test_bilinear_between_pixels():
     image = np.arange(9.0).reshape(1, 3, 3)
-    assert geometry.bilinear(image, np.array([[0.5, 5.0]]), np.array([[0.5, 0.0]])).tolist() == [[[2.0, 0.0]]]
+    assert kernels.bilinear(image, np.array([[0.5, 5.0]]), np.array([[0.5, 0.0]])).tolist() == [[[2.0, 0.0]]]
