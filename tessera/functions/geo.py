@@ -67,12 +67,25 @@ def output_size(w: Column, h: Column, longest: int) -> tuple[Column, Column]:
     return F.when(ratio >= 1, F.lit(longest)).otherwise(other(longest * ratio)), F.when(ratio >= 1, other(longest / ratio)).otherwise(F.lit(longest))
 
 
+def affine(w: Column, s: Column, e: Column, n: Column, width: Column | int, height: Column | int) -> Column:
+    """The transform (a, b, c, d, e, f) of a north-up grid of pixels in bounds: x = a col + b row + c, y = d col + e row + f."""
+    px, py = (e - w) / width, (n - s) / height
+    zero = F.lit(0.0)
+    return F.struct(px.alias("a"), zero.alias("b"), w.cast("double").alias("c"), zero.alias("d"), (-py).alias("e"), n.cast("double").alias("f"))
+
+
+def with_extent(box: Column) -> Column:
+    """A box (w, s, e, n) as it is; one without extent is an error."""
+    good = (box["w"] < box["e"]) & (box["s"] < box["n"])
+    return F.when(good, box).otherwise(F.raise_error(F.lit("degenerate bbox")).cast("struct<w:double,s:double,e:double,n:double>"))
+
+
 def parse_bbox(text: Column) -> Column:
-    """A struct (w, s, e, n) from ``W,S,E,N``; anything else is an error."""
+    """A struct (w, s, e, n) from ``W,S,E,N``; anything else, and a box without extent, is an error."""
     parts = F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("double"))
     good = (F.size(parts) == 4) & F.forall(parts, lambda x: x.isNotNull())
     box = F.struct(*[F.get(parts, F.lit(i)).alias(name) for i, name in enumerate("wsen")])
-    return F.when(good, box).otherwise(F.raise_error(F.concat(F.lit("not a bbox: "), text)).cast("struct<w:double,s:double,e:double,n:double>"))
+    return with_extent(F.when(good, box).otherwise(F.raise_error(F.concat(F.lit("not a bbox: "), text)).cast("struct<w:double,s:double,e:double,n:double>")))
 
 
 def grid_cells(box: dict[str, Column], cols: int, rows: int) -> Column:

@@ -24,22 +24,24 @@ def split(aois: DataFrame, recipe: str, val_regions: tuple[str, ...] = ()) -> Da
     return aois.join(facts, F.col(recipe) == F.col("of_recipe")).withColumn("split", F.when(explicit | last, "val").otherwise("train")).drop("of_recipe", "any_val", "n_aois", "last")
 
 
-def close_pairs(train: DataFrame, val: DataFrame, max_m: float = MIN_DISTANCE_M) -> DataFrame:
-    """(train, val, metres) of pairs closer than ``max_m``; inputs are (aoi_index, lon, lat).
+def close_pairs(train: DataFrame, val: DataFrame, max_m: float = MIN_DISTANCE_M, by: tuple[str, ...] = ()) -> DataFrame:
+    """(train, val, metres, by...) of pairs closer than ``max_m`` that agree in ``by``; inputs are (aoi_index, lon, lat, by...).
 
     Both sides are dealt by cells as wide as the distance, a val area to its own and all eight cells
     around, so that pairs meet by equality. Cells widen with the latitude (of the cell's row, towards
-    the pole), and those of one row are counted from the west.
+    the pole), and those of one row are counted from the west. A val area is dealt on the other side of the
+    180th meridian as well.
     """
     d_lat = max_m / (geo.EARTH_M * 3.14159265358979 / 180)
     row = lambda lat: F.floor(lat / d_lat)
     width = lambda r: d_lat / F.greatest(F.lit(1e-6), F.cos(F.radians(F.least(F.lit(89.9), (F.abs(r) + 2) * d_lat))))
     left = train.withColumn("r", row(F.col("lat"))).withColumn("c", F.floor(F.col("lon") / width(F.col("r"))))
     near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    right = val.select("aoi_index", "lon", "lat").withColumn("dr", near).withColumn("r", row(F.col("lat")) + F.col("dr")).withColumn("dc", near).withColumn("c", F.floor(F.col("lon") / width(F.col("r"))) + F.col("dc"))
-    right = right.select(F.col("aoi_index").alias("val"), F.col("lon").alias("val_lon"), F.col("lat").alias("val_lat"), "r", "c")
+    right = val.select("aoi_index", "lon", "lat", *by).withColumn("x", F.explode(F.array(*[F.col("lon") + d for d in (-360.0, 0.0, 360.0)]))).where(F.abs("x") <= 270)
+    right = right.withColumn("dr", near).withColumn("r", row(F.col("lat")) + F.col("dr")).withColumn("dc", near).withColumn("c", F.floor(F.col("x") / width(F.col("r"))) + F.col("dc"))
+    right = right.select(F.col("aoi_index").alias("val"), F.col("lon").alias("val_lon"), F.col("lat").alias("val_lat"), "r", "c", *by)
     metres = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("val_lon"), F.col("val_lat"))
-    return left.join(right, ["r", "c"]).select(F.col("aoi_index").alias("train"), "val", metres.alias("metres")).where(F.col("metres") < max_m)
+    return left.join(right, ["r", "c", *by]).select(F.col("aoi_index").alias("train"), "val", metres.alias("metres"), *by).where(F.col("metres") < max_m)
 
 
 def soft_valid(v: Column) -> Column:
@@ -50,19 +52,26 @@ def check(facts: DataFrame) -> DataFrame:
     """Checks areas from (w, s, e, n, valid_fraction, n_polygons, pixel_fraction, min_count, min_fraction, min_valid, fetch_error).
 
     An area whose imagery failed fails with that reason alone and has no further facts. A failed
-    truth is a warning, with the counts that were reached.
+    truth is a warning, with the counts that were reached. Reasons and warnings tell the figure and its
+    limit, rounded half up in the last place.
     """
     v, n, f = F.col("valid_fraction"), F.col("n_polygons"), F.col("pixel_fraction")
     area = geo.bbox_area_km2(F.col("w"), F.col("s"), F.col("e"), F.col("n"))
     density = F.when(area > 0, n / F.when(area > 0, area).otherwise(1.0)).otherwise(0.0)
     told = lambda *x: F.filter(F.array(*x), lambda y: y.isNotNull())
     failed = F.col("fetch_error").isNotNull()
+    text = lambda x: x.cast("string")
+    # fixed values: the texts of reasons and warnings, whose first forty characters are notes
     reasons = told(
-        F.when(v < F.col("min_valid"), F.lit("valid_pixel_fraction")),
-        F.when((F.col("min_count") > 0) & (n < F.col("min_count")), F.concat_ws(" ", F.lit("polygon_count"), n.cast("string"), F.lit("<"), F.col("min_count").cast("string"))),
-        F.when((F.col("min_fraction") > 0) & (f < F.col("min_fraction")), F.lit("positive_pixel_fraction")),
+        F.when(v < F.col("min_valid"), F.concat_ws(" ", F.lit("valid_pixel_fraction"), F.format_string("%.3f", v), F.lit("< threshold"), text(F.col("min_valid")))),
+        F.when((F.col("min_count") > 0) & (n < F.col("min_count")), F.concat_ws(" ", F.lit("polygon_count"), text(n), F.lit("< feature.min_positive_polygon_count"), text(F.col("min_count")))),
+        F.when((F.col("min_fraction") > 0) & (f < F.col("min_fraction")), F.concat_ws(" ", F.lit("positive_pixel_fraction"), F.format_string("%.4f", f), F.lit("< feature.min_positive_pixel_fraction"), text(F.col("min_fraction")))),
+    )
+    dense = lambda told: F.concat_ws(" ", F.lit("polygon_density_per_km2"), F.format_string("%.0f", density), F.lit(told))
+    warnings = told(
+        F.when((density > 0) & (density < DENSITY_LOW), dense("is low (rural? sparse OSM?)")),
+        F.when(density > DENSITY_HIGH, dense("is ultra-dense; IoU will be bound by polygon boundary noise")),
     )
-    warnings = told(F.when((density > 0) & (density < DENSITY_LOW), F.lit("low polygon density")), F.when(density > DENSITY_HIGH, F.lit("ultra-dense polygons")))
     soft = F.create_map(
         F.lit("valid_fraction"), soft_valid(v),
         F.lit("polygon_count"), F.when(F.col("min_count") > 0, F.least(F.lit(1.0), n / F.greatest(F.col("min_count") * 5, F.lit(1)))).otherwise(1.0),
@@ -81,3 +90,24 @@ def notes(reasons: Column, warnings: Column) -> Column:
 
 def ranked(rows: DataFrame, partition: str, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(partition).orderBy(*order)))
+
+
+def untagged_warning(kinds: Column) -> Column:
+    """The warning about areas without a phenotype beside others of ``kinds``, a sorted array."""
+    quoted = F.array_join(F.transform(kinds, lambda k: F.concat(F.lit("'"), k, F.lit("'"))), ", ")
+    return F.concat(F.lit("some AOIs lack phenotype tag (others = ["), quoted, F.lit("]); recommend tagging all AOIs"))
+
+
+def first_only(aois: DataFrame, recipe: str) -> DataFrame:
+    """The first area of each recipe, for smoke runs."""
+    return ranked(aois, recipe, F.col("aoi_index")).where(F.col("rank") == 1).drop("rank")
+
+
+def all_but_last(aois: DataFrame, recipe: str) -> DataFrame:
+    """All areas of a recipe but its last one; a single area has none before it."""
+    return ranked(aois, recipe, F.desc("aoi_index")).where(F.col("rank") > 1).drop("rank")
+
+
+def tile_status(feature: Column, z: Column, features: list[str], loaded: list[str], least_zoom: int = 15) -> Column:
+    """What a tile request gets: empty below the least zoom, 404 for an unknown feature, 503 where its model isn't loaded, else 200."""
+    return F.when(z < least_zoom, "empty").when(~feature.isin(*features), "404").when(~feature.isin(*loaded), "503").otherwise("200")

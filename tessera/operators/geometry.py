@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from tessera.functions import geo
 from tessera.operators.kernels import dense, outline
@@ -49,21 +48,24 @@ def rings(label: Column, width: int) -> Column:
     return run(label)
 
 
-def simple_ring(points: list[list[float]]) -> bool:
-    """Whether a ring has an area and no two of its sides cross."""
-    n = len(points)
-    if n < 3:
-        return False
-    cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-    for i in range(n):
-        a, b = points[i], points[(i + 1) % n]
-        for j in range(i + 2, n - (i == 0)):
-            c, d = points[j], points[(j + 1) % n]
-            if cross(a, b, c) * cross(a, b, d) < 0 and cross(c, d, a) * cross(c, d, b) < 0:
-                return False
-    return sum(cross([0, 0], points[i], points[(i + 1) % n]) for i in range(n)) != 0
-
-
-@F.arrow_udf(BooleanType())
-def valid_rings(points: pa.Array) -> pa.Array:
-    return pa.array([simple_ring(p or []) for p in points.to_pylist()], pa.bool_())
+def simple_ring(points: Column) -> Column:
+    """Whether a ring of [x, y] (its first corner not repeated) has an area and no two of its sides meet but at their common corner."""
+    n = F.size(points)
+    x, y = (lambda i: F.get(F.get(points, F.pmod(i, n).cast("int")), F.lit(0))), (lambda i: F.get(F.get(points, F.pmod(i, n).cast("int")), F.lit(1)))
+    turn = lambda i, j, k: F.signum((x(j) - x(i)) * (y(k) - y(i)) - (y(j) - y(i)) * (x(k) - x(i)))
+    apart = lambda f, i, j: (F.greatest(f(i), f(i + 1)) < F.least(f(j), f(j + 1))) | (F.greatest(f(j), f(j + 1)) < F.least(f(i), f(i + 1)))
+
+    def meet(i: Column, j: Column) -> Column:
+        crossed = (turn(i, i + 1, j) * turn(i, i + 1, j + 1) <= 0) & (turn(j, j + 1, i) * turn(j, j + 1, i + 1) <= 0)
+        neighbours = (j - i <= 1) | ((i == 0) & (j == n - 1))
+        return ~neighbours & crossed & ~apart(x, i, j) & ~apart(y, i, j)
+
+    sides = F.sequence(F.lit(0), n - 1)
+    area = F.aggregate(sides, F.lit(0.0), lambda a, i: a + x(i) * y(i + 1) - x(i + 1) * y(i))
+    return F.when(n >= 3, (area != 0) & ~F.exists(sides, lambda i: F.exists(sides, lambda j: (j > i) & meet(i, j)))).otherwise(F.lit(False))
+
+
+def valid_way(kind: Column, line: Column) -> Column:
+    """Whether a way of [x, y] has a shape: a simple ring for a polygon, two different corners for a line."""
+    ring = F.slice(line, F.lit(1), F.greatest(F.size(line) - 1, F.lit(0)))
+    return F.when(kind == "Polygon", simple_ring(ring)).otherwise(F.size(F.array_distinct(line)) >= 2)

@@ -6,10 +6,14 @@ network's.
 
 from __future__ import annotations
 
+import json
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,10 +37,36 @@ def _vectors(rows: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame, iterations: int = 10, regularization: float = 1e-3) -> LogisticRegressionModel:
-    """Fits with validity as weight, so invalid pixels count nothing."""
+    """Fits with validity as weight, so invalid pixels count nothing. The start is zero for all weights, so there is nothing to seed."""
     return LogisticRegression(labelCol="target", weightCol="valid", maxIter=iterations, regParam=regularization).fit(_vectors(rows))
 
 
 def predict(model: LogisticRegressionModel, rows: DataFrame) -> DataFrame:
     """``rows`` with ``p``, the probability of class one."""
     return model.transform(_vectors(rows)).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+
+
+def save(model: LogisticRegressionModel, path: str, best_threshold: float | None = None, **meta) -> None:
+    """Writes a model and what is known of it: metadata, and the threshold that suits it best."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    spark.createDataFrame([(best_threshold, json.dumps(meta))], "best_threshold double, meta string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+
+
+def load(path: str, default_threshold: float = 0.5) -> tuple[LogisticRegressionModel, float, dict]:
+    """(model, its best threshold or the default, metadata) of a saved model."""
+    model = LogisticRegressionModel.load(f"{path}/model")
+    found = SparkSession.active().read.schema("best_threshold double, meta string").json(f"{path}/meta").first()
+    threshold = default_threshold if found["best_threshold"] is None else found["best_threshold"]
+    return model, threshold, json.loads(found["meta"])
+
+
+def load_or_fit(path: str, rows: DataFrame, default_threshold: float = 0.5) -> tuple[LogisticRegressionModel, float, bool]:
+    """(model, threshold, whether it was found); where there is none, one is fitted on ``rows`` with the default threshold."""
+    try:
+        model, threshold, _ = load(path, default_threshold)
+    except (AnalysisException, Py4JJavaError) as e:
+        if "not exist" not in str(e):
+            raise
+        return fit(rows), default_threshold, False
+    return model, threshold, True

@@ -52,7 +52,7 @@ def phenotype_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _centres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalogue(spark, sf_dir).select("aoi_index", "holdout", ((F.col("w") + F.col("e")) / 2.0).alias("lon"), ((F.col("s") + F.col("n")) / 2.0).alias("lat"))
+    return catalogue(spark, sf_dir).select("aoi_index", "recipe", "holdout", ((F.col("w") + F.col("e")) / 2.0).alias("lon"), ((F.col("s") + F.col("n")) / 2.0).alias("lat"))
 
 
 def train_val_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,14 +61,15 @@ def train_val_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recipe_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors and warnings of each recipe: mixed phenotypes, and train areas too close to val areas."""
+    """Errors and warnings of each recipe: mixed phenotypes, areas without one beside those with one, and train areas too close to val areas."""
     at = _centres(spark, sf_dir)
-    recipe = catalogue(spark, sf_dir).select("aoi_index", "recipe")
-    pairs = A.close_pairs(at.where(~F.col("holdout")), at.where("holdout")).join(recipe.toDF("train", "train_recipe"), "train").join(recipe.toDF("val", "val_recipe"), "val")
-    leaks = pairs.where("train_recipe = val_recipe").groupBy(F.col("train_recipe").alias("recipe")).agg(F.count(F.lit(1)).alias("leaks"))
-    kinds = catalogue(spark, sf_dir).groupBy("recipe").agg(F.count_distinct(F.nullif(F.col("phenotype"), F.lit(""))).alias("kinds"))
-    joined = kinds.join(leaks, "recipe", "left").withColumn("leaks", F.coalesce("leaks", F.lit(0)))
-    return joined.select("recipe", "kinds", "leaks", ((F.col("kinds") <= 1) & (F.col("leaks") == 0)).alias("passes"))
+    pairs = A.close_pairs(at.where(~F.col("holdout")), at.where("holdout"), by=("recipe",))
+    leaks = pairs.groupBy("recipe").agg(F.count(F.lit(1)).alias("leaks"))
+    kind = F.nullif(F.col("phenotype"), F.lit(""))
+    found = catalogue(spark, sf_dir).groupBy("recipe").agg(F.count_distinct(kind).alias("kinds"), F.min(kind).alias("one"), F.bool_or(F.col("phenotype") == "").alias("untagged"))
+    joined = found.join(leaks, "recipe", "left").withColumn("leaks", F.coalesce("leaks", F.lit(0)))
+    warning = F.when((F.col("kinds") == 1) & F.col("untagged"), A.untagged_warning(F.array("one")))
+    return joined.select("recipe", "kinds", "leaks", ((F.col("kinds") <= 1) & (F.col("leaks") == 0)).alias("passes"), F.coalesce(warning, F.lit("")).alias("warnings"))
 
 
 def aoi_grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,13 +118,20 @@ def feature_spec_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     layer = F.create_map(*[F.lit(x) for pair in TILE_LAYERS.items() for x in pair])
     asked = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.element_at(F.array(*[F.lit(x) for x in (*TILE_LAYERS, "water")]), (k % 5 + 1).cast("int")).alias("feature"), (k % 6 + 12).alias("z"))
-    status = F.when(F.col("z") <= 14, "empty").when(layer[F.col("feature")].isNull(), "404").when(F.col("feature") == "parks", "503").otherwise("200")
+    status = A.tile_status(F.col("feature"), F.col("z"), list(TILE_LAYERS), [f for f in TILE_LAYERS if f != "parks"])
     return asked.select("event_id", status.alias("status"), F.when(status == "200", layer[F.col("feature")]).alias("layer"))
 
 
+def smoke_and_train_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first area of each recipe, and how many train areas it has when its last one validates."""
+    at = catalogue(spark, sf_dir)
+    rest = A.all_but_last(at, "recipe").groupBy("recipe").agg(F.count(F.lit(1)).alias("rest"))
+    return A.first_only(at, "recipe").select("recipe", F.col("aoi_index").alias("first")).join(rest, "recipe", "left").withColumn("rest", F.coalesce("rest", F.lit(0)))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (aoi_split, implicit_last_val, has_explicit_val, region_list, phenotype_consistency, train_val_leakage, recipe_validation, aoi_grid_cells, aoi_area_density, aoi_hard_filter, check_notes, aoi_soft_scores, aoi_quality_top, feature_spec_lookup)
+    for f in (smoke_and_train_areas, aoi_split, implicit_last_val, has_explicit_val, region_list, phenotype_consistency, train_val_leakage, recipe_validation, aoi_grid_cells, aoi_area_density, aoi_hard_filter, check_notes, aoi_soft_scores, aoi_quality_top, feature_spec_lookup)
 }
 
 _CATALOGUE = """a AS (
@@ -140,23 +148,25 @@ _CHECK = f"""{_CATALOGUE}, o AS (SELECT o_custkey AS aoi, count(*) AS polygons F
   SELECT aoi_index, w, s, e, n, (aoi_index % 101) / 100::DOUBLE AS v, coalesce(polygons, 0) AS c, (aoi_index % 13) / 100::DOUBLE AS x, CASE WHEN aoi_index % 10 = 0 THEN 1 ELSE {_SPEC(0)} END AS min_count, ({_SPEC(1)})::DOUBLE AS min_fraction,
     aoi_index % 23 = 0 AS failed, greatest(0, (e - w) * 111.32::DOUBLE * cos(radians((s + n) / 2)) * ((n - s) * 110.57::DOUBLE)) AS area FROM b LEFT JOIN o ON aoi = aoi_index
 ), d AS (SELECT *, CASE WHEN area > 0 THEN c / area ELSE 0 END AS dens FROM f), k AS (
-  SELECT *, CASE WHEN failed THEN ['imagery fetch failed: timeout'] ELSE [y FOR y IN [CASE WHEN v < 0.5 THEN 'valid_pixel_fraction' END, CASE WHEN min_count > 0 AND c < min_count THEN 'polygon_count ' || c || ' < ' || min_count END,
-      CASE WHEN min_fraction > 0 AND x < min_fraction THEN 'positive_pixel_fraction' END] IF y IS NOT NULL] END AS reasons,
-    CASE WHEN failed THEN []::VARCHAR[] ELSE [y FOR y IN [CASE WHEN dens > 0 AND dens < 100 THEN 'low polygon density' END, CASE WHEN dens > 2000 THEN 'ultra-dense polygons' END] IF y IS NOT NULL] END AS warnings,
+  SELECT *, CASE WHEN failed THEN ['imagery fetch failed: timeout'] ELSE [y FOR y IN [CASE WHEN v < 0.5 THEN 'valid_pixel_fraction ' || printf('%.3f', v) || ' < threshold 0.5' END, CASE WHEN min_count > 0 AND c < min_count THEN 'polygon_count ' || c || ' < feature.min_positive_polygon_count ' || min_count END,
+      CASE WHEN min_fraction > 0 AND x < min_fraction THEN 'positive_pixel_fraction ' || printf('%.4f', x) || ' < feature.min_positive_pixel_fraction ' || min_fraction END] IF y IS NOT NULL] END AS reasons,
+    CASE WHEN failed THEN []::VARCHAR[] ELSE [y FOR y IN [CASE WHEN dens > 0 AND dens < 100 THEN 'polygon_density_per_km2 ' || printf('%.0f', dens) || ' is low (rural? sparse OSM?)' END, CASE WHEN dens > 2000 THEN 'polygon_density_per_km2 ' || printf('%.0f', dens) || ' is ultra-dense; IoU will be bound by polygon boundary noise' END] IF y IS NOT NULL] END AS warnings,
     CASE WHEN failed THEN NULL WHEN v <= 0.5 THEN 0 WHEN v >= 1 THEN 1 ELSE (v - 0.5::DOUBLE) / 0.5::DOUBLE END AS sv, CASE WHEN failed THEN NULL WHEN min_count > 0 THEN least(1::DOUBLE, c / greatest(min_count * 5, 1)::DOUBLE) ELSE 1 END AS sc,
     CASE WHEN failed THEN NULL WHEN min_fraction > 0 THEN least(1::DOUBLE, x / greatest(min_fraction * 3, 0.01::DOUBLE)) ELSE 1 END AS sx FROM d
 ), q AS (SELECT *, round(coalesce((sv + sc + sx) / 3, 0), 12) AS quality FROM k)"""
 SQL = {
     "aoi_split": f"""WITH {_CATALOGUE}, x AS (SELECT *, holdout OR region = 'ASIA' AS val FROM b), f AS (SELECT recipe, bool_or(val) AS any_val, count(*) AS k, max(aoi_index) AS last FROM x GROUP BY recipe)
 SELECT aoi_index, x.recipe, CASE WHEN val OR (NOT any_val AND k > 1 AND aoi_index = last) THEN 'val' ELSE 'train' END AS split FROM x JOIN f ON x.recipe = f.recipe""",
+    "smoke_and_train_areas": f"WITH {_CATALOGUE} SELECT recipe, min(aoi_index) AS first, count(*) - 1 AS rest FROM b GROUP BY recipe",
     "implicit_last_val": f"WITH {_CATALOGUE} SELECT recipe, max(aoi_index) AS aoi_index FROM b GROUP BY recipe HAVING count(*) > 1",
     "has_explicit_val": f"WITH {_CATALOGUE} SELECT recipe, bool_or(holdout OR region = 'ASIA') AS has_val FROM b GROUP BY recipe",
     "region_list": f"WITH {_CATALOGUE} SELECT phenotype, coalesce(string_agg(DISTINCT region, ',' ORDER BY region) FILTER (aoi_index % 3 <> 0), '') AS regions FROM b GROUP BY phenotype",
     "phenotype_consistency": f"""WITH {_CATALOGUE} SELECT recipe, coalesce(string_agg(DISTINCT phenotype, ',' ORDER BY phenotype) FILTER (phenotype <> ''), '') AS phenotypes, count(DISTINCT phenotype) FILTER (phenotype <> '') > 1 AS error,
   count(DISTINCT phenotype) FILTER (phenotype <> '') = 1 AND bool_or(phenotype = '') AS warning FROM b GROUP BY recipe""",
     "train_val_leakage": f"WITH {_PAIRS} SELECT train, val, round(metres, 3) AS metres FROM d WHERE metres < 200",
-    "recipe_validation": f"""WITH {_PAIRS}, l AS (SELECT train_recipe AS recipe, count(*) AS leaks FROM d WHERE metres < 200 AND train_recipe = val_recipe GROUP BY 1), k AS (SELECT recipe, count(DISTINCT nullif(phenotype, '')) AS kinds FROM b GROUP BY recipe)
-SELECT k.recipe, kinds, coalesce(leaks, 0)::BIGINT AS leaks, kinds <= 1 AND coalesce(leaks, 0) = 0 AS passes FROM k LEFT JOIN l ON k.recipe = l.recipe""",
+    "recipe_validation": f"""WITH {_PAIRS}, l AS (SELECT train_recipe AS recipe, count(*) AS leaks FROM d WHERE metres < 200 AND train_recipe = val_recipe GROUP BY 1), k AS (SELECT recipe, count(DISTINCT nullif(phenotype, '')) AS kinds, min(nullif(phenotype, '')) AS one, bool_or(phenotype = '') AS untagged FROM b GROUP BY recipe)
+SELECT k.recipe, kinds, coalesce(leaks, 0)::BIGINT AS leaks, kinds <= 1 AND coalesce(leaks, 0) = 0 AS passes,
+  CASE WHEN kinds = 1 AND untagged THEN 'some AOIs lack phenotype tag (others = [' || chr(39) || one || chr(39) || ']); recommend tagging all AOIs' ELSE '' END AS warnings FROM k LEFT JOIN l ON k.recipe = l.recipe""",
     "aoi_grid_cells": """WITH g AS (SELECT r_name AS region, r_regionkey AS k, unnest(range(6)) AS c FROM region), h AS (SELECT region, 'c' || c % 3 || 'r' || c // 3 AS name, k * 10 + (c % 3) * (3::DOUBLE / 3) AS w, k * 5 + (c // 3) * (2::DOUBLE / 2) AS s FROM g)
 SELECT region, name, round(w, 9) AS w, round(s, 9) AS s, round(w + 1, 9) AS e, round(s + 1, 9) AS n FROM h""",
     "aoi_area_density": f"WITH {_CHECK} SELECT aoi_index, round(area, 9) AS area_km2, round(CASE WHEN failed THEN 0 ELSE dens END, 9) AS density, coalesce(array_to_string(warnings, ','), '') AS warnings FROM q",

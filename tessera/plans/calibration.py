@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import metrics as M
 from tessera.operators import calibration as C
 from tessera.plans import chips as H
+from tessera.sources import reports
 
 
 def pixel_confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,18 @@ def region_metric_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.by_region(lines, "l_discount")
 
 
-QUERIES = {f.__name__: f for f in (region_calibrated_summary, region_calibrated_f1, pixel_confusion_metrics, strict_threshold_metrics, threshold_sweep_grid, best_threshold_first_wins, argmax_region_metrics, dataset_mean_metrics, labelled_prediction_metrics, region_metric_quantiles)}
+def region_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the report by region."""
+    return reports.region_lines(argmax_region_metrics(spark, sf_dir), "mean_iou", "median_iou", "min_iou", "mean_f1")
+
+
+def sweep_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each chip's best threshold, without area filter."""
+    best = best_threshold_first_wins(spark, sf_dir).join(H.chips(spark, sf_dir).select("vec_id", "region"), "vec_id")
+    return reports.sweep_lines(best.withColumnRenamed("vec_id", "aoi_index").withColumn("best_area_filter_m2", F.lit(0.0)))
+
+
+QUERIES = {f.__name__: f for f in (region_report_lines, sweep_report_lines, region_calibrated_summary, region_calibrated_f1, pixel_confusion_metrics, strict_threshold_metrics, threshold_sweep_grid, best_threshold_first_wins, argmax_region_metrics, dataset_mean_metrics, labelled_prediction_metrics, region_metric_quantiles)}
 
 
 def counted(test: str) -> str:
@@ -95,6 +107,9 @@ SQL = {
     "argmax_region_metrics": f"""{_single("p > 1::DOUBLE - p")} SELECT region, count(*)::BIGINT AS n, round(avg(iou), 9) AS mean_iou, round(median(iou), 9) AS median_iou, min(iou) AS min_iou,
   round(avg(f1), 9) AS mean_f1, round(median(f1), 9) AS median_f1, min(f1) AS min_f1 FROM s GROUP BY region""",
     "dataset_mean_metrics": f"{_single('p >= 0.5')} SELECT round(coalesce(avg(iou), 0), 9) AS mean_iou, round(coalesce(avg(f1), 0), 9) AS mean_f1 FROM s",
+    "region_report_lines": f"""{_single("p > 1::DOUBLE - p")}, a AS (SELECT region, count(*) AS n, avg(iou) AS m1, median(iou) AS m2, min(iou) AS m3, avg(f1) AS m4 FROM s GROUP BY region), told AS (SELECT *, CASE WHEN region = '' THEN '<untagged>' ELSE region END AS tag FROM a)
+SELECT region, '  ' || lpad(tag, greatest(14, length(tag))::INT, ' ') || ': n=' || n || printf(' mean_iou=%.4f median_iou=%.4f min_iou=%.4f mean_f1=%.4f', m1, m2, m3, m4) AS line FROM told""",
+    "sweep_report_lines": f"""{_SWEEP} SELECT vec_id AS aoi_index, 'AOI ' || vec_id || ' [' || CASE WHEN region = '' THEN '<untagged>' ELSE region END || ']: best thr=' || printf('%.2f', best_threshold) || ' area_filter=0m² IoU=' || printf('%.4f', best_iou) || ' F1=' || printf('%.4f', best_f1) AS line FROM b""",
     "labelled_prediction_metrics": f"""WITH k AS (
   SELECT source AS region, (count(*) FILTER (n_chars >= 1500 AND quality = 1))::BIGINT AS tp, (count(*) FILTER (n_chars >= 1500 AND quality <> 1))::BIGINT AS fp, (count(*) FILTER (n_chars < 1500 AND quality = 1))::BIGINT AS fn
   FROM labels JOIN documents USING (doc_id) WHERE toxic = 0 GROUP BY source

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
+from tessera.operators import aoi as A
 from tessera.operators import catalogue as K
 from tessera.operators import geometry as G
 from tessera.plans import catalogue, raster
@@ -42,19 +43,40 @@ def tile_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of each chip as polygons of a tile: strict threshold, area cap in uncorrected Mercator, 4096 steps over the tile's degrees."""
-    z, x, y = 17, F.lit(116_000) + F.col("vec_id"), F.lit(51_000)
-    b = geo.tile_bounds(F.lit(float(z)), x, y)
-    size = geo.tile_size_m(F.lit(float(z))) / 8
+    """Components of each chip as polygons of a tile: status gate, strict threshold, area cap in uncorrected Mercator, 4096 steps over the tile's degrees.
+
+    A row for each component: the layer, the corners of its rings that differ, in steps, and how many corners the rings have.
+    """
+    v = F.col("vec_id")
+    z, x, y = v % 6 + 13, (v * 31) % 4096, (v * 17) % 4096
+    b = geo.tile_bounds(z.cast("double"), x, y)
+    size = geo.tile_size_m(z.cast("double")) / 8
+    served = A.tile_status(F.lit("buildings"), z, ["buildings"], ["buildings"]) == "200"
     label = raster.R.labels(F.transform("px", lambda p: raster.M.above(p["p"], 0.6).cast("int")), raster.H.SIDE)
-    found = raster.H.chips(spark, sf_dir).select("vec_id", label.alias("label")).select("vec_id", raster.R.sizes(F.col("label")).alias("sizes"), G.rings(F.col("label"), raster.H.SIDE).alias("rings"))
+    found = raster.H.chips(spark, sf_dir).where(served).select("vec_id", label.alias("label")).select("vec_id", raster.R.sizes(F.col("label")).alias("sizes"), G.rings(F.col("label"), raster.H.SIDE).alias("rings"))
     small = F.transform(F.filter("sizes", lambda s: s["size"] * size * size <= F.lit(10_000)), lambda s: s["component"])
     ringed = found.select("vec_id", F.explode(F.filter("rings", lambda r: F.array_contains(small, r["component"]))).alias("r")).select("vec_id", "r.*")
     corner = lambda p: F.struct(
         geo.quantize(geo.lon_of(b["west"] + p[0] * size), geo.lon_of(b["west"]), geo.lon_of(b["east"])).alias("x"),
         geo.quantize(geo.lat_of(b["north"] - p[1] * size), geo.lat_of(b["south"]), geo.lat_of(b["north"])).alias("y"),
     )
-    return ringed.select("vec_id", "component", F.to_json(F.transform("ring", corner)).alias("ring"))
+    corners = ringed.select("vec_id", "component", F.explode(F.transform("ring", corner)).alias("c"))
+    told = lambda c: F.concat_ws(",", c["x"].cast("string"), c["y"].cast("string"))
+    rows = corners.groupBy("vec_id", "component").agg(F.count(F.lit(1)).alias("n_corners"), F.array_sort(F.collect_set("c")).alias("c"))
+    return rows.select("vec_id", "component", F.lit("building").alias("layer"), "n_corners", F.array_join(F.transform("c", told), " ").alias("corners"))
+
+
+def valid_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways that have a shape: simple rings, and lines of two different corners."""
+    line = F.transform("coords", lambda c: F.array(c["lon"], c["lat"]))
+    way = catalogue.ways(spark, sf_dir).where("type = 'way'").withColumn("kind", K.way_kind(F.col("coords"))).where(F.col("kind").isNotNull())
+    return way.where(G.valid_way(F.col("kind"), line)).select("id", "kind")
+
+
+def grid_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, h = geo.output_size(F.col("e") - F.col("w"), F.col("n") - F.col("s"), 1024)
+    t = geo.affine(F.col("w"), F.col("s"), F.col("e"), F.col("n"), w, h)
+    return _boxes(spark, sf_dir).select("id", t.alias("t")).select("id", *[F.round(f"t.{x}", 12).alias(x) for x in "abcdef"])
 
 
 def road_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +100,7 @@ def component_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.withColumn("area", signed).groupBy("vec_id", "component").agg(F.sum("area").cast("long").alias("area"), F.count_if(F.col("area") > 0).alias("outer"), F.max(F.abs("area")).cast("long").alias("filled"))
 
 
-QUERIES = {f.__name__: f for f in (pixel_area, output_grid_size, mercator_reproject, tile_bounds, tile_features, road_buffer, component_outlines)}
+QUERIES = {f.__name__: f for f in (pixel_area, output_grid_size, mercator_reproject, tile_bounds, tile_features, road_buffer, component_outlines, valid_ways, grid_affine)}
 
 _BOXES = """b AS (SELECT c_custkey AS id, c_custkey % 340 - 170::DOUBLE AS w, (c_custkey * 7) % 120 - 59.75::DOUBLE AS s, c_custkey AS k FROM customer), x AS (
   SELECT *, w + 0.5::DOUBLE + (k % 7) * 0.3::DOUBLE AS e, s + 0.4::DOUBLE + (k % 5) * 0.3::DOUBLE AS n FROM b)"""
@@ -91,6 +113,36 @@ SELECT id, CASE WHEN r >= 1 THEN 1024 ELSE greatest(1, round_even(1024 * r, 0)::
 SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(degrees(x / {_R}::DOUBLE), 9) AS lon, round(degrees(2 * atan(exp(y / {_R}::DOUBLE)) - pi() / 2), 9) AS lat FROM m""",
     "tile_bounds": f"""WITH t AS (SELECT page_id, (page_id * 31) % 4096 AS x, (page_id * 17) % 4096 AS y, {2 * _EDGE!r}::DOUBLE / pow(2::DOUBLE, page_id % 5 + 12) AS size FROM pages)
 SELECT page_id, round(x * size - {_EDGE!r}::DOUBLE, 6) AS west, round({_EDGE!r}::DOUBLE - (y + 1) * size, 6) AS south, round((x + 1) * size - {_EDGE!r}::DOUBLE, 6) AS east, round({_EDGE!r}::DOUBLE - y * size, 6) AS north FROM t""",
+    "tile_features": f"""WITH RECURSIVE {raster.H.SQL}, {raster._labelled("SELECT vec_id, i FROM px WHERE p > 0.6 AND vec_id % 6 >= 2")}, d AS (
+  SELECT lab.vec_id, component, i // 8 AS r, i % 8 AS c, {2 * _EDGE!r}::DOUBLE / pow(2::DOUBLE, lab.vec_id % 6 + 13) AS size, n FROM lab JOIN sz USING (vec_id, component)
+), k AS (SELECT * FROM d WHERE n * (size / 8) * (size / 8) <= 10000), s AS (  -- sides without a neighbour of the same component
+  SELECT k.*, dr, dc FROM k, (SELECT unnest([-1, 1, 0, 0]) AS dr, unnest([0, 0, -1, 1]) AS dc) WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.vec_id = k.vec_id AND o.component = k.component AND o.r = k.r + dr AND o.c = k.c + dc)
+), e AS (SELECT vec_id, component, size, unnest([c + (dc > 0)::INT, c + (dc > 0)::INT + (dr <> 0)::INT]) AS x, unnest([r + (dr > 0)::INT, r + (dr > 0)::INT + (dc <> 0)::INT]) AS y FROM s
+), placed AS (SELECT *, (vec_id * 31) % 4096 * size - {_EDGE!r}::DOUBLE AS west, {_EDGE!r}::DOUBLE - (vec_id * 17) % 4096 * size AS north FROM e
+), g AS (
+  SELECT vec_id, component, x, y, degrees((west + x * (size / 8)) / {_R}::DOUBLE) AS lon, degrees(west / {_R}::DOUBLE) AS w, degrees((west + size) / {_R}::DOUBLE) AS e,
+    degrees(2 * atan(exp((north - y * (size / 8)) / {_R}::DOUBLE)) - pi() / 2) AS lat, degrees(2 * atan(exp((north - size) / {_R}::DOUBLE)) - pi() / 2) AS s, degrees(2 * atan(exp(north / {_R}::DOUBLE)) - pi() / 2) AS n FROM placed
+), q AS (SELECT vec_id, component, round((lon - w) / (e - w) * 4096)::INT AS x, round((lat - s) / (n - s) * 4096)::INT AS y FROM g), u AS (SELECT vec_id, component, x, y, count(*) AS k FROM q GROUP BY ALL)
+SELECT vec_id, component, 'building' AS layer, (sum(k) // 2)::BIGINT AS n_corners, string_agg(x || ',' || y, ' ' ORDER BY x, y) AS corners FROM u GROUP BY vec_id, component""",
+    "road_buffer": f"""WITH {catalogue._WAYS}, l AS (
+  SELECT *, k % 50 AS aoi, CASE WHEN k % 3 = 0 AND z > 0 THEN z::DOUBLE WHEN k % 7 < 3 AND z % 4 > 0 THEN (z % 4) * 3.5::DOUBLE ELSE coalesce(({catalogue._WIDTHS})[highway], 4)::DOUBLE END AS width FROM w WHERE n >= 2 AND NOT (k % 2 = 0 AND n >= 4)
+), f AS (SELECT aoi, arg_min((n - 1) / 2::DOUBLE, k) AS lat FROM l GROUP BY aoi
+), h AS (SELECT l.*, width / 2 / (({geo.M_LAT}::DOUBLE + {geo.M_LON}::DOUBLE * greatest(0.001::DOUBLE, cos(radians(lat)))) * 0.5::DOUBLE) AS half FROM l JOIN f ON l.aoi = f.aoi
+), s AS (SELECT k, half, n, unnest(range(n - 1)) AS i FROM h
+), d AS (SELECT k, half, sqrt(pow((i + 1) % 3 - i % 3, 2) + 1) AS length FROM s)
+SELECT k AS id, count(*)::BIGINT AS segments, round(max(half), 12) AS half_deg, round(sum(2 * half * length), 9) AS area FROM d GROUP BY k""",
+    "valid_ways": f"""WITH {catalogue._WAYS}, c AS (SELECT k, n, unnest(range(n - 1)) AS i FROM w WHERE k % 11 <> 0 AND k % 2 = 0 AND n >= 4), e AS (  -- sides of rings of n - 1 corners
+  SELECT k, n - 1 AS m, i, i % 3 AS x, i AS y, ((i + 1) % (n - 1)) % 3 AS x2, (i + 1) % (n - 1) AS y2 FROM c
+), a AS (SELECT k, sum(x * y2 - x2 * y) AS area FROM e GROUP BY k), x AS (
+  SELECT DISTINCT p.k FROM e p JOIN e q ON p.k = q.k AND q.i > p.i + 1 AND NOT (p.i = 0 AND q.i = p.m - 1)
+  WHERE sign((p.x2 - p.x) * (q.y - p.y) - (p.y2 - p.y) * (q.x - p.x)) * sign((p.x2 - p.x) * (q.y2 - p.y) - (p.y2 - p.y) * (q.x2 - p.x)) <= 0
+    AND sign((q.x2 - q.x) * (p.y - q.y) - (q.y2 - q.y) * (p.x - q.x)) * sign((q.x2 - q.x) * (p.y2 - q.y) - (q.y2 - q.y) * (p.x2 - q.x)) <= 0
+    AND greatest(p.x, p.x2) >= least(q.x, q.x2) AND greatest(q.x, q.x2) >= least(p.x, p.x2) AND greatest(p.y, p.y2) >= least(q.y, q.y2) AND greatest(q.y, q.y2) >= least(p.y, p.y2)
+)
+SELECT k AS id, 'Polygon' AS kind FROM a WHERE area <> 0 AND k NOT IN (SELECT k FROM x) UNION ALL SELECT k, 'LineString' FROM w WHERE k % 11 <> 0 AND n >= 2 AND NOT (k % 2 = 0 AND n >= 4)""",
+    "grid_affine": f"""WITH {_BOXES}, r AS (SELECT *, (e - w) / (n - s) AS r FROM x), z AS (
+  SELECT *, CASE WHEN r >= 1 THEN 1024 ELSE greatest(1, round_even(1024 * r, 0)::INT) END AS out_w, CASE WHEN r >= 1 THEN greatest(1, round_even(1024 / r, 0)::INT) ELSE 1024 END AS out_h FROM r
+) SELECT id, round((e - w) / out_w, 12) AS a, 0::DOUBLE AS b, round(w, 12) AS c, 0::DOUBLE AS d, round(-((n - s) / out_h), 12) AS e, round(n, 12) AS f FROM z""",
     "component_outlines": f"""WITH RECURSIVE {raster.H.SQL}, {raster._labelled("SELECT vec_id, i FROM px WHERE p >= 0.4")}, g AS (
   SELECT vec_id, component, i // 8 AS y, i % 8 AS x FROM lab
 ), o AS (  -- cells of the frame round the chip and those inside it that are not of the component

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import catalogue as K
+from tessera.operators import geometry as G
+from tessera.operators.aoi import ranked
 
 STAC = """features array<struct<id: string, collection: string, bbox: array<double>,
   properties: struct<datetime: string, instruments: array<string>, title: string, `eo:cloud_cover`: double>,
@@ -26,24 +28,47 @@ def _features(spark: SparkSession, path: str) -> DataFrame:
     return f.select("aoi_index", "pos", "f.id", "f.bbox", F.col("f.properties.datetime").alias("datetime"), F.col("f.properties.instruments").alias("instruments"), F.col("f.properties.title").alias("title"), F.col("f.properties.eo:cloud_cover").alias("cloud_cover"), "f.assets")
 
 
-def open_imagery(spark: SparkSession, path: str) -> DataFrame:
-    """(aoi_index, id, bbox, datetime, href, rank) of items that can serve, newest first, then in their order."""
-    return K.candidates(_features(spark, path)).select("aoi_index", "id", "bbox", "datetime", "href", "rank")
+#: Features of a search that the two catalogues return at most.
+OPEN_LIMIT, CLOUD_LIMIT = 20, 10
 
 
-def cloud_imagery(spark: SparkSession, path: str) -> DataFrame:
+def _searched(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None, since: str | None, until: str | None, limit: int | None) -> DataFrame:
+    """The features of a search as the service would answer it: those that meet a box and a time, the first ``limit`` of each area."""
+    found = _features(spark, path)
+    if box is not None:
+        w, s, e, n = (F.lit(float(x)) for x in box)
+        at = [F.get("bbox", F.lit(i)) for i in range(4)]
+        found = found.where((F.size("bbox") == 4) & (at[0] <= e) & (at[2] >= w) & (at[1] <= n) & (at[3] >= s))
+    if since is not None:
+        found = found.where(F.col("datetime") >= since)
+    if until is not None:
+        found = found.where(F.col("datetime") <= until)
+    if limit is not None:
+        found = ranked(found, "aoi_index", F.col("pos")).where(F.col("rank") <= limit).drop("rank")
+    return found
+
+
+def open_imagery(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, since: str | None = None, until: str | None = None, limit: int | None = OPEN_LIMIT) -> DataFrame:
+    """(aoi_index, id, bbox, datetime, href, rank) of items that can serve, newest first, then in their order.
+
+    A file holds what a search returned; ``box``, ``since``, ``until`` (ISO times) and ``limit`` ask for less of it.
+    """
+    return K.candidates(_searched(spark, path, box, since, until, limit)).select("aoi_index", "id", "bbox", "datetime", "href", "rank")
+
+
+def cloud_imagery(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, since: str | None = None, until: str | None = None, limit: int | None = CLOUD_LIMIT) -> DataFrame:
     """(aoi_index, id, bbox, datetime, href, cloud_cover, rank) of items with a ``visual`` asset, clearest first, then newest."""
-    kept = _features(spark, path).withColumn("href", F.try_element_at("assets", F.lit("visual"))["href"]).where((F.size("bbox") == 4) & F.col("href").isNotNull())
+    kept = _searched(spark, path, box, since, until, limit).withColumn("href", F.try_element_at("assets", F.lit("visual"))["href"]).where((F.size("bbox") == 4) & F.col("href").isNotNull())
     return K.cloud_then_newest(kept).select("aoi_index", "id", "bbox", "datetime", "href", "cloud_cover", "rank")
 
 
 def map_features(spark: SparkSession, path: str) -> DataFrame:
-    """(aoi_index, ord, kind, coords, tags) of ways with two corners or more; relations are dropped."""
+    """(aoi_index, ord, kind, coords, tags) of ways that have a shape; relations and invalid or empty shapes are dropped."""
     payload = spark.read.schema(OVERPASS).option("multiLine", True).json(path).withColumn("aoi_index", F.input_file_name())
     e = payload.select("aoi_index", F.posexplode("elements").alias("ord", "e")).where("e.type = 'way'")
     coords = F.transform("e.geometry", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
     empty = F.create_map().cast("map<string,string>")
-    return e.select("aoi_index", "ord", coords.alias("coords"), F.coalesce("e.tags", empty).alias("tags")).withColumn("kind", K.way_kind(F.col("coords"))).where("kind IS NOT NULL")
+    return e.select("aoi_index", "ord", coords.alias("coords"), F.coalesce("e.tags", empty).alias("tags")).withColumn("kind", K.way_kind(F.col("coords"))).where(F.col("kind").isNotNull() & G.valid_way(F.col("kind"), F.transform("coords", lambda c: F.array(c["lon"], c["lat"]))))
 
 
 def map_polygons(spark: SparkSession, path: str) -> DataFrame:

@@ -89,6 +89,8 @@ def overpass_query(feature: str, w: float, s: float, e: float, n: float) -> str:
         "parking": [f'way["{k}"="{v}"]{box};' for k, v in (("amenity", "parking"), ("parking", "surface"))],
         "road": [f'way["highway"~"^({"|".join(ROAD_WIDTHS_M)})$"]{box};'],
     }
+    if not isinstance(feature, str):
+        raise TypeError("a feature is a name")
     if feature not in ways:
         raise KeyError(f"unknown feature {feature!r}")
     return f"[out:json][timeout:60];({''.join(ways[feature])});out geom tags;"

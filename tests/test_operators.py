@@ -206,7 +206,21 @@ def test_cache_fill_fetches_each_key_once(spark):
 def test_geojson_and_rings(spark):
     text = value(spark, geojson_feature(F.lit("Polygon"), F.array(F.array(*lits(0.0, 1.0)), F.array(*lits(1.0, 1.0)))))
     assert json.loads(text)["geometry"] == {"type": "Polygon", "coordinates": [[[0.0, 1.0], [1.0, 1.0]]]}
-    assert geometry.simple_ring([[0, 0], [1, 0], [1, 1], [0, 1]]) and not geometry.simple_ring([[0, 0], [1, 1], [1, 0], [0, 1]])
+    ring = lambda *p: F.array(*[F.array(*lits(float(x), float(y))) for x, y in p])
+    assert value(spark, geometry.simple_ring(ring((0, 0), (1, 0), (1, 1), (0, 1)))) and not value(spark, geometry.simple_ring(ring((0, 0), (1, 1), (1, 0), (0, 1))))
+
+
+def test_pairs_meet_across_the_meridian_and_within_a_group(spark):
+    train = spark.createDataFrame([(0, 179.9999, 10.0, "a"), (1, 5.0, 10.0, "a")], "aoi_index int, lon double, lat double, recipe string")
+    val = spark.createDataFrame([(2, -179.9999, 10.0, "a"), (3, 5.0001, 10.0, "b")], "aoi_index int, lon double, lat double, recipe string")
+    assert {(r["train"], r["val"]) for r in aoi.close_pairs(train, val).collect()} == {(0, 2), (1, 3)}
+    assert [(r["train"], r["val"], r["recipe"]) for r in aoi.close_pairs(train, val, by=("recipe",)).collect()] == [(0, 2, "a")]
+
+
+def test_boxes_need_an_extent(spark):
+    with pytest.raises(PySparkException):
+        value(spark, geo.parse_bbox(F.lit("1,2,1,4")))
+    assert tuple(value(spark, geo.affine(*lits(0.0, 0.0, 10.0, 5.0), 5, 5))) == (2.0, 0.0, 0.0, 0.0, -1.0, 5.0)
 
 
 def test_bilinear_between_pixels():
