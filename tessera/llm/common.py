@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,25 +18,75 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+    """Bounds the Arrow batches that this session hands to Python workers, unless they are bounded more tightly.
+
+    A batch, what is made of it and its reply are in memory at once in every worker of an executor, and
+    ten thousand texts have no bound. A single row is never cut.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = spark.conf.get(name).lower().removesuffix("b")
+    if not found.isdigit() or not 0 < int(found) <= most_bytes:
+        spark.conf.set(name, str(most_bytes))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The folder that all executors see: ``spark.checkpoint.dir``; on one machine, where it is unset, a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back, which cuts the lineage.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
-    Lost executors cost nothing that was written. The table stays until the folder is emptied,
-    as Spark's own checkpoints do.
-    """
+
+def _write(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as a table in the shared folder and reads it back, which cuts the lineage.
+
+    Lost executors cost nothing that was written. Within ``settle`` the table goes when that is done;
+    elsewhere it stays until the folder is emptied, as Spark's own checkpoints do.
+    """
+    out, path = _write(df)
+    if (own := _scratch.get()) is not None:
+        own.append(path)
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the folders of a table that ``materialize`` made, once nothing reads it any more."""
+    _delete(df.sparkSession, [f.rsplit("/", 1)[0] for f in df.inputFiles()])
+
+
+def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in set(paths):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def settle(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build()`` returns, written; all that it materialised on the way is deleted then, or when it fails."""
+    own: list[str] = []
+    token = _scratch.set(own)
+    try:
+        out, path = _write(build())
+    finally:
+        _scratch.reset(token)
+        _delete(spark, own)
+    if (outer := _scratch.get()) is not None:
+        outer.append(path)
+    return out
 
 
 def small(df: DataFrame, most_rows: int) -> DataFrame:

@@ -4,15 +4,17 @@ The overlaps of all pairs are the product of the incidence matrix with its trans
 the sizes of sets keep it small, and none of them loses a link:
 
 * A set can only link if ``threshold`` of it recurs somewhere, so documents are first asked for the
-  document counts of their n-grams, and most drop out.
+  document counts of their n-grams, and most drop out. The counts also order the n-grams of each set,
+  so that no n-gram is counted again.
 * Equal sets become one row (a class).
 * Two sets that link share one of their rarest n-grams, within the first ``n - ceil(t n) + 1``.
   Connecting classes by these splits the matrix into diagonal blocks.
 
 Each block is multiplied by tiles of classes in the order of their sizes; overlap counts accumulate
-over ranges of n-grams, and pairs below the bound are discarded inside the task. A tile returns the
-components of its links, not its pairs. In a large block every class meets a few pivots first, and
-tiles whose classes the pivots have already joined are not multiplied.
+over ranges of n-grams, and pairs below the bound are discarded inside the task. A tile is bounded by
+the classes and by the n-grams that it holds, and returns the components of its links, not its pairs.
+In a large block every class meets a few pivots first, and tiles whose classes the pivots have
+already joined are not multiplied.
 """
 
 from __future__ import annotations
@@ -26,19 +28,20 @@ from pyspark.sql import functions as F
 
 from tessera.llm import blocks as B
 from tessera.llm import text as T
-from tessera.llm.common import materialize, small, table
+from tessera.llm.common import drop, materialize, settle, small, table
 from tessera.llm.components import components
 
 WORDS = 5
 PERCENT = 80
-#: Classes of a tile, n-grams that one step of a product takes, and pivots of a large block.
-TILE, COLUMNS, PIVOTS = 128, 4096, 8
-#: The first question takes 48 bits of a hash: n-grams that share them count together, which lets through
+#: Classes of a tile (a class counts once more for every ``PER_CLASS`` n-grams), n-grams that one step of
+#: a product takes, and pivots of a large block.
+TILE, PER_CLASS, COLUMNS, PIVOTS = 128, 1024, 4096, 8
+#: Bits to spare in the first question: n-grams that share its bits count together, which lets through
 #: more documents, never fewer; all that follows takes the whole hash.
-_COARSE = np.uint64(0xFFFFFFFFFFFF0000)
+SPARE = 8
 _DOCS = "block long, at int, doc_id long, n_shingles long, class long, check long, shingles array<long>"
 #: Rows that a side of a join may have to be broadcast; a row of these tables has a few numbers.
-MOST_BROADCAST = 200_000
+MOST_BROADCAST = 50_000
 
 
 def _sets(words: T.Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,21 +70,32 @@ def _counted(hashes: np.ndarray, numbers: list[np.ndarray]) -> list[np.ndarray]:
     return [np.repeat(np.add.reduceat(numbers[0], begins), np.diff(np.append(begins, len(hashes))))]
 
 
+def _rarest(grams: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The n-grams that recur, by count, then hash (their own order)."""
+    order = np.argsort(count, kind="stable")
+    return grams[order[np.searchsorted(count[order], 2) :]].view(np.int64)
+
+
 def recurring(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """A written table of all documents; shingles: those that other documents share, null if they are too few to link."""
+    """A written table of all documents; shingles: those that other documents share, rarest first, null if they are too few to link.
+
+    Rarity is the count of the first question, which is the same for an n-gram wherever it stands.
+    """
     blocks = B.pack(docs, key, text)
+    scale = B.scale_of(blocks)
+    leading = scale.leading(SPARE)
 
-    def ask(ids: np.ndarray, words: T.Words) -> tuple[np.ndarray, list[np.ndarray]]:
-        distinct, count = np.unique(_sets(words, n)[0] & _COARSE, return_counts=True)
+    def ask(row: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+        distinct, count = np.unique(_sets(B.unpack(row)[1], n)[0] & leading, return_counts=True)
         return distinct, [count]
 
     def keep(row: dict) -> Iterator[pa.RecordBatch]:
         ids, words = B.unpack(row)
         grams, owner, at = _sets(words, n)
-        shared = B.replies_of(row, 1)[0][np.unique(grams & _COARSE, return_inverse=True)[1]] > 1
+        count = B.replies_of(row, 1)[0][np.unique(grams & leading, return_inverse=True)[1]]
         size = np.diff(at)
-        enough = (100 * T.per_text(shared, at) >= percent * size) & (size > 0)
-        lists = [grams[a:b][shared[a:b]].view(np.int64) if ok else None for a, b, ok in zip(at[:-1], at[1:], enough, strict=True)]
+        enough = (100 * T.per_text(count > 1, at) >= percent * size) & (size > 0)
+        lists = [_rarest(grams[a:b], count[a:b]) if ok else None for a, b, ok in zip(at[:-1], at[1:], enough, strict=True)]
         sums = [np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (T.mix(grams + np.uint64(7)), T.mix(grams ^ np.uint64(0xABCDEF)))]
         class_, check = (T.mix(s[at[1:]] - s[at[:-1]] + size.astype(np.uint64)).view(np.int64) for s in sums)
         yield pa.RecordBatch.from_arrays(
@@ -89,22 +103,21 @@ def recurring(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Dat
             ["block", "at", "doc_id", "n_shingles", "class", "check", "shingles"],
         )
 
-    return materialize(B.map_blocks(B.ask_and_answer(blocks, ask, _counted, B.n_buckets(blocks)), keep, _DOCS))
+    found = materialize(B.map_blocks(B.ask_and_answer(blocks, ask, _counted, scale.buckets), keep, _DOCS))
+    drop(blocks)
+    return found
 
 
-def _classes(found: DataFrame, percent: int) -> DataFrame:
-    """A written table (class, n, items) of distinct sets that may link; items: (count of classes, n-gram), rarest first."""
+def _classes(found: DataFrame) -> DataFrame:
+    """A written table (class, n, weight, items) of distinct sets that may link; items: n-grams that recur, rarest first."""
     linking = found.where(F.col("shingles").isNotNull())
     first = materialize(linking.groupBy("class", "check").agg(F.min(F.struct("block", "at")).alias("f")).select("f.*"))
     one = linking.join(small(first, MOST_BROADCAST), ["block", "at"], "left_semi")
-    entries = one.select("class", F.col("n_shingles").alias("n"), F.explode("shingles").alias("h"))
-    counted = entries.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).where(F.col("df") > 1)
-    sets = counted.groupBy("class").agg(F.any_value("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("items"))
-    return materialize(sets.where(100 * F.size("items") >= percent * F.col("n")))
+    return materialize(one.select("class", F.col("n_shingles").alias("n"), (1 + F.floor(F.size("shingles") / PER_CLASS)).alias("weight"), F.col("shingles").alias("items")))
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """The product of the sets' incidence matrix with its transpose, accumulated over ranges of n-grams."""
+    """The product of the sets' incidence matrix with its transpose, accumulated over ranges of n-grams; whole numbers."""
     which, column = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     shared = np.bincount(column, minlength=len(which)) > 1
@@ -112,12 +125,12 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     row, column = row[shared[column]], renumbered[column[shared[column]]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
+    out = np.zeros((len(sets), len(sets)), np.int64)
     for low in range(0, int(shared.sum()), COLUMNS):
         a, b = np.searchsorted(column, [low, low + COLUMNS])
         part = np.zeros((len(sets), COLUMNS), np.float32)
         part[row[a:b], column[a:b] - low] = 1
-        out += part @ part.T
+        out += (part @ part.T).astype(np.int64)
     return out
 
 
@@ -161,20 +174,22 @@ def links(classes: DataFrame, percent: int, tile: int = TILE, pivots: int = PIVO
     """A written table of edges (a, b) between classes whose components are those of all links."""
     least_common = F.expr(f"(n * {percent} + 99) div 100")
     prefix = F.col("n") - least_common + 1 - (F.col("n") - F.size("items"))
-    entries = classes.select("class", F.explode(F.slice(F.col("items"), F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))).alias("i")).select("class", F.col("i.h").alias("h"))
+    entries = classes.select("class", F.explode(F.slice(F.col("items"), F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))).alias("h"))
     first = entries.groupBy("h").agg(F.min("class").alias("to"), F.count(F.lit(1)).alias("g")).where("g > 1").select(F.col("h").alias("at"), "to")
     touching = entries.join(first, F.col("h") == F.col("at")).select(F.col("class").alias("a"), F.col("to").alias("b"))
-    blocks = materialize(components(touching))
-    sizes = blocks.groupBy(F.col("root").alias("block")).agg(F.count(F.lit(1)).alias("k"))
-    where = materialize(blocks.join(sizes, F.col("root") == F.col("block")).select("node", "block", "k"))
-    sized = classes.join(small(where, MOST_BROADCAST), F.col("class") == F.col("node")).select("block", "k", "class", "n", F.transform("items", lambda x: x.h).alias("items"))
-    bins = bins or max(256, where.count() // tile)
+    blocks = components(touching).join(classes.select("class", "weight"), F.col("node") == F.col("class")).select("node", "weight", F.col("root").alias("block"))
+    blocks = materialize(blocks)
+    sizes = blocks.groupBy(F.col("block").alias("of_block")).agg(F.sum("weight").alias("k"))
+    where = materialize(blocks.join(sizes, F.col("block") == F.col("of_block")).select("node", "block", "k"))
+    sized = classes.join(small(where, MOST_BROADCAST), F.col("class") == F.col("node")).select("block", "k", "class", "n", "weight", "items")
+    total = blocks.agg(F.sum("weight")).first()[0] or 0
+    bins = bins or max(256, total // tile)
     name = lambda *parts: F.xxhash64(*parts)
     few = sized.where(F.col("k") <= tile).select(F.pmod(name("block"), F.lit(bins)).alias("bin"), "block", "class", "n", "items")
     edges = materialize(_product(few, percent))
-    large = sized.where(F.col("k") > tile)
-    if large.isEmpty():
+    if where.where(F.col("k") > tile).isEmpty():
         return edges
+    large = materialize(sized.where(F.col("k") > tile))
     # every class of a large block meets the block's pivots, in groups by hash
     groups = F.ceil(F.col("k") / tile)
     chosen = Window.partitionBy("block").orderBy("class")  # over the candidates for pivots only
@@ -201,7 +216,7 @@ def links(classes: DataFrame, percent: int, tile: int = TILE, pivots: int = PIVO
 
 
 def _tiled(labelled: DataFrame, tile: int) -> DataFrame:
-    """``labelled`` with ``tile``: successive runs of about ``tile`` classes of a block by kin and size.
+    """``labelled`` with ``tile``: successive runs of classes of a block by kin and size, of a weight of about ``tile``.
 
     kin is the label, and one value for all classes that have not been joined. Kin and ranges of sizes
     (a factor of 1.25, which is where links end) are counted first, so no block is sorted as a whole;
@@ -212,7 +227,7 @@ def _tiled(labelled: DataFrame, tile: int) -> DataFrame:
     counts = (
         labelled.withColumn("range", F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))))
         .groupBy(F.col("block").alias("of_block"), F.col("kin").alias("of_kin"), F.col("range").alias("of_range"))
-        .agg(F.count(F.lit(1)).alias("c"))
+        .agg(F.sum("weight").alias("c"))
         .withColumn("before", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     )
     same = (F.col("block") == F.col("of_block")) & (F.col("kin") == F.col("of_kin")) & (F.col("range") == F.col("of_range"))
@@ -229,17 +244,21 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     Repeated rows are copies of each other. A null id counts as greater than all others. An empty
     table gives an empty table.
     """
-    found = recurring(docs, key, text, words, percent)
-    classes = _classes(found, percent)
-    joined = components(links(classes, percent)).select(F.col("node"), F.col("root"))
-    members = found.where(F.col("shingles").isNotNull()).groupBy("class", "check").agg(F.min(F.coalesce("doc_id", F.lit(B.NULL_ID))).alias("least"))
-    rooted = members.join(joined, F.col("class") == F.col("node"), "left").select("class", "check", "least", F.coalesce("root", "class").alias("root"))
-    least = rooted.groupBy(F.col("root").alias("of_root")).agg(F.min("least").alias("component"))
-    named = rooted.join(least, F.col("root") == F.col("of_root")).select(F.col("class").alias("in_class"), F.col("check").alias("in_check"), "component")
-    linking = F.col("shingles").isNotNull()
-    rest = found.where(~linking).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    grouped = found.where(linking).join(named, (F.col("class") == F.col("in_class")) & (F.col("check") == F.col("in_check")))
-    return grouped.select("doc_id", "n_shingles", F.nullif(F.col("component"), F.lit(B.NULL_ID)).alias("component_id")).union(rest)
+
+    def build() -> DataFrame:
+        found = recurring(docs, key, text, words, percent)
+        classes = _classes(found)
+        joined = components(links(classes, percent)).select(F.col("node"), F.col("root"))
+        members = found.where(F.col("shingles").isNotNull()).groupBy("class", "check").agg(F.min(F.coalesce("doc_id", F.lit(B.NULL_ID))).alias("least"))
+        rooted = members.join(joined, F.col("class") == F.col("node"), "left").select("class", "check", "least", F.coalesce("root", "class").alias("root"))
+        least = rooted.groupBy(F.col("root").alias("of_root")).agg(F.min("least").alias("component"))
+        named = rooted.join(least, F.col("root") == F.col("of_root")).select(F.col("class").alias("in_class"), F.col("check").alias("in_check"), "component")
+        linking = F.col("shingles").isNotNull()
+        rest = found.where(~linking).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        grouped = found.where(linking).join(named, (F.col("class") == F.col("in_class")) & (F.col("check") == F.col("in_check")))
+        return grouped.select("doc_id", "n_shingles", F.nullif(F.col("component"), F.lit(B.NULL_ID)).alias("component_id")).union(rest)
+
+    return settle(docs.sparkSession, build)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ from one text to the next. A null text has no words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,9 +16,11 @@ import numpy as np
 import pyarrow as pa
 
 _FACTOR = 0x9E3779B97F4A7C15
-_INVERSE = np.uint64(pow(_FACTOR, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 256
+#: Keeps the first n bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -33,33 +38,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers, modulo 2^64, of the hash's factor and of its inverse."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((np.uint64(_FACTOR), _INVERSE)):
-            p = np.full(max(n, 1 << 20), base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, which hangs on its bytes alone.
 
-
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most_bytes: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from sums of prefixes; spans rise and don't overlap.
-
-    A hash doesn't hang on the span's place, so the sums are of about ``most_bytes`` at a time.
+    Eight bytes at a time go into a state that ``mix`` spreads before the next eight, so that no two
+    spans of up to eight bytes share a hash, and longer ones only by chance; sums of powers, which are
+    quicker, make some unequal spans equal by their form. Spans above ``LONG_SPAN`` take BLAKE2.
     """
-    out = np.empty(len(starts), np.uint64)
-    low = 0
-    while low < len(starts):
-        begin = starts[low]
-        high = max(low + 1, int(np.searchsorted(ends, begin + most_bytes, "right")))
-        part = data[begin : ends[high - 1]]
-        own, upto = starts[low:high] - begin, ends[low:high] - begin
-        power, inverse = powers(len(part) + 1)
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=sums[1:])
-        out[low:high] = mix((sums[upto] - sums[own]) * inverse[own] + (upto - own).astype(np.uint64) * _STEP)
-        low = high
+    lengths = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = mix(lengths.astype(np.uint64) * _STEP)
+    todo = np.flatnonzero((lengths > 0) & (lengths <= LONG_SPAN))
+    at = 0
+    while len(todo):
+        left = lengths[todo] - at
+        out[todo] = mix((out[todo] ^ (lanes[starts[todo] + at] & _FIRST[np.minimum(left, 8)])) + _STEP)
+        todo = todo[left > 8]
+        at += 8
+    for k in np.flatnonzero(lengths > LONG_SPAN).tolist():
+        out[k] = np.frombuffer(hashlib.blake2b(padded[starts[k] : ends[k]], digest_size=8).digest(), "<u8")[0]
     return out
 
 
@@ -100,7 +99,14 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def pieces(text_at: np.ndarray, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker stays for other tasks, and what it keeps adds up on an executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def pieces(text_at: np.ndarray, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most_bytes`` at most, so that arrays stay small; a longer text is alone."""
     low, n = 0, len(text_at) - 1
     while low < n:
@@ -109,10 +115,11 @@ def pieces(text_at: np.ndarray, most_bytes: int = 4 << 20) -> Iterator[tuple[int
         low = high
 
 
-def in_pieces(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[Words]:
+def in_pieces(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[Words]:
     data, at = raw(texts)
     for low, high in pieces(at, most_bytes):
         yield split_words(data[at[low] : at[high]], at[low : high + 1] - at[low])
+    release()
 
 
 def windows(hashes: np.ndarray, word_at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
