@@ -12,6 +12,9 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import tempfile
+import zlib
+from collections.abc import Iterator
 from functools import cache
 
 import duckdb
@@ -24,14 +27,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-from tessera.llm.common import table
+from tessera.llm import text as T
+from tessera.llm.common import bound_batches, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 #: Words of more bytes are contracted with a heap: the recursion handles the whole word for each merge.
 LONG_WORD = 256
-#: So many words a worker keeps, at some 40 bytes each, before it starts anew.
-MOST_KEPT = 2_000_000
+#: When a worker keeps so many words, at some 50 bytes each, it drops those that did not come again.
+MOST_KEPT = 400_000
 #: Tokens that one decoding query takes.
 DECODED_AT_ONCE = 300_000
 
@@ -76,22 +80,39 @@ class Tokenizer:
 
     def __init__(self, path: str, pattern: str) -> None:
         with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
         self.narrow = re.compile(latin_pattern(pattern))
-        self.bytes = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        pairs = [(a, b, r) for token, r in self.ranks.items() for i in range(1, len(token)) if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None]
-        self.merges = {(a, b): r for a, b, r in pairs}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        pairs = [(a, b, r) for token, r in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None]
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": tempfile.gettempdir()})
         merges = pa.table({k: pa.array([p[i] for p in pairs], pa.int32()) for i, k in enumerate(("a", "b", "merged"))})
-        vocab = pa.table({"t": pa.array(list(self.ranks.values()), pa.int32()), "b": pa.array(list(self.ranks), pa.binary())})
+        vocab = pa.table({"t": pa.array(list(ranks.values()), pa.int32()), "b": pa.array(list(ranks), pa.binary())})
         self.db.register("merges_in", merges)
         self.db.register("vocab_in", vocab)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in; CREATE TABLE vocab AS SELECT t, hex(b) AS h FROM vocab_in")
+        self.db.unregister("merges_in")
+        self.db.unregister("vocab_in")
         self.forget()
 
+    @cache
+    def merges(self) -> dict[tuple[int, int], int]:
+        """The merge table for long words; most workers never meet one."""
+        return {(a, b): r for a, b, r in self.db.sql("SELECT a, b, merged FROM merges").fetchall()}
+
+    def thin(self) -> None:
+        """Drops the words that were met once since the last time; all of them where too many are left."""
+        kept = np.flatnonzero(self.again)
+        if len(kept) > MOST_KEPT // 2:
+            return self.forget()
+        flat, ends = self.gathered(self.flat, self.ends, self.rows[kept])
+        self.known, self.sums, self.rows, self.flat, self.ends = self.known[kept], self.sums[kept], np.arange(len(kept)), flat, ends
+        self.again = np.zeros(len(kept), bool)
+
     def forget(self) -> None:
         self.known = np.empty(0, np.int64)  # sorted hashes of words
+        self.sums = np.empty(0, np.int64)  # their checksums, which tell words of one hash apart
+        self.again = np.empty(0, bool)  # which of them came again
         self.rows = np.empty(0, np.int64)  # and where each has its tokens
         self.flat = np.empty(0, np.int32)
         self.ends = np.zeros(1, np.int64)
@@ -107,7 +128,7 @@ class Tokenizer:
         """The same as the query for one long word: least rank first, then leftmost."""
         ids: list[int] = self.bytes[np.frombuffer(word, np.uint8)].tolist()
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        rank = lambda i: self.merges.get((ids[i], ids[after[i]])) if after[i] < len(ids) else None
+        rank = lambda i: self.merges().get((ids[i], ids[after[i]])) if after[i] < len(ids) else None
         heap = [(r, i) for i in range(len(ids)) if (r := rank(i)) is not None]
         heapq.heapify(heap)
         while heap:
@@ -128,7 +149,7 @@ class Tokenizer:
         out: list[np.ndarray] = []
         lengths = np.array([len(w) for w in words], np.int64)
         # a run of the query keeps each step of each word, so its size goes with the squares of lengths
-        cuts = np.cumsum(np.minimum(lengths, LONG_WORD) ** 2) // 8_000_000
+        cuts = np.cumsum(np.minimum(lengths, LONG_WORD) ** 2) // 2_000_000
         for part in np.split(np.arange(len(words)), np.flatnonzero(np.diff(cuts)) + 1):
             some = [words[i] for i in part]
             short = [w for w in some if len(w) <= LONG_WORD]
@@ -149,31 +170,52 @@ class Tokenizer:
     def encode(self, texts: list[str | None]) -> pa.Array:
         """The token ids of each text; a null text is empty."""
         if len(self.known) > MOST_KEPT:
-            self.forget()
+            self.thin()
         words: list[str] = []
         begins = [0]
         for text in texts:
             words += self.words(text or "")
             begins.append(len(words))
+        ids, to = self.tokens(words)
+        return pa.LargeListArray.from_arrays(pa.array(to[begins], pa.int64()), pa.array(ids, pa.int32())).cast(pa.list_(pa.int32()))
+
+    def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all words in their order, where each word's begin)."""
         code, distinct = pd.factorize(np.fromiter(map(hash, words), np.int64, len(words)))
         first = np.zeros(len(distinct), np.int64)
         first[code[::-1]] = np.arange(len(words))[::-1]
+        names = np.array([*words, ""], object)[:-1]
+        sums = np.fromiter((zlib.crc32(words[i].encode()) for i in first.tolist()), np.int64, len(first))
         at = np.searchsorted(self.known, distinct)
-        new = np.flatnonzero(np.append(self.known, 0)[at] != distinct) if len(self.known) else np.arange(len(distinct))
+        old = np.zeros(len(distinct), bool)
+        inside = at < len(self.known)
+        old[inside] = self.known[at[inside]] == distinct[inside]
+        if (names != names[first[code]]).any() or (sums[old] != self.sums[at[old]]).any():
+            return self.afresh(names)  # two words of one hash
+        self.again[at[old]] = True
+        new = np.flatnonzero(~old)
         if len(new):
             new = new[np.argsort(distinct[new])]
             got = self.contract([words[i].encode() for i in first[new].tolist()])
             place = np.searchsorted(self.known, distinct[new])
             self.rows = np.insert(self.rows, place, np.arange(len(new)) + len(self.ends) - 1)
-            self.known = np.insert(self.known, place, distinct[new])
+            self.known, self.sums, self.again = np.insert(self.known, place, distinct[new]), np.insert(self.sums, place, sums[new]), np.insert(self.again, place, False)
             self.flat = np.concatenate([self.flat, *got])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(g) for g in got])])
             at = np.searchsorted(self.known, distinct)
         row = self.rows[at][code] if len(code) else np.empty(0, np.int64)
-        lengths = self.ends[row + 1] - self.ends[row]
+        return self.gathered(self.flat, self.ends, row)
+
+    def afresh(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        code, distinct = pd.factorize(names)
+        got = self.contract([w.encode() for w in distinct])
+        return self.gathered(np.concatenate(got), np.concatenate([[0], np.cumsum([len(g) for g in got])]), code)
+
+    @staticmethod
+    def gathered(flat: np.ndarray, ends: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths = ends[row + 1] - ends[row]
         to = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.flat[np.repeat(self.ends[row] - to[:-1], lengths) + np.arange(to[-1])]
-        return pa.LargeListArray.from_arrays(pa.array(to[begins], pa.int64()), pa.array(ids, pa.int32())).cast(pa.list_(pa.int32()))
+        return flat[np.repeat(ends[row] - to[:-1], lengths) + np.arange(to[-1])], to
 
     def decode(self, ids: pa.Array) -> list[bytes]:
         """The bytes of each list of ids; a null list is empty."""
@@ -194,31 +236,39 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return Tokenizer(path, pattern)
 
 
-def encode(text: Column, path: str = RANKS, pattern: str = PATTERN, most_chars: int = 2 << 20) -> Column:
+def _encoded(own: Tokenizer, texts: pa.Array, most_chars: int) -> Iterator[pa.Array]:
+    """The ids of the texts, some texts at a time."""
+    some, chars = [], 0
+    for low in range(0, len(texts), 256):
+        for t in texts.slice(low, 256).to_pylist():
+            some.append(t)
+            chars += len(t or "")
+            if chars > most_chars:
+                yield own.encode(some)
+                some, chars = [], 0
+    yield own.encode(some)
+
+
+def encode(text: Column, path: str = RANKS, pattern: str = PATTERN, most_chars: int = 1 << 20) -> Column:
     """The ids of a text (array<int>) by the rank file ``path``, which each executor reads at that place.
 
     A null or empty text has no ids. Every match of ``pattern`` is encoded by itself; no special tokens.
+    Repeated rows get equal ids, an empty table stays empty, and no other column is touched.
     """
+    bound_batches(SparkSession.active())
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def run(texts: pa.Array) -> pa.Array:
-        own, out, some, chars = tokenizer(path, pattern), [], [], 0
-        for low in range(0, len(texts), 256):
-            for t in texts.slice(low, 256).to_pylist():
-                some.append(t)
-                chars += len(t or "")
-                if chars > most_chars:
-                    out.append(own.encode(some))
-                    some, chars = [], 0
-        got = pa.concat_arrays([*out, own.encode(some)])
-        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
+        got = pa.concat_arrays(list(_encoded(tokenizer(path, pattern), texts, most_chars)))
+        T.release()
         return got
 
     return run(text)
 
 
 def decode(ids: Column, path: str = RANKS, pattern: str = PATTERN) -> Column:
-    """The bytes of a list of ids; null and empty lists give no bytes."""
+    """The bytes of a list of ids; null and empty lists give no bytes, repeated rows equal ones."""
+    bound_batches(SparkSession.active())
 
     @F.arrow_udf(BinaryType())
     def run(lists: pa.Array) -> pa.Array:
@@ -227,11 +277,29 @@ def decode(ids: Column, path: str = RANKS, pattern: str = PATTERN) -> Column:
     return run(ids)
 
 
+def round_trip(text: Column, path: str = RANKS, pattern: str = PATTERN, most_chars: int = 1 << 20) -> Column:
+    """A struct (ids, decoded) of ``encode`` and ``decode`` of its ids, in one go: a text is split and encoded once."""
+    bound_batches(SparkSession.active())
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def run(texts: pa.Array) -> pa.Array:
+        own = tokenizer(path, pattern)
+        parts = []
+        for ids in _encoded(own, texts, most_chars):
+            parts.append(pa.StructArray.from_arrays([ids, pa.array(own.decode(ids), pa.binary())], ["ids", "decoded"]))
+        got = pa.concat_arrays(parts)
+        del parts
+        T.release()
+        return got
+
+    return run(text)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", encode(F.col("text")).alias("ids"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", round_trip(F.col("text")).alias("z"))
     return docs.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids")), 256).alias("decoded_sha256"),
+        F.size("z.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("z.ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("z.decoded"), 256).alias("decoded_sha256"),
     )
