@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from tessera.llm import text as T
-from tessera.llm.common import fold, fraction, random_bits, table
+from tessera.llm.common import bound_batches, fold, fraction, random_bits, table
 
 ORDER = 4
 SPACE = 32
@@ -206,7 +206,7 @@ def learn(labelled: DataFrame, text: str, lang: str, key: str, per_language: int
         return None
     model = fit(counts)
     shipped = labelled.sparkSession.sparkContext.broadcast(model)
-    held = drawn.where(~F.col("fits")).select("lang", _entropies(shipped)(F.col("text")).alias("mean")).where(F.col("mean").isNotNull()).toPandas()
+    held = drawn.where(~F.col("fits")).select("lang", _entropies(shipped).asNondeterministic()(F.col("text")).alias("mean")).where(F.col("mean").isNotNull()).toPandas()
     model.limit = np.full(len(model.langs), np.inf)
     held = held[held["lang"].isin(model.langs)]
     if len(held):
@@ -240,6 +240,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNDECIDED), "score": F.lit(0.0), "cross_entropy": F.lit(None).cast("double"), "rejected": F.lit(True)})
     spark = docs.sparkSession
+    bound_batches(spark)
     mean = F.col("langid_mean")
     best = F.array_min(mean)
     at = F.array_position(mean, best).cast("int")

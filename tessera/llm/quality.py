@@ -4,7 +4,9 @@ Fixed cutoffs suit no two languages or sources alike. Here the fences of each ru
 quantiles of the rule's measure in a document's own language and source. Quantiles are read from
 log-linear histograms: a bucket keeps the leading seven bits of a value, so counts of two sketches
 add up, no order of merging changes them, and a quantile is off by less than a sixty-fourth.
-Documents then join the fences of their group.
+A group's quartiles are drawn towards those of its language, and these towards those of all
+documents, by as much as ``PRIOR_ROWS`` documents would: few documents say little, and there is no
+size at which a group's own quartiles set in. Documents then join the fences of their group.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm import text as T
-from tessera.llm.common import materialize, small, table
+from tessera.llm.common import bound_batches, materialize, settle, small, table
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 SYMBOLS = np.zeros(256, bool)
@@ -32,8 +34,8 @@ RULES = {
     "repeats": ("n_repeat_words * 1000 div greatest(n_words, 1)", 300),
 }
 SPAN = 4
-#: A group with fewer documents takes the fences of its language, or those of all documents.
-LEAST_ROWS = 200
+#: So many documents the quartiles of the wider group count for.
+PRIOR_ROWS = 50
 
 
 def _stats(w: T.Words) -> list[np.ndarray]:
@@ -78,7 +80,9 @@ def _text_stats(texts: pa.Array) -> pa.Array:
 
 def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the columns of ``STATS`` for each whole text, in place of any of these names; a null text counts as empty."""
-    return docs.drop(*STATS).withColumn("quality_stats", _text_stats(F.col(text))).select("*", "quality_stats.*").drop("quality_stats")
+    bound_batches(docs.sparkSession)
+    # not to be moved into a filter and then run again for the columns
+    return docs.drop(*STATS).withColumn("quality_stats", _text_stats.asNondeterministic()(F.col(text))).select("*", "quality_stats.*").drop("quality_stats")
 
 
 def bucket(value: Column) -> Column:
@@ -94,32 +98,32 @@ def sketches(docs: DataFrame, by: list[str]) -> DataFrame:
     return long.groupBy(*by, "rule", "edge").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(sketch: DataFrame, by: list[str], span: int = SPAN) -> DataFrame:
-    """(by..., rule, group_rows, fence) from sketches, which are merged to the groups ``by``."""
+def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., rule, group_rows, q1, q3) from sketches, which are merged to the groups ``by``."""
     merged = sketch.groupBy(*by, "rule", "edge").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*by, "rule")
     upto = group.orderBy("edge").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = merged.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(group))
-    quartile = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("all") * k, F.col("edge")))
-    slack = F.create_map(*[F.lit(x) for rule, (_, slack) in RULES.items() for x in (rule, slack)])[F.col("rule")]
-    return ranked.groupBy(*by, "rule").agg(F.max("all").alias("group_rows"), quartile(1).alias("q1"), quartile(3).alias("q3")).select(
-        *by, "rule", "group_rows", (F.col("q3") + span * (F.col("q3") - F.col("q1")) + slack).alias("fence")
-    )
+    quartile = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("all") * k, F.col("edge"))).cast("double")
+    return ranked.groupBy(*by, "rule").agg(F.max("all").alias("group_rows"), quartile(1).alias("q1"), quartile(3).alias("q3"))
 
 
-def group_fences(stats: DataFrame, lang: str = "lang", source: str = "source", least_rows: int = LEAST_ROWS) -> DataFrame:
+def group_fences(stats: DataFrame, lang: str = "lang", source: str = "source", prior_rows: int = PRIOR_ROWS, span: int = SPAN) -> DataFrame:
     """(quality_lang, quality_source, fence of each rule) for every language and source that occur together."""
     keyed = stats.select(F.col(lang).alias("quality_lang"), F.col(source).alias("quality_source"), *STATS)
     sketch = materialize(sketches(keyed, ["quality_lang", "quality_source"]))
-    fine, by_lang, whole = (fences(sketch, by) for by in (["quality_lang", "quality_source"], ["quality_lang"], []))
-    by_lang = by_lang.select(F.col("quality_lang").alias("l"), F.col("rule").alias("lr"), F.col("group_rows").alias("lang_rows"), F.col("fence").alias("lang_fence"))
-    whole = F.broadcast(whole.select(F.col("rule").alias("wr"), F.col("fence").alias("whole_fence")))  # a row for each rule
-    chosen = F.when(F.col("group_rows") >= least_rows, F.col("fence")).when(F.col("lang_rows") >= least_rows, F.col("lang_fence")).otherwise(F.col("whole_fence"))
+    fine, by_lang, whole = (quartiles(sketch, by) for by in (["quality_lang", "quality_source"], ["quality_lang"], []))
+    by_lang = by_lang.select(F.col("quality_lang").alias("l"), F.col("rule").alias("lr"), F.col("group_rows").alias("lang_rows"), F.col("q1").alias("l1"), F.col("q3").alias("l3"))
+    whole = F.broadcast(whole.select(F.col("rule").alias("wr"), F.col("q1").alias("w1"), F.col("q3").alias("w3")))  # a row for each rule
     joined = fine.join(by_lang, F.col("quality_lang").eqNullSafe(F.col("l")) & (F.col("rule") == F.col("lr"))).join(whole, F.col("rule") == F.col("wr"))
-    return joined.groupBy("quality_lang", "quality_source").agg(*[F.max(F.when(F.col("rule") == rule, chosen)).alias(f"fence_{rule}") for rule in RULES])
+    drawn = lambda rows, own, wider: (rows * own + prior_rows * wider) / (rows + prior_rows)
+    one, three = (drawn(F.col("group_rows"), F.col(f"q{k}"), drawn(F.col("lang_rows"), F.col(f"l{k}"), F.col(f"w{k}"))) for k in (1, 3))
+    slack = F.create_map(*[F.lit(x) for rule, (_, slack) in RULES.items() for x in (rule, slack)])[F.col("rule")]
+    fenced = joined.withColumn("fence", three + span * (three - one) + slack)
+    return fenced.groupBy("quality_lang", "quality_source").agg(*[F.max(F.when(F.col("rule") == rule, F.col("fence"))).alias(f"fence_{rule}") for rule in RULES])
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep_text: bool = True, most_broadcast: int = 20_000) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep_text: bool = True, most_broadcast: int = 20_000, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """``docs`` with the columns of ``STATS``, ``base_failed``, ``broken`` (the rules it breaks) and ``kept``.
 
     base_failed: fewer than 50 words, or more than half of them in repeated windows of three words.
@@ -127,15 +131,18 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     sources are groups of their own. Null and empty texts have no words, so they fail. An empty table
     gives an empty table. Repeated rows are judged alike. Other columns stay, but for those named as
     a result or ``quality_*`` or ``fence_*``.
+
+    ``docs`` is read twice, once for the sketches and once for the verdicts; no document is written or
+    moved. Groups above ``most_broadcast`` meet the documents by a shuffle.
     """
     docs = docs.drop("base_failed", "broken", "kept", *[c for c in docs.columns if c.lower().startswith(("quality_", "fence_"))])
-    measured = with_stats(docs, text)
-    stats = materialize(measured if keep_text else measured.drop(text))
-    limits = small(materialize(group_fences(stats, lang, source)), most_broadcast)
+    limits = settle(docs.sparkSession, lambda: group_fences(with_stats(docs, text), lang, source, prior_rows))
+    stats = with_stats(docs, text)
+    stats = stats if keep_text else stats.drop(text)
     broken = F.filter(F.array(*[F.when(F.expr(measure) > F.col(f"fence_{rule}"), F.lit(rule)) for rule, (measure, _) in RULES.items()]), lambda x: x.isNotNull())
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        stats.join(limits, F.col(lang).eqNullSafe(F.col("quality_lang")) & F.col(source).eqNullSafe(F.col("quality_source")))
+        stats.join(small(limits, most_broadcast), F.col(lang).eqNullSafe(F.col("quality_lang")) & F.col(source).eqNullSafe(F.col("quality_source")))
         .withColumn("base_failed", failed)
         .withColumn("broken", broken)
         .withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
@@ -179,9 +186,11 @@ WITH base AS (
 ), fine AS ({_sql_fences("lang, source")}), langs AS ({_sql_fences("lang")}), whole AS ({_sql_fences("")}
 ), slack AS (
   {" UNION ALL ".join(f"SELECT '{rule}' AS rule, {s} AS slack" for rule, (_, s) in RULES.items())}
-), fence AS (
-  SELECT f.lang, f.source, f.rule, slack + CASE WHEN f.rows_in >= {LEAST_ROWS} THEN f.q3 + {SPAN} * (f.q3 - f.q1) WHEN l.rows_in >= {LEAST_ROWS} THEN l.q3 + {SPAN} * (l.q3 - l.q1) ELSE w.q3 + {SPAN} * (w.q3 - w.q1) END AS fence
+), drawn AS (
+  SELECT f.lang, f.source, f.rule, slack, {", ".join(f"(f.rows_in * f.q{k}::DOUBLE + {PRIOR_ROWS} * ((l.rows_in * l.q{k}::DOUBLE + {PRIOR_ROWS} * w.q{k}::DOUBLE) / (l.rows_in + {PRIOR_ROWS})::DOUBLE)) / (f.rows_in + {PRIOR_ROWS})::DOUBLE AS q{k}" for k in (1, 3))}
   FROM fine f JOIN langs l ON f.lang IS NOT DISTINCT FROM l.lang AND f.rule = l.rule JOIN whole w ON f.rule = w.rule JOIN slack s ON f.rule = s.rule
+), fence AS (
+  SELECT lang, source, rule, q3 + {SPAN} * (q3 - q1) + slack AS fence FROM drawn
 ), wide AS (
   SELECT lang, source, {", ".join(f"max(fence) FILTER (rule = '{rule}') AS fence_{rule}" for rule in RULES)} FROM fence GROUP BY lang, source
 ), judged AS (
