@@ -4,8 +4,10 @@ Every source gets a token budget. As many complete epochs as fit come first; wha
 budget is filled with documents in the order of exponential keys ``-ln(u) / weight``, so that a
 better document is more likely to be in the fractional epoch.
 
-Only DataFrame functions are used. A source of any size is cut into ranges of its keys, so that no
-task sorts more than about ``rows_per_range`` rows; prefix sums of the ranges' sizes join them.
+Only DataFrame functions are used. A source of any size is cut into ranges of its keys by a histogram
+of the keys that it really has, whatever its weights: buckets of about a hundredth of a key's value,
+within which keys lie evenly, are cut further by their counts. So no task sorts more than about
+``rows_per_range`` rows; prefix sums of the sizes of buckets and ranges join them.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ WEIGHTS = (5, 2, 1)
 #: A source is repeated at most so often.
 MOST_EPOCHS = 3
 SEED = 20260
+#: Buckets of keys for each factor of e.
+BUCKETS = 100
 #: What marks junk in a text; the more of it, the less likely the document is in a fractional epoch.
 JUNK = "#*$%&|<>{}[]~^0123456789"
 
@@ -71,6 +75,27 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_e
     )
 
 
+def in_ranges(docs: DataFrame, source: str, size: str, weight: str, draw: str, weights: tuple[int, ...], most_epochs: int, rows_per_range: int, most_broadcast: int) -> DataFrame:
+    """``docs`` with their source's size and target, and the range of keys that each is in: (mix_source, mix_bucket, mix_range)."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("mix_")])
+    keyed = docs.withColumn("mix_key", _key(weight, draw)).withColumn("mix_source", F.col(source)).withColumn("mix_bucket", F.floor(F.log("mix_key") * BUCKETS))
+    histogram = materialize(keyed.groupBy("mix_source", "mix_bucket").agg(F.count(F.lit(1)).alias("mix_rows"), F.sum(size).alias("mix_size")))
+    totals = histogram.groupBy(F.col("mix_source").alias("source")).agg(F.sum("mix_size").alias("source_size"))
+    targets = source_targets(totals, weights, most_epochs).select(F.col("source").alias("mix_name"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+    lower = Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over buckets
+    placed = histogram.join(targets, F.col("mix_source").eqNullSafe(F.col("mix_name"))).select(
+        F.col("mix_source").alias("mix_name"), F.col("mix_bucket").alias("mix_at"), "mix_source_size", "mix_target", F.ceil(F.col("mix_rows") / rows_per_range).alias("mix_ranges"), F.coalesce(F.sum("mix_size").over(lower), F.lit(0)).alias("mix_before")
+    )
+    bounds = small(materialize(placed), most_broadcast)
+    # where a key lies between its bucket's ends
+    part = (F.col("mix_key") - F.exp(F.col("mix_bucket") / BUCKETS)) / (F.exp((F.col("mix_bucket") + 1) / BUCKETS) - F.exp(F.col("mix_bucket") / BUCKETS))
+    return (
+        keyed.join(bounds, F.col("mix_source").eqNullSafe(F.col("mix_name")) & (F.col("mix_bucket") == F.col("mix_at")))
+        .drop("mix_name", "mix_at")
+        .withColumn("mix_range", F.greatest(F.lit(0), F.least(F.col("mix_ranges") - 1, F.floor(part * F.col("mix_ranges")))))
+    )
+
+
 def mix_sources(
     docs: DataFrame,
     source: str = "source",
@@ -80,7 +105,7 @@ def mix_sources(
     weights: tuple[int, ...] = WEIGHTS,
     most_epochs: int = MOST_EPOCHS,
     rows_per_range: int = 2_000,
-    most_broadcast: int = 10_000,
+    most_broadcast: int = 50_000,
 ) -> DataFrame:
     """``docs`` with ``mix_source_size``, ``mix_target``, ``mix_copies`` (whole copies taken) and ``mix_taken``.
 
@@ -92,35 +117,26 @@ def mix_sources(
     each count; rows with equal keys are ordered by nothing else, as they are equal. An empty table
     gives an empty table. Other columns stay, but for those named ``mix_*``.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("mix_")])
-    keyed = docs.withColumn("mix_key", _key(weight, draw)).withColumn("mix_source", F.col(source))
-    totals = docs.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size"), F.count(F.lit(1)).alias("rows"))
-    targets = small(materialize(source_targets(totals, weights, most_epochs)), most_broadcast).select(
-        F.col("source").alias("mix_name"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.ceil(F.col("rows") / rows_per_range).alias("mix_ranges")
-    )
-    ranged = (
-        keyed.join(targets, F.col("mix_source").eqNullSafe(F.col("mix_name")))
-        .drop("mix_name")
-        .withColumn("mix_range", F.least(F.col("mix_ranges") - 1, F.floor(F.col("mix_ranges") * (1 - F.exp(-F.col("mix_key"))))))
-    )
-    in_order = Window.partitionBy("mix_at_source").orderBy("mix_at_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = in_ranges(docs, source, size, weight, draw, weights, most_epochs, rows_per_range, most_broadcast)
+    in_order = Window.partitionBy("mix_at_source", "mix_at_bucket").orderBy("mix_at_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        ranged.groupBy(F.col("mix_source").alias("mix_at_source"), F.col("mix_range").alias("mix_at_range"))
+        ranged.where("mix_ranges > 1")
+        .groupBy(F.col("mix_source").alias("mix_at_source"), F.col("mix_bucket").alias("mix_at_bucket"), F.col("mix_range").alias("mix_at_range"))
         .agg(F.sum(size).alias("mix_at_size"))
         .withColumn("mix_start", F.coalesce(F.sum("mix_at_size").over(in_order), F.lit(0)))
         .drop("mix_at_size")
     )
-    inside = Window.partitionBy("mix_source", "mix_range").orderBy("mix_key", draw).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("mix_source", "mix_bucket", "mix_range").orderBy("mix_key", draw).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     epochs = _epochs()
     summed = ranged.withColumn("mix_sum", F.sum(size).over(inside))
     budget = F.col("mix_target") - epochs * F.col("mix_source_size")
-    middle = F.col("mix_start") + F.col("mix_sum") - F.col(size) / 2.0
+    middle = F.col("mix_before") + F.coalesce("mix_start", F.lit(0)) + F.col("mix_sum") - F.col(size) / 2.0
     copies = (epochs + F.when((epochs < most_epochs) & (middle <= budget), 1).otherwise(0)).cast("int")
     return (
-        summed.join(starts, F.col("mix_source").eqNullSafe(F.col("mix_at_source")) & (F.col("mix_range") == F.col("mix_at_range")))
+        summed.join(starts, F.col("mix_source").eqNullSafe(F.col("mix_at_source")) & (F.col("mix_bucket") == F.col("mix_at_bucket")) & (F.col("mix_range") == F.col("mix_at_range")), "left")
         .withColumn("mix_copies", copies)
         .withColumn("mix_taken", F.col("mix_copies") * F.col(size))
-        .drop("mix_at_source", "mix_at_range", "mix_key", "mix_source", "mix_ranges", "mix_range", "mix_start", "mix_sum")
+        .drop("mix_at_source", "mix_at_bucket", "mix_at_range", "mix_key", "mix_source", "mix_bucket", "mix_ranges", "mix_before", "mix_range", "mix_start", "mix_sum")
     )
 
 
