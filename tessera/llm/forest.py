@@ -3,8 +3,13 @@
 Each tree gives a vector a long string of bits, the sides of random hyperplanes, and is a sorted
 array of these strings, cut into cells by their first bits. A query descends to the longest prefixes
 that others share with it and ascends in all trees at once, one bit at a time, until the matches of
-all trees together are as many as wanted. It then scores the matches of that prefix length, which
-are a range of each sorted array.
+all trees together are as many as wanted. The matches of that prefix length, a range of each sorted
+array, are compared with the query.
+
+Trees hold ids, strings and vectors in sixteen bits a component, so that the vectors themselves are
+neither copied for each tree nor moved before the end. Comparisons in sixteen bits have an error with
+a known bound: a match leaves its task if that error could hide it among the nearest, and the few
+that are left meet the original vectors for their exact scores.
 
 The matches of each length come from counts of prefixes, so no task sees a whole tree. Cells with
 many vectors are cut by a hash. Of equal vectors only the first by id can be among the nearest, so
@@ -20,15 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
-from tessera.llm.common import materialize, small, table
+from tessera.llm.common import materialize, settle, small, table
 
 NEAREST = 20
 TREES, BITS, SEED = 24, 30, 5
-#: Matches wanted in all trees together, as a share of all vectors. Vectors without any structure need
-#: this much for a recall of 0.9; where neighbours stand out, a small share does.
-SHARE = 1.3
+#: Matches wanted in all trees together: a number, and a share of all vectors beyond it. Vectors without
+#: any structure need this much for a recall of 0.9; where neighbours stand out, a small share does.
+MATCHES, SHARE = 3000, 0.45
 #: Vectors of a cell that one task takes.
 CELL_ROWS = 8192
 
@@ -46,20 +50,23 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def hasher(dim: int, longest: float, trees: int, bits: int, seed: int, query: bool):
-    """A UDF from vectors to their strings, a long for each tree.
+    """A UDF from vectors to (keys: their strings, a long for each tree; code, unit: the vector as whole numbers of a unit).
 
     Inner products become angles by one more component, which fills a vector up to the longest norm and
-    is 0 for queries.
+    is 0 for queries. The code has 16-bit numbers; for queries it is the vector itself, of unit 1.
     """
     planes = np.random.default_rng(seed).standard_normal((dim + 1, trees * bits))
     weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
 
-    @F.arrow_udf(ArrayType(LongType()))
+    @F.arrow_udf("struct<keys:array<long>,code:binary,unit:double>")
     def run(vectors: pa.Array) -> pa.Array:
         x = _matrix(vectors)
         filled = np.zeros(len(x)) if query else np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))
         keys = np.concatenate([(np.column_stack([x[i : i + 4096], filled[i : i + 4096]]) @ planes > 0).reshape(-1, trees, bits) @ weights for i in range(0, len(x), 4096)]) if len(x) else np.zeros((0, trees), np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * trees), pa.array(keys.ravel()))
+        unit = np.ones(len(x)) if query else np.abs(x).max(1, initial=0) / 32767
+        code = x if query else np.round(x / unit[:, None]).astype(np.int16)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * trees), pa.array(keys.ravel()))
+        return pa.StructArray.from_arrays([lists, pa.array([row.tobytes() for row in code], pa.binary()), pa.array(unit)], ["keys", "code", "unit"])
 
     return run
 
@@ -79,33 +86,41 @@ def prefix_counts(keyed: DataFrame, trees: int, bits: int, deepest: int) -> Data
 
 
 def _search(bits: int, most: int):
+    """(query, vec_id, rough, slack) of the matches in one part of a cell that may be among the ``most`` nearest; the score is within slack of rough."""
+
     def run(group: pa.Table) -> pa.Table:
         wanted = group.column("depth").to_numpy()
         points, queries = group.filter(pa.array(wanted < 0)).sort_by("key"), group.filter(pa.array(wanted >= 0))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         if len(points) and len(queries):
-            key, ids, x = points.column("key").to_numpy(), points.column("id").to_numpy(), _matrix(points.column("vector"))
-            own, own_key, depth, q = queries.column("id").to_numpy(), queries.column("key").to_numpy(), queries.column("depth").to_numpy(), _matrix(queries.column("vector"))
-            # ties outlast the coarse cut, as far as rounding can part them
-            slack = 4 * x.shape[1] * np.finfo(float).eps * np.sqrt((x * x).sum(1).max() * (q * q).sum(1))
+            key, ids, unit = (points.column(c).to_numpy() for c in ("key", "id", "unit"))
+            own, own_key, depth = (queries.column(c).to_numpy() for c in ("id", "key", "depth"))
+            x = np.frombuffer(b"".join(points.column("code").to_pylist()), np.int16).reshape(len(ids), -1).astype(np.float32)
+            q = np.frombuffer(b"".join(queries.column("code").to_pylist()), np.float64).reshape(len(own), -1)
+            # half a unit in every component, and the rounding of sums in 32 bits
+            size = np.abs(q).sum(1)
+            slack = unit * (0.5 + 32767 * (x.shape[1] + 2) * float(np.finfo(np.float32).eps))
             shift = bits - depth
             low, high = np.searchsorted(key, (own_key >> shift) << shift), np.searchsorted(key, ((own_key >> shift) + 1) << shift)
-            for k in range(len(own)):
-                match = np.arange(low[k], high[k])
-                if len(match) > 4 * most:  # a coarse cut, then scores that don't hang on a vector's place
-                    rough = x[low[k] : high[k]] @ q[k]
-                    match = match[rough >= np.partition(rough, -4 * most)[-4 * most] - slack[k]]
-                score = (x[match] * q[k]).sum(1)
-                best = np.lexsort((ids[match], -score))[:most]
-                out.append((np.full(len(best), own[k]), ids[match[best]], score[best]))
-        both = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.table({"query": pa.array(both[0], pa.int64()), "vec_id": pa.array(both[1], pa.int64()), "score": pa.array(both[2], pa.float64())})
+            thin = q.astype(np.float32)
+            for k in np.flatnonzero(low < high).tolist():
+                at = slice(low[k], high[k])
+                rough, error = (x[at] @ thin[k]) * unit[at], slack[at] * size[k]
+                if len(rough) > most:
+                    sure = rough - error
+                    kept = np.flatnonzero(rough + error >= np.partition(sure, -most)[-most])
+                else:
+                    kept = np.arange(len(rough))
+                out.append((np.full(len(kept), own[k]), ids[at][kept], rough[kept], error[kept]))
+        empty = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else empty
+        return pa.table({name: pa.array(c, t) for name, c, t in zip(("query", "vec_id", "rough", "slack"), columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
 
     return run
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = NEAREST, trees: int = TREES, bits: int = BITS, share: float = SHARE, cell_rows: int = CELL_ROWS, seed: int = SEED
+    vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = NEAREST, trees: int = TREES, bits: int = BITS, matches: int = MATCHES, share: float = SHARE, cell_rows: int = CELL_ROWS, seed: int = SEED
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products found for each query, its own row left out.
 
@@ -114,6 +129,10 @@ def nearest(
     An empty table, or one without other vectors, gives no rows. Rows that repeat an id are one
     candidate. Ids are longs.
     """
+    return settle(vectors.sparkSession, lambda: _nearest(vectors, queries, key, vector, k, trees, bits, matches, share, cell_rows, seed))
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, trees: int, bits: int, matches: int, share: float, cell_rows: int, seed: int) -> DataFrame:
     usable = clean(vectors.where(F.col(key).isNotNull()), vector).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     lengths = usable.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("longest")).orderBy(F.desc("n"), F.desc("dim")).first()
@@ -123,13 +142,13 @@ def nearest(
     dim, longest = lengths["dim"], lengths["longest"]
     copies = Window.partitionBy("vector").orderBy("id")
     kept = usable.where(F.size("vector") == dim).distinct().withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
-    points = materialize(kept.withColumn("keys", hasher(dim, longest, trees, bits, seed, False)(F.col("vector"))))
+    points = materialize(kept.withColumn("h", hasher(dim, longest, trees, bits, seed, False)(F.col("vector"))).select("id", "vector", "h.*"))
     asked = clean(queries.where(F.col(key).isNotNull()), vector).select(F.col(key).cast("long").alias("query_id"), F.col(vector).alias("vector")).where(F.size("vector") == dim).distinct()
     distinct = asked.groupBy("vector").agg(F.min("query_id").alias("id"))
-    searched = materialize(distinct.withColumn("keys", hasher(dim, longest, trees, bits, seed, True)(F.col("vector"))))
+    searched = materialize(distinct.withColumn("h", hasher(dim, longest, trees, bits, seed, True)(F.col("vector"))).select("id", "vector", "h.*"))
 
     n = points.count()
-    wanted = max(k + 1, share * n)
+    wanted = max(k + 1, matches + share * n)
     level = max(0, min(bits, int(math.log2(max(1.0, trees * n / wanted)))))
     deepest = min(bits, level + 6)
     counts = materialize(prefix_counts(points, trees, bits, deepest))
@@ -143,24 +162,31 @@ def nearest(
     parts = small(counts.where(F.col("depth") == level).select(F.col("tree").alias("of_tree"), F.col("prefix").alias("of_cell"), F.ceil(F.col("n") / cell_rows).alias("parts")), 200_000)
     in_cell = (F.col("tree") == F.col("of_tree")) & (F.col("cell") == F.col("of_cell"))
     placed = (
-        points.select("id", "vector", F.posexplode("keys").alias("tree", "key"))
+        points.select("id", "code", "unit", F.posexplode("keys").alias("tree", "key"))
         .withColumn("cell", F.expr(f"shiftright(key, {bits - level})"))
         .join(parts, in_cell)
-        .select("tree", "cell", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "id", "key", F.lit(-1).alias("depth"), "vector")
+        .select("tree", "cell", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "id", "key", F.lit(-1).alias("depth"), "code", "unit")
     )
     up = f"greatest(0, {level} - depth)"
     visits = (
         searched.join(depths, "id")
-        .select("id", "vector", "depth", F.posexplode("keys").alias("tree", "key"))
+        .select("id", "code", "unit", "depth", F.posexplode("keys").alias("tree", "key"))
         .withColumn("below", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"shiftleft(1L, {up}) - 1"))))
         .withColumn("cell", F.expr(f"shiftleft(shiftright(key, {bits - level} + {up}), {up}) + below"))
         .join(parts, in_cell)
         .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .select("tree", "cell", "part", "id", "key", "depth", "vector")
+        .select("tree", "cell", "part", "id", "key", "depth", "code", "unit")
     )
-    found = placed.unionByName(visits).groupBy("tree", "cell", "part").applyInArrow(_search(bits, k + 1), "query long, vec_id long, score double").distinct()
+    found = placed.unionByName(visits).groupBy("tree", "cell", "part").applyInArrow(_search(bits, k + 1), "query long, vec_id long, rough double, slack double")
+    # one row for each match, those that can still be among the nearest, then their exact scores
+    once = found.groupBy("query", "vec_id").agg(F.max("rough").alias("rough"), F.max("slack").alias("slack"))
+    sure = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.col("rough") - F.col("slack"))))
+    least = F.min(F.when(F.col("at") <= k + 1, F.col("rough") - F.col("slack"))).over(Window.partitionBy("query"))
+    few = once.withColumn("at", sure).withColumn("least", least).where(F.col("rough") + F.col("slack") >= F.col("least")).select("query", "vec_id")
+    scored = few.join(points.select(F.col("id").alias("vec_id"), "vector"), "vec_id").join(searched.select(F.col("id").alias("query"), F.col("vector").alias("asked")), "query")
+    score = F.aggregate(F.zip_with("vector", "asked", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     by_score = [F.desc("score"), F.asc("vec_id")]
-    best = found.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(*by_score))).where(F.col("at") <= k + 1).drop("at")
+    best = scored.select("query", "vec_id", score.alias("score")).withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy(*by_score))).where(F.col("at") <= k + 1).drop("at")
     of_class = asked.join(distinct.withColumnRenamed("vector", "same"), F.col("vector") == F.col("same")).select("query_id", F.col("id").alias("class"))
     each = of_class.join(best, F.col("class") == F.col("query")).where(F.col("vec_id") != F.col("query_id"))
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*by_score)))
