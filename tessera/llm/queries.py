@@ -1,4 +1,4 @@
-"""The queries of this subpackage and their SQL, by the names under which they are registered."""
+"""The operators' queries and their SQL, by the names under which they are registered."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from tessera.llm import bpe, forest, jaccard, langid, mixing, quality, scoring, secrets, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,7 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_substring_dedup": substrings.op10_substring_dedup,
-    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {

@@ -4,11 +4,11 @@ import math
 import corpus_pipeline
 import numpy as np
 import pytest
-import tiktoken
 from compare import DATA
+from library import library
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, forest, jaccard, mixing, quality, secrets
+from tessera.llm import forest, jaccard, mixing, quality, secrets
 from tessera.llm.components import components
 
 
@@ -71,11 +71,9 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     mixed = corpus_pipeline.mix(spark, spark.createDataFrame(cut, docs.schema), sf)
     copies = {r["doc_id"]: r["mix_copies"] for r in mixing.mix_sources(mixing.with_draws(spark.createDataFrame(cut, docs.schema))).collect()}
     assert collections.Counter(r["doc_id"] for r in mixed.collect()) == {d: n for d, n in copies.items() if n}
-    own = bpe.tokenizer(bpe.RANKS, bpe.PATTERN)
-    library = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
     texts = {r["doc_id"]: r["text"] for r in cut}
     final = corpus_pipeline.run(spark, sf).collect()
-    assert all(r["round_trip"] and r["ids"] == library.encode_ordinary(texts[r["doc_id"]]) for r in final)
+    assert all(r["round_trip"] and r["ids"] == library().encode_ordinary(texts[r["doc_id"]]) for r in final)
     assert collections.Counter(r["doc_id"] for r in final) == {d: n for d, n in copies.items() if n}
 
 

@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import random
 
 import pytest
@@ -51,6 +52,29 @@ def test_shards_are_uniform(spark):
     assert chi < 49 + 5 * (2 * 49) ** 0.5
 
 
+def bits(*parts):
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16)
+
+
+def test_shuffle_equals_one_by_hand(spark):
+    """Blocks, cuts and both permutations again in plain Python, with the drawn matrix; more blocks than one round of halving draws at once."""
+    n, shards, seed, depth = 400, 7, 71, 7
+    blocks = collections.defaultdict(list)
+    for i in range(n):
+        blocks[bits(seed, "block", i) % 2**depth].append(i)
+    counts = spark.createDataFrame([(b, len(v)) for b, v in blocks.items()], "block int, rows long")
+    ends = {r["shard_of"]: r["shard_ends"] for r in sharding.communication_matrix(counts, depth, shards, seed).collect()}
+    assert all(ends[b][-1] == len(v) for b, v in blocks.items()) and len(ends) == 2**depth
+    sent = collections.defaultdict(list)
+    for b, own in blocks.items():
+        for place, i in enumerate(sorted(own, key=lambda i: (bits(seed, "first", i), i)), 1):
+            sent[sum(end < place for end in ends[b])].append(i)
+    assert sorted(map(len, sent.values())) == [57] * 6 + [58]
+    want = {i: (s, slot) for s, own in sent.items() for slot, i in enumerate(sorted(own, key=lambda i: (bits(seed, "second", i), i)))}
+    got = sharding.shuffle_into_shards(rows_of(spark, n), ["doc_id"], shards=shards, seed=seed, rows_per_block=4, rows_per_range=20).collect()
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in got} == want
+
+
 def test_op1_returns_all_documents(spark):
     sf = str(DATA / "sf0.001")
     got = sharding.op1_shard_documents(spark, sf)
@@ -118,3 +142,11 @@ def test_repeats_are_taken_together(spark):
     docs = mixing.with_draws(spark.createDataFrame([(1, "a b c", s) for s in "uuuuvvvvwwww"], "doc_id long, text string, source string"))
     taken = mixing.take(docs, mixing.cutoffs(mixing.mix_sources(docs))).collect()
     assert len(taken) == 12 and all(len({r["mix_copies"] for r in taken if r["source"] == s}) == 1 and max(r["mix_copies"] for r in taken) <= 3 for s in "uvw")
+
+
+@pytest.mark.parametrize("weight", [1.0, 0.05, 7.0])
+def test_ranges_are_even_whatever_the_weights(spark, weight):
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(3).cast("long").alias("size"), F.lit(weight).alias("weight"), mixing.fraction(mixing.random_bits("t", F.col("id"))).alias("draw"))
+    found = mixing.in_ranges(docs, "source", "size", "weight", "draw", mixing.WEIGHTS, mixing.MOST_EPOCHS, 100, 50_000)
+    rows = sorted(r["count"] for r in found.groupBy("mix_bucket", "mix_range").count().collect())
+    assert sum(rows) == 40_000 and rows[-1] <= 200

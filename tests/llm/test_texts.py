@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -11,10 +12,10 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 import regex
-import tiktoken
 from compare import DATA, check
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from library import library
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, jaccard, langid, quality, scoring, secrets, substrings
@@ -89,6 +90,50 @@ def test_ownership_decides_on_candidates(spark):
     assert sorted(r["text"] or "" for r in got if r["doc_id"] == 20) == ["", 'é [assign]" x']
 
 
+def test_ownership_on_a_whole_table_equals_brute_force(spark):
+    rng = random.Random(6)
+    values = ["".join(rng.choice("abcdefGHIJKLMNOP0123456789_-") for _ in range(24)) for _ in range(40)]
+    planted = [(-1 - i, f"see {rng.choice(values)} and {rng.choice(values)} é {rng.choice(values)}", rng.choice(["s1", "s2", "s3", "s4", None])) for i in range(60)]
+    frame = spark.read.parquet(str(DATA / "sf0.01/documents.parquet")).select("doc_id", "text", "source").union(spark.createDataFrame(planted, "doc_id long, text string, source string"))
+    docs = frame.collect()
+    found, owners = {}, collections.defaultdict(set)
+    for r in docs:
+        text = r["text"] or ""
+        spans = [(0, m.start(), m.end(), m[2]) for m in secrets.ASSIGN.finditer(text) if len(m[2]) >= 12]
+        spans += [(1, m.start(), m.end(), m[0]) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        spans += [(2, m.start(), m.end(), m[0]) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+        for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+            v = m[0]
+            mixed = len(v) >= 20 and any(c in "0123456789" for c in v) and any(c.isalpha() for c in v) and len(set(v)) >= 8
+            if mixed and not any(a < m.end() and m.start() < b for _, a, b, _ in spans):
+                spans.append((3, m.start(), m.end(), v))
+        found[r["doc_id"]] = spans
+        for *_, v in spans:
+            owners[v].add(r["source"])
+    assert {len(owners[v]) > secrets.MOST_OWNERS for spans in found.values() for k, *_, v in spans if k == 3} == {True, False}
+    got = {r["doc_id"]: r for r in secrets.find_secrets(frame).collect()}
+    for d, spans in found.items():
+        kept = sorted((a, k, b) for k, a, b, v in spans if k < 3 or len(owners[v]) <= secrets.MOST_OWNERS)
+        base = sorted((a, k, b) for k, a, b, _ in spans if k < 3)
+        assert ([tuple(s) for s in got[d]["spans"]], [tuple(s) for s in got[d]["base_spans"]]) == (kept, base)
+        assert got[d]["n_copied"] == sum(k < 3 and len(owners[v]) > secrets.MOST_OWNERS for k, _, _, v in spans)
+
+
+def test_fences_of_language_and_source_decide(spark):
+    """Groups of different habits: what is common in one is beyond the fence of another."""
+    rng = random.Random(5)
+    rows = []
+    for lang, source, rate in (("en", "code", 0.6), ("en", "prose", 0.0), ("fr", "prose", 0.02)):
+        for i in range(1200):
+            words = [f"{lang}{rng.randrange(10**6)}" for _ in range(80)]
+            marks = round(80 * rate) + (i == 0) * (10 if source == "code" else 40)
+            rows.append((len(rows), " ".join(words) + " " + "#" * marks, lang, source))
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {d for d, r in got.items() if not r["kept"]} == {1200, 2400}
+    wide = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), prior_rows=10**9).where("kept").count()
+    assert wide == len(rows)
+
+
 def test_secrets_of_odd_rows(spark):
     assert secrets.find_secrets(odd_docs(spark, spans="mine", secret_text="x")).count() == len(ODD) + 3
     assert secrets.find_secrets(odd_docs(spark).limit(0)).count() == 0
@@ -97,29 +142,43 @@ def test_secrets_of_odd_rows(spark):
 # --- tokens
 
 
-def reference():
-    own = bpe.tokenizer(bpe.RANKS, bpe.PATTERN)
-    return own, tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+def own():
+    return bpe.tokenizer(bpe.RANKS, bpe.PATTERN)
 
 
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.text(max_size=40), st.text(alphabet="ab th'sé1 \n", max_size=60)), max_size=5))
 def test_tokens_equal_the_library_and_come_back(texts):
-    own, library = reference()
-    ids = own.encode(texts)
-    assert ids.to_pylist() == [library.encode_ordinary(t) for t in texts]
-    assert own.decode(ids) == [t.encode() for t in texts]
+    ids = own().encode(texts)
+    assert ids.to_pylist() == [library().encode_ordinary(t) for t in texts]
+    assert own().decode(ids) == [t.encode() for t in texts]
+
+
+def test_words_of_one_hash_stay_apart(monkeypatch):
+    fresh = bpe.Tokenizer(bpe.RANKS, bpe.PATTERN)
+    monkeypatch.setattr(bpe, "hash", len, raising=False)
+    for texts in (["the cat", "a dog"], ["one owl"], ["six hens and two", "the cat"]):
+        assert fresh.encode(texts).to_pylist() == [library().encode_ordinary(t) for t in texts]
+
+
+def test_words_are_dropped_and_learned_again(monkeypatch):
+    fresh = bpe.Tokenizer(bpe.RANKS, bpe.PATTERN)
+    monkeypatch.setattr(bpe, "MOST_KEPT", 40)
+    rng = random.Random(8)
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["often", "always", f"word{rng.randrange(10**4)}"]) for _ in range(20)) for _ in range(3)]
+        assert fresh.encode(texts).to_pylist() == [library().encode_ordinary(t) for t in texts]
+        assert len(fresh.known) < 200
 
 
 def test_long_words_and_narrow_pattern():
-    own, library = reference()
     rng = random.Random(1)
     words = ["a" * 3000, " " * 3000, "".join(rng.choice("etaoin") for _ in range(2000))]
-    assert own.encode(words).to_pylist() == [library.encode_ordinary(w) for w in words]
+    assert own().encode(words).to_pylist() == [library().encode_ordinary(w) for w in words]
     chars = [chr(i) for i in range(256)] + list(" ' s ve ll 12")
     for _ in range(3000):
         t = "".join(rng.choice(chars) for _ in range(12))
-        assert own.narrow.findall(t) == own.pattern.findall(t)
+        assert own().narrow.findall(t) == own().pattern.findall(t)
 
 
 def test_bpe_of_odd_rows(spark):
@@ -158,7 +217,31 @@ def test_substrings_equal_brute_force(spark):
         docs.append((d * 3 % 61, " ".join(w for p in parts for w in p)))
     got = substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in got} == removed(docs)
-    assert all(f["end"] - f["start"] >= 13 and f["reference"] < r["doc_id"] for r in got for f in r["factors"])
+    assert {r["doc_id"]: [tuple(f) for f in r["factors"]] for r in got} == factors(docs)
+    words = {d: t.split() for d, t in docs}
+    for r in got:
+        for f in r["factors"]:
+            n = f["end"] - f["start"]
+            assert n >= 13 and words[r["doc_id"]][f["start"] : f["end"]] == words[f["reference"]][f["at"] : f["at"] + n]
+
+
+def factors(docs, n=13):
+    """A parse of each document from the left, one window after the other."""
+    words, first, out = {d: t.split() for d, t in docs}, {}, {}
+    for d in sorted(words):
+        w, out[d] = words[d], []
+        grams = [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+        for i, g in enumerate(grams):
+            known = first.get(g)
+            if known and known[0] < d:
+                last = out[d][-1] if out[d] else None
+                if last and last[1] == i - 1 + n and last[2] == known[0] and last[3] + i - last[0] == known[1]:
+                    out[d][-1] = (last[0], i + n, *last[2:])
+                else:
+                    out[d].append((i, i + n, *known))
+        for i, g in enumerate(grams):
+            first.setdefault(g, (d, i))
+    return out
 
 
 def test_substrings_of_odd_rows(spark):
@@ -214,6 +297,32 @@ def test_groups_equal_brute_force(spark, monkeypatch, tile):
     assert sorted(repr(tuple(r)) for r in jaccard.jaccard_groups(docs).collect()) == groups(rows)
 
 
+def thue_morse(n):
+    """Two words of ``n`` letters that sums of powers of any odd factor can't tell apart from some length on."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_of_one_form_stay_apart(spark):
+    for n in (1024, 4096):
+        a, b = thue_morse(n)
+        docs = spark.createDataFrame([(1, f"one two three four {a}"), (2, f"one two three four {b}")], "doc_id long, text string")
+        assert {r["component_id"] for r in jaccard.jaccard_groups(docs).collect()} == {1, 2}
+        twelve = " ".join(f"w{i}" for i in range(12))
+        docs = spark.createDataFrame([(1, f"{twelve} {a}"), (2, f"{twelve} {b}")], "doc_id long, text string")
+        assert [r["n_removed"] for r in substrings.remove_repeats(docs).collect()] == [0, 0]
+        known = spark.createDataFrame([(0, a), (11, b)], "doc_id long, text string")
+        assert [scoring.trains(np.array([i]))[0] for i in (0, 11)] == [True, False]
+        assert {r["doc_id"]: r["n_known"] for r in scoring.score_texts(known).collect()} == {0: 2, 11: 1}
+        stats = quality.with_stats(spark.createDataFrame([(f"x y {a} x y {b}\n{a}\n{b}",)], "text string")).first()
+        assert (stats["n_dup_lines"], stats["n_repeat_words"]) == (0, 0)
+
+
+def test_overlaps_are_whole_numbers():
+    sets = [np.arange(700_001), np.arange(100, 700_101)]
+    assert jaccard.overlaps(sets).tolist() == [[700_001, 699_901], [699_901, 700_001]]
+
+
 def test_groups_of_odd_rows(spark):
     assert jaccard.jaccard_groups(odd_docs(spark, component_id="x", at="y")).count() == len(ODD) + 3
     assert jaccard.jaccard_groups(odd_docs(spark).limit(0)).count() == 0
@@ -246,9 +355,57 @@ def test_scores_of_odd_rows(spark):
 
 
 def test_weights_recover_a_mixture():
-    rows = np.array([[3, -4, 8, 900], [3, scoring.NEVER, 12, 100]])
-    w = scoring.learn_weights(rows, 1000, 1e-6)
-    assert w[3][0] > 0.8 and w[3].sum() == pytest.approx(1)
+    half = -scoring.STEPS
+    for order in (2, 3):
+        rows = np.array([[3, *[half] * (order - 1), 3 * scoring.STEPS, 900], [3, *[scoring.NEVER] * (order - 1), 3 * scoring.STEPS, 100]])
+        w = scoring.learn_weights(rows, 1000, 1e-6)
+        assert w[3][: order - 1].sum() > 0.8 and w[3].sum() == pytest.approx(1)
+        assert (w[4] == w[3]).all() and (w[2] == w[0]).all()
+        assert [x.tolist() for x in scoring._unpacked(scoring._packed(rows[:, 0], list(rows[:, 1:-1].T)), order)] == rows[:, :-1].T.tolist()
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_model_equals_a_plain_one(spark, order):
+    """Counts, held-out histogram, weights and scores from dictionaries of words."""
+    rng = random.Random(order)
+    docs = [(i, " ".join(rng.choice(["a", "b", "c", "d", "E", "rare"][: rng.randrange(2, 7)]) for _ in range(rng.randrange(0, 60)))) for i in range(80)]
+    docs += [(100 + i, docs[i][1]) for i in range(10)]
+    tokens = {d: [*t.lower().split(), None] for d, t in docs}
+    trains = {d for d in tokens if scoring.trains(np.array([d]))[0]}
+    counts, starts = collections.Counter(), len(trains)
+
+    def grams(d, i, m):
+        """The n-gram of m words that ends at word i; a text's begin stands before its first word."""
+        return (*["^"] * (m - 1 - i), *tokens[d][max(0, i - m + 1) : i + 1])
+
+    for d in trains:
+        for i in range(len(tokens[d])):
+            counts.update({grams(d, i, m) for m in range(1, order + 1)})
+
+    def looked_up(d, i, own):
+        ratios, bucket = [], 0
+        for m in range(2, order + 1):
+            context = (starts if i == 0 else counts[grams(d, i - 1, m - 1)]) - own
+            ratios.insert(0, (counts[grams(d, i, m)] - own) / max(context, 1))
+            bucket = (m - 2) * scoring.BUCKETS + context.bit_length() if context > 0 else bucket
+        return bucket, ratios, counts[grams(d, i, 1)] - own
+
+    n = sum(len(tokens[d]) for d in trains)
+    kinds = sum(1 for g, c in counts.items() if len(g) == 1 and c)
+    rows = collections.Counter()
+    for d in trains:
+        for i in range(len(tokens[d])):
+            bucket, ratios, word = looked_up(d, i, 1)
+            rows[(bucket, *(int(scoring._step(np.array([x]))[0]) for x in (*ratios, word)))] += 1
+    weights = scoring.learn_weights(np.array([[*k, c] for k, c in rows.items()]), n, 1 / (kinds + 1))
+    got = {r["doc_id"]: r for r in scoring.score_texts(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), order=order).collect()}
+    for d in tokens:
+        want = 0.0
+        for i in range(len(tokens[d])):
+            bucket, ratios, word = looked_up(d, i, 0)
+            w = weights[bucket]
+            want += math.log10(sum(a * b for a, b in zip(w, ratios, strict=False)) + w[-2] * word / n + w[-1] / (kinds + 1))
+        assert got[d]["score"] == pytest.approx(want, rel=1e-9) and got[d]["train_tokens"] == n
 
 
 # --- languages
@@ -274,6 +431,50 @@ def test_languages_of_odd_rows(spark):
     assert langid.identify(odd_docs(spark), None).count() == len(ODD) + 3
 
 
+def plain_kneser_ney(counts, languages):
+    """Probabilities of a character after others from dictionaries: {lang: {four characters: n}}."""
+    kinds = len({g[-1:] for lang in languages for g in counts[lang]})
+    tables = {}
+    for lang in languages:
+        tables[lang, 4] = dict(counts[lang])
+        for k in (3, 2, 1):
+            below = collections.Counter()
+            for g, n in tables[lang, k + 1].items():
+                below[g[1:]] += n > 0
+            tables[lang, k] = dict(below)
+
+    def p(lang, text):
+        k = len(text)
+        if not k:
+            return 1 / (kinds + 1)
+        c = tables[lang, k]
+        once, twice = (sum(n == m for n in c.values()) for m in (1, 2))
+        discount = once / (once + 2 * twice) if once else 0.5
+        after = [n for g, n in c.items() if g[:-1] == text[:-1]]
+        if not sum(after):
+            return p(lang, text[1:])
+        return max(c.get(text, 0) - discount, 0) / sum(after) + discount * len(after) / sum(after) * p(lang, text[1:])
+
+    return p
+
+
+def test_models_equal_a_plain_one():
+    texts = {"de": "der hund und die katze und der wald und die hunde", "en": "the cat and the dog and the wood and the cats"}
+    rows, counts = [], {}
+    for lang, text in texts.items():
+        (padded, kept, _), *_ = langid.sequences(pa.array([text]))
+        grams = langid.keys(padded, kept)
+        counts[lang] = collections.Counter("".join(chr(int(g) >> 16 * j & 0xFFFF) for j in (3, 2, 1, 0)) for g in grams)
+        rows += [(lang, g, n) for g, n in zip(*np.unique(grams.view(np.int64), return_counts=True), strict=True)]
+    model = langid.fit(pd.DataFrame(rows, columns=["lang", "gram", "n"]))
+    p = plain_kneser_ney(counts, sorted(texts))
+    tried = sorted({g for c in counts.values() for g in c} | {"zzzz", "undx", "   q", "e di", "xxth"})
+    packed = np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(g)) for g in tried], np.uint64)
+    got = np.exp(model.score(packed))
+    for i, g in enumerate(tried):
+        assert got[i].tolist() == pytest.approx([p(lang, g) for lang in sorted(texts)], rel=1e-4), g
+
+
 def test_probabilities_sum_to_one():
     texts = pa.array(["abracadabra a bra", "cad ab"])
     counts = collections.Counter(k for p, kept, _ in langid.sequences(texts) for k in langid.keys(p, kept).tolist())
