@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, jaccard, mixing, quality, secrets
-from tessera.llm.common import WORD, materialize, table
+from tessera.llm.common import WORD, materialize, settle, table
 
 
 def _boxed(docs: DataFrame, *columns: str) -> DataFrame:
@@ -21,7 +21,7 @@ def _boxed(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality rules reject."""
+    """Drops the documents that the quality rules reject, null and empty texts among them; repeated rows stay or go together."""
     return quality.judge(_boxed(docs, "text", "lang", "source"), keep_text=False).where("kept").select("document.*")
 
 
@@ -32,21 +32,26 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     the documents without an id in a group one stays as well. Those without words link with nothing.
     """
     row = F.xxhash64("doc_id", "text")
-    groups = jaccard.jaccard_groups(docs.select(row.alias("near_row"), "text"), key="near_row").select(F.col("doc_id").alias("in_row"), "component_id").distinct()
-    rows = docs.select(row.alias("near_row"), "doc_id").distinct()
-    first = F.min(F.struct("doc_id", "near_row")).alias("first")
-    stays = rows.join(groups, F.col("near_row") == F.col("in_row")).groupBy("component_id", F.col("doc_id").isNull()).agg(first).select(F.col("first.near_row").alias("stays"))
+
+    def build() -> DataFrame:
+        groups = jaccard.jaccard_groups(docs.select(row.alias("near_row"), "text"), key="near_row").select(F.col("doc_id").alias("in_row"), "component_id").distinct()
+        rows = docs.select(row.alias("near_row"), "doc_id").distinct()
+        first = F.min(F.struct("doc_id", "near_row")).alias("first")
+        return rows.join(groups, F.col("near_row") == F.col("in_row")).groupBy("component_id", F.col("doc_id").isNull()).agg(first).select(F.col("first.near_row").alias("stays"))
+
+    stays = settle(spark, build)  # a number for each document that stays; no more than that is kept of the join
     apart = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     boxed = docs.where(~apart).select(F.struct("*").alias("document"), row.alias("near_row"))
     return boxed.join(stays, F.col("near_row") == F.col("stays"), "left_semi").dropDuplicates(["near_row"]).select("document.*").union(docs.where(apart))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the kind of a secret in its place; n_chars follows."""
-    found = secrets.find_secrets(_boxed(docs, "doc_id", "text", "source"), keep_text=False)
-    cut = secrets.redact(found.withColumn("text", F.col("document.text")))
-    n_chars = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("document.n_chars"))
-    return cut.select(F.col("document").withField("text", F.col("text")).withField("n_chars", n_chars).alias("document")).select("document.*")
+    """Puts the kind of a secret in its place; n_chars follows where there is one. A null or empty text stays; repeated rows are cut alike."""
+    cut = secrets.redact(secrets.find_secrets(_boxed(docs, "doc_id", "text", "source")))
+    document = F.col("document").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        document = document.withField("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("document.n_chars")))
+    return cut.select(document.alias("document")).select("document.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +64,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, n_tokens, ids) of every document of the mix, and whether decoding gives the text again."""
-    encoded = docs.select("doc_id", "source", "text", bpe.encode(F.col("text")).alias("ids"))
-    same = F.sha2(bpe.decode(F.col("ids")), 256) == F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    return encoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    """(doc_id, source, n_tokens, ids) of every document of the mix, and whether decoding gives the text again.
+
+    A null or empty text has no ids; repeated rows are encoded each. Other columns end here.
+    """
+    encoded = docs.select("doc_id", "source", "text", bpe.round_trip(F.col("text")).alias("z"))
+    same = F.sha2(F.col("z.decoded"), 256) == F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return encoded.select("doc_id", "source", F.size("z.ids").cast("long").alias("n_tokens"), "z.ids", same.alias("round_trip"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
