@@ -106,8 +106,8 @@ Ask = Callable[[dict], tuple[np.ndarray, list[np.ndarray]]]
 Answer = Callable[[np.ndarray, list[np.ndarray]], list[np.ndarray]]
 
 
-def ask_and_answer(blocks: DataFrame, ask: Ask, answer: Answer, buckets: int, hits: bool = False, onto: DataFrame | None = None) -> DataFrame:
-    """``onto`` (``blocks``) with ``replies``: what ``answer`` says about each hash for which ``ask`` asked, by range.
+def replies(blocks: DataFrame, ask: Ask, answer: Answer, buckets: int, hits: bool = False) -> DataFrame:
+    """(of, replies) of each block that asked: what ``answer`` says about each hash for which ``ask`` asked, by range.
 
     ``hits``: the first of the replies says which hashes get one at all; only they return, with their hashes.
     """
@@ -139,25 +139,33 @@ def ask_and_answer(blocks: DataFrame, ask: Ask, answer: Answer, buckets: int, hi
         cuts = np.cumsum([len(p) for p in parts])[:-1]
         hashes = np.concatenate(parts)
         order = np.argsort(hashes, kind="stable")
-        replies = []
+        parted = []
         for sorted_reply in answer(hashes[order], [x[order] for x in numbers]):
             reply = np.empty(len(order), np.int64)
             reply[order] = sorted_reply
-            replies.append(np.split(reply, cuts))
+            parted.append(np.split(reply, cuts))
         out: dict[str, list] = {"block": [], "bucket": [], "hashes": [], "numbers": []}
         for k, r in enumerate(rows):
-            hit = replies[0][k].astype(bool) if hits else None
+            hit = parted[0][k].astype(bool) if hits else None
             if hit is None or hit.any():
                 out["block"].append(r["block"])
                 out["bucket"].append(r["bucket"])
                 out["hashes"].append(None if hit is None else shut(parts[k][hit], True))
-                out["numbers"].append([shut(x[k]) for x in replies] if hit is None else [shut(x[k][hit]) for x in replies[1:]])
+                out["numbers"].append([shut(x[k]) for x in parted] if hit is None else [shut(x[k][hit]) for x in parted[1:]])
         T.release()
         return pa.table({name: pa.array(v, t) for (name, v), t in zip(out.items(), [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.binary())], strict=True)})
 
-    replies = blocks.mapInArrow(asking, REQUESTS).groupBy("bucket").applyInArrow(answering, REPLIES)
-    of_block = replies.groupBy(F.col("block").alias("of")).agg(F.array_sort(F.collect_list(F.struct("bucket", "hashes", "numbers"))).alias("replies"))
-    return (blocks if onto is None else onto).join(of_block, F.col("block") == F.col("of"), "left").drop("of")
+    said = blocks.mapInArrow(asking, REQUESTS).groupBy("bucket").applyInArrow(answering, REPLIES)
+    return said.groupBy(F.col("block").alias("of")).agg(F.array_sort(F.collect_list(F.struct("bucket", "hashes", "numbers"))).alias("replies"))
+
+
+def with_replies(blocks: DataFrame, said: DataFrame) -> DataFrame:
+    return blocks.join(said, F.col("block") == F.col("of"), "left").drop("of")
+
+
+def ask_and_answer(blocks: DataFrame, ask: Ask, answer: Answer, buckets: int) -> DataFrame:
+    """``blocks`` with the ``replies`` to their questions."""
+    return with_replies(blocks, replies(blocks, ask, answer, buckets))
 
 
 def replies_of(row: dict, kinds: int) -> list[np.ndarray]:

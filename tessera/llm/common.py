@@ -68,6 +68,11 @@ def drop(df: DataFrame) -> None:
     _delete(df.sparkSession, [f.rsplit("/", 1)[0] for f in df.inputFiles()])
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the files of shuffles whose results are written: it does so once the driver's memory no longer holds their plans."""
+    spark._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in set(paths):

@@ -9,7 +9,8 @@ the logarithms of counts; all counts are of the whole training part.
 
 Counts never gather anywhere: blocks of documents ask for the counts of their distinct n-grams
 (see ``blocks``), and the replies are used twice, for the histogram and for the scores. Words are told
-apart by 63 bits of a hash, longer n-grams by 20 more than there are n-grams.
+apart by 63 bits of a hash, longer n-grams by 12 more than there are n-grams: one in some ten thousand counts
+another's occurrences as its own.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm import blocks as B
 from tessera.llm import text as T
-from tessera.llm.common import drop, fold, materialize, settle, table
+from tessera.llm.common import fold, forget_shuffles, materialize, settle, table
 
 #: Words of the longest n-grams.
 ORDER = 3
 #: The end is a token; its hash is that of no word. A text's first context is its begin, at any length.
 END, BEGIN = np.uint64(0x5EED_0000_0000_0E0C), np.uint64(0x5EED_0000_0000_0B16)
 #: The lowest bit of a hash says that it is of two words or more; bits to spare for these.
-LONG, SPARE = np.uint64(1), 20
+LONG, SPARE = np.uint64(1), 12
 #: Steps of a histogram's estimates in each doubling, and buckets of context counts of each length.
 STEPS, BUCKETS, ROUNDS = 2, 48, 60
 #: Step of an estimate of zero, and the offset and width of steps where a row is one number.
@@ -174,9 +175,11 @@ def _scored(docs: DataFrame, key: str, text: str, order: int, block_bytes: int,
         held, n = np.unique(_packed(bucket, [*map(_step, ratios), _step(words)]), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(held, [TOKENS, WORDS])), pa.array(np.append(n, [g.train.sum(), marks.sum()]))], ["held", "n"])
 
-    answered = materialize(B.ask_and_answer(blocks, ask, _answer, scale.buckets))
-    drop(blocks)
+    # replies are written without texts, and what made them goes before the texts meet them
+    answered = B.with_replies(blocks, materialize(B.replies(blocks, ask, _answer, scale.buckets)))
+    forget_shuffles(docs.sparkSession)
     tallied = B.map_blocks(answered, tally, "held long, n long").groupBy("held").agg(F.sum("n").alias("n")).toArrow()  # bounded: logarithms of counts
+    forget_shuffles(docs.sparkSession)
     held, n = (tallied.column(c).to_numpy() for c in ("held", "n"))
     tokens, kinds = (int(n[held == k].sum()) for k in (TOKENS, WORDS))
     uniform = 1.0 / (kinds + 1)

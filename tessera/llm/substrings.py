@@ -153,7 +153,7 @@ def _remove(docs: DataFrame, key: str, text: str, window: int, digest: bool) ->
         )
 
     often = B.ask_and_answer(blocks, ask_often, _recurring, scale.buckets)
-    return B.map_blocks(B.ask_and_answer(often, ask_where, _places, scale.buckets, hits=True, onto=blocks), parse, RESULT)
+    return B.map_blocks(B.with_replies(blocks, B.replies(often, ask_where, _places, scale.buckets, hits=True)), parse, RESULT)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
