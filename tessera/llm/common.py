@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable
 from contextvars import ContextVar
@@ -69,8 +71,15 @@ def drop(df: DataFrame) -> None:
 
 
 def forget_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the files of shuffles whose results are written: it does so once the driver's memory no longer holds their plans."""
-    spark._jvm.System.gc()
+    """Lets Spark delete the files of shuffles whose results are written: it does so once neither Python nor the JVM holds their plans.
+
+    The listeners hold the last query until another one comes, so one comes.
+    """
+    spark.range(1).count()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
@@ -89,6 +98,7 @@ def settle(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
     finally:
         _scratch.reset(token)
         _delete(spark, own)
+        forget_shuffles(spark)
     if (outer := _scratch.get()) is not None:
         outer.append(path)
     return out
