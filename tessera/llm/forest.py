@@ -32,7 +32,7 @@ NEAREST = 20
 TREES, BITS, SEED = 24, 30, 5
 #: Matches wanted in all trees together: a number, and a share of all vectors beyond it. Vectors without
 #: any structure need this much for a recall of 0.9; where neighbours stand out, a small share does.
-MATCHES, SHARE = 3000, 0.45
+MATCHES, SHARE = 4000, 0.45
 #: Vectors of a cell that one task takes.
 CELL_ROWS = 8192
 
