@@ -1,4 +1,4 @@
-"""Queries against plain Python over all rows of their tables, where the SQL beside them reads a part."""
+"""Queries against plain Python over all rows of their tables."""
 
 from collections import Counter, defaultdict
 
