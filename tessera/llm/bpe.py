@@ -35,7 +35,7 @@ PATTERN = public_tokenizers.PATTERN
 #: Words of more bytes are contracted with a heap: the recursion handles the whole word for each merge.
 LONG_WORD = 256
 #: When a worker keeps so many words, at some 50 bytes each, it drops those that did not come again.
-MOST_KEPT = 400_000
+MOST_KEPT = 1_000_000
 #: Tokens that one decoding query takes.
 DECODED_AT_ONCE = 300_000
 
