@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, forest, jaccard, langid, mixing, quality, scoring, secrets, sharding, substrings
+from tessera.llm import align, bpe, forest, jaccard, langid, mixing, negatives, quality, scoring, secrets, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharding.op1_shard_documents,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_substring_dedup": substrings.op10_substring_dedup,
+    "op12_token_alignment": align.op12_token_alignment,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
@@ -26,4 +28,5 @@ SQL: dict[str, str] = {
     "op7_jaccard_join": jaccard.ORACLE_SQL,
     "op8_mix_sources": mixing.ORACLE_SQL,
     "op10_substring_dedup": substrings.ORACLE_SQL,
+    "op13_hard_negatives": negatives.ORACLE_SQL,
 }
