@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import align, bpe, forest, jaccard, langid, mixing, negatives, quality, scoring, secrets, sharding, substrings
+from tessera.llm import align, bpe, forest, jaccard, langid, mixing, negatives, quality, scoring, secrets, sharding, substrings, subwords
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_documents": sharding.op1_shard_documents,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_substring_dedup": substrings.op10_substring_dedup,
+    "op11_quality_classifier": subwords.op11_quality_classifier,
     "op12_token_alignment": align.op12_token_alignment,
     "op13_hard_negatives": negatives.op13_hard_negatives,
 }
