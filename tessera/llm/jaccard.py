@@ -131,6 +131,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
         part = np.zeros((len(sets), COLUMNS), np.float32)
         part[row[a:b], column[a:b] - low] = 1
         out += (part @ part.T).astype(np.int64)
+    np.fill_diagonal(out, [len(s) for s in sets])  # also of n-grams that a set has to itself
     return out
 
 
