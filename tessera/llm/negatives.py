@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.llm.common import bound_batches, materialize, settle, table
 
@@ -45,6 +46,19 @@ def usable(vectors: DataFrame, key: str, vector: str, label: str, anchor: Column
     return rows.distinct().withColumn("row", F.xxhash64("id", "label", "vector", "anchor"))
 
 
+@F.arrow_udf(StructType([StructField("largest", DoubleType()), StructField("norm", DoubleType())]))
+def _measured(vectors: pa.Array) -> pa.Array:
+    """No less than the largest whole component, 1 at least, and no less than the norm of each vector."""
+    n, lengths = len(vectors), vectors.value_lengths().to_numpy(zero_copy_only=False)
+    largest, norm = np.ones(n), np.zeros(n)
+    flat = np.minimum(np.abs(vectors.flatten().to_numpy(zero_copy_only=False)), 1e305) * 256 + 1
+    some, begin = lengths > 0, np.cumsum(lengths) - lengths
+    if some.any():
+        largest[some] = np.maximum.reduceat(flat, begin[some])
+        norm[some] = largest[some] * np.sqrt(np.add.reduceat((flat / np.repeat(largest, lengths)) ** 2, begin[some]))
+    return pa.StructArray.from_arrays([pa.array(largest), pa.array(norm)], ["largest", "norm"])
+
+
 @dataclass(frozen=True)
 class Space:
     """The augmented space in units of the largest component: its dimension, the square of the longest norm, the pivots."""
@@ -216,10 +230,7 @@ def _mine(vectors: DataFrame, anchor: Column, key: str, vector: str, label: str,
     spark = vectors.sparkSession
     bound_batches(spark)
     base = materialize(usable(vectors, key, vector, label, anchor))
-    size = F.array_max(F.transform("vector", lambda x: F.abs(F.floor(F.least(F.greatest(x, F.lit(-1e15)), F.lit(1e15)) * 256).cast("double"))))
-    size = F.greatest(size, F.array_max(F.transform("vector", lambda x: F.abs(x))) * 256, F.lit(1.0))  # at least every whole component
-    norm = size * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + F.pow((F.abs(x) * 256 + 1) / size, 2)))
-    facts = base.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.count_if("anchor").alias("anchors"), F.max(F.coalesce(size, F.lit(1.0))).alias("unit"), F.max(F.coalesce(norm, F.lit(0.0))).alias("longest"))
+    facts = base.select(F.size("vector").alias("dim"), "anchor", _measured(F.col("vector")).alias("m")).groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("anchor").alias("anchors"), F.max("m.largest").alias("unit"), F.max("m.norm").alias("longest"))
     fact = facts.orderBy(F.desc("n"), F.desc("dim")).first()
     if fact is None or not fact["anchors"]:
         return spark.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
