@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geo
 from tessera.operators import aoi
-from tessera.plans import calibration, catalogue, geometry, history, raster
+from tessera.plans import calibration, catalogue, geometry, history, raster, search
 from tessera.plans import aoi as areas
 from tessera.sources import recipes
 
-QUERIES = {k: v for part in (calibration, raster, areas, catalogue, geometry, history) for k, v in part.QUERIES.items()}
+QUERIES = {k: v for part in (calibration, raster, areas, catalogue, geometry, history, search) for k, v in part.QUERIES.items()}
 
 
 def validate(spark: SparkSession, recipe: recipes.Recipe) -> DataFrame:

@@ -6,10 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
+from tessera.functions.figures import figure, told
 
 MIN_VALID_FRACTION, FULL_VALID_FRACTION = 0.5, 1.0
 DENSITY_LOW, DENSITY_HIGH = 100.0, 2000.0
 MIN_DISTANCE_M = 200.0
+#: The texts of reasons and warnings.
+LOW_VALID = "valid_pixel_fraction %s < threshold %s"
+FEW_POLYGONS = "polygon_count %s < feature.min_positive_polygon_count %s"
+FEW_PIXELS = "positive_pixel_fraction %s < feature.min_positive_pixel_fraction %s"
+SPARSE = "polygon_density_per_km2 %s is low (rural? sparse OSM?)"
+DENSE = "polygon_density_per_km2 %s is ultra-dense; IoU will be bound by polygon boundary noise"
+FETCH_FAILED = "imagery fetch failed: %s"
+SOME_UNTAGGED = "some AOIs lack phenotype tag (others = [%s]); recommend tagging all AOIs"
 
 
 def explicit_val(holdout: Column, region: Column, val_regions: tuple[str, ...]) -> Column:
@@ -53,31 +62,25 @@ def check(facts: DataFrame) -> DataFrame:
 
     An area whose imagery failed fails with that reason alone and has no further facts. A failed
     truth is a warning, with the counts that were reached. Reasons and warnings tell the figure and its
-    limit, rounded half up in the last place.
+    limit, rounded to even in the last place.
     """
     v, n, f = F.col("valid_fraction"), F.col("n_polygons"), F.col("pixel_fraction")
     area = geo.bbox_area_km2(F.col("w"), F.col("s"), F.col("e"), F.col("n"))
     density = F.when(area > 0, n / F.when(area > 0, area).otherwise(1.0)).otherwise(0.0)
-    told = lambda *x: F.filter(F.array(*x), lambda y: y.isNotNull())
+    some = lambda *x: F.filter(F.array(*x), lambda y: y.isNotNull())
     failed = F.col("fetch_error").isNotNull()
-    text = lambda x: x.cast("string")
-    # fixed values: the texts of reasons and warnings, whose first forty characters are notes
-    reasons = told(
-        F.when(v < F.col("min_valid"), F.concat_ws(" ", F.lit("valid_pixel_fraction"), F.format_string("%.3f", v), F.lit("< threshold"), text(F.col("min_valid")))),
-        F.when((F.col("min_count") > 0) & (n < F.col("min_count")), F.concat_ws(" ", F.lit("polygon_count"), text(n), F.lit("< feature.min_positive_polygon_count"), text(F.col("min_count")))),
-        F.when((F.col("min_fraction") > 0) & (f < F.col("min_fraction")), F.concat_ws(" ", F.lit("positive_pixel_fraction"), F.format_string("%.4f", f), F.lit("< feature.min_positive_pixel_fraction"), text(F.col("min_fraction")))),
-    )
-    dense = lambda told: F.concat_ws(" ", F.lit("polygon_density_per_km2"), F.format_string("%.0f", density), F.lit(told))
-    warnings = told(
-        F.when((density > 0) & (density < DENSITY_LOW), dense("is low (rural? sparse OSM?)")),
-        F.when(density > DENSITY_HIGH, dense("is ultra-dense; IoU will be bound by polygon boundary noise")),
+    reasons = some(
+        F.when(v < F.col("min_valid"), told(LOW_VALID, figure(v, 3), F.col("min_valid"))),
+        F.when((F.col("min_count") > 0) & (n < F.col("min_count")), told(FEW_POLYGONS, n, F.col("min_count"))),
+        F.when((F.col("min_fraction") > 0) & (f < F.col("min_fraction")), told(FEW_PIXELS, figure(f, 4), F.col("min_fraction"))),
     )
+    warnings = some(F.when((density > 0) & (density < DENSITY_LOW), told(SPARSE, figure(density, 0))), F.when(density > DENSITY_HIGH, told(DENSE, figure(density, 0))))
     soft = F.create_map(
         F.lit("valid_fraction"), soft_valid(v),
         F.lit("polygon_count"), F.when(F.col("min_count") > 0, F.least(F.lit(1.0), n / F.greatest(F.col("min_count") * 5, F.lit(1)))).otherwise(1.0),
         F.lit("pixel_fraction"), F.when(F.col("min_fraction") > 0, F.least(F.lit(1.0), f / F.greatest(F.col("min_fraction") * 3.0, F.lit(0.01)))).otherwise(1.0),
     )
-    checked = facts.withColumns({"area_km2": area, "density": F.when(failed, 0.0).otherwise(density), "reasons": F.when(failed, F.array(F.concat(F.lit("imagery fetch failed: "), F.col("fetch_error")))).otherwise(reasons)})
+    checked = facts.withColumns({"area_km2": area, "density": F.when(failed, 0.0).otherwise(density), "reasons": F.when(failed, F.array(told(FETCH_FAILED, F.col("fetch_error")))).otherwise(reasons)})
     checked = checked.withColumns({"warnings": F.when(failed, F.array().cast("array<string>")).otherwise(warnings), "hard_pass": F.size("reasons") == 0, "soft": F.when(failed, F.create_map().cast("map<string,double>")).otherwise(soft)})
     mean = F.aggregate(F.map_values("soft"), F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size("soft"), F.lit(1))
     return checked.withColumn("quality", mean)
@@ -95,7 +98,7 @@ def ranked(rows: DataFrame, partition: str, *order: Column) -> DataFrame:
 def untagged_warning(kinds: Column) -> Column:
     """The warning about areas without a phenotype beside others of ``kinds``, a sorted array."""
     quoted = F.array_join(F.transform(kinds, lambda k: F.concat(F.lit("'"), k, F.lit("'"))), ", ")
-    return F.concat(F.lit("some AOIs lack phenotype tag (others = ["), quoted, F.lit("]); recommend tagging all AOIs"))
+    return told(SOME_UNTAGGED, quoted)
 
 
 def first_only(aois: DataFrame, recipe: str) -> DataFrame:

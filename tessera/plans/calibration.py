@@ -71,7 +71,7 @@ def region_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sweep_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line for each chip's best threshold, without area filter."""
-    best = best_threshold_first_wins(spark, sf_dir).join(H.chips(spark, sf_dir).select("vec_id", "region"), "vec_id")
+    best = C.best_thresholds(C.sweep(H.chips(spark, sf_dir)))
     return reports.sweep_lines(best.withColumnRenamed("vec_id", "aoi_index").withColumn("best_area_filter_m2", F.lit(0.0)))
 
 

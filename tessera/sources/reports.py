@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.figures import figure, told
+
 #: The fields of the metadata of an inference, in their order.
 METADATA = (
     "aoi_index",
@@ -35,25 +37,69 @@ def metadata(rows: DataFrame) -> DataFrame:
     return rows.select("aoi_index", F.to_json(fields, {"ignoreNullFields": "false"}).alias("metadata"))
 
 
-def _figure(name: Column | str, places: int = 4) -> Column:
-    return F.format_string(f"%.{places}f", F.col(name) if isinstance(name, str) else name)
+#: The lines of reports; a region's goes on with its figures.
+REGION_LINE = "  %s: n=%s"
+REGION_FIGURE = " {}=%s"
+SWEEP_LINE = "AOI %s [%s]: best thr=%s area_filter=%sm² IoU=%s F1=%s"
+EPOCH_LINE = "epoch %s: loss=%s val_iou=%s val_f1=%s"
+BEST_EPOCH_LINE = "best epoch = %s (val_iou=%s)"
+EVAL_LINES = ("IoU = %s", "F1  = %s")
+AREA_LINE = "AOI %s [%s] bbox=(%s, %s, %s, %s)"
+AREA_LINES = ("  notes: %s", "  IoU=%s  F1=%s", "  n_gt_pixels=%s  n_pred_pixels=%s", "  n_pred_polys=%s")
+UNTAGGED = "<untagged>"
+
+
+def _tag() -> Column:
+    return F.when(F.coalesce("region", F.lit("")) == "", UNTAGGED).otherwise(F.col("region"))
+
+
+def _or_none(x: Column) -> Column:
+    return F.coalesce(x.cast("string"), F.lit("None"))
 
 
 def region_lines(summary: DataFrame, *figures: str) -> DataFrame:
     """(region, line) of a summary by region, in the order of regions: its tag, n and figures; without any tag no lines."""
-    tag = F.when(F.coalesce("region", F.lit("")) == "", F.lit("<untagged>")).otherwise(F.col("region"))
-    told = F.concat_ws(" ", F.concat(F.lit("  "), F.lpad(tag, F.greatest(F.lit(14), F.length(tag)), F.lit(" ")), F.lit(":")), F.concat(F.lit("n="), F.col("n").cast("string")), *[F.concat(F.lit(f"{f}="), _figure(f)) for f in figures])
-    if summary.where(F.coalesce("region", F.lit("")) != "").isEmpty():
-        summary = summary.limit(0)
-    return summary.select("region", told.alias("line")).orderBy("region")
+    wide = F.lpad(_tag(), F.greatest(F.lit(14), F.length(_tag())), F.lit(" "))
+    template = REGION_LINE + "".join(REGION_FIGURE.format(f) for f in figures)
+    line = told(template, wide, F.col("n"), *[figure(F.col(f), 4) for f in figures])
+    tagged = summary.agg(F.coalesce(F.bool_or(F.coalesce("region", F.lit("")) != ""), F.lit(False)))
+    return summary.where(tagged.scalar()).select("region", line.alias("line")).orderBy("region")
+
+
+def epoch_lines(epochs: DataFrame, *by: str) -> DataFrame:
+    """(by..., epoch, line) of a training's epochs; a metric that was not taken is None."""
+    line = told(EPOCH_LINE, F.lpad(F.col("epoch").cast("string"), F.greatest(F.lit(3), F.length(F.col("epoch").cast("string"))), F.lit(" ")), figure(F.col("train_loss_mean"), 4), _or_none(F.col("val_iou")), _or_none(F.col("val_f1")))
+    return epochs.select(*by, "epoch", line.alias("line"))
+
+
+def best_epoch_lines(best: DataFrame, *by: str) -> DataFrame:
+    """(by..., line) of the best epochs."""
+    return best.select(*by, told(BEST_EPOCH_LINE, F.col("best_epoch"), figure(F.col("best_val_iou"), 4)).alias("line"))
+
+
+def eval_lines(metrics: DataFrame) -> DataFrame:
+    """(ord, line) of mean metrics (mean_iou, mean_f1), a row each."""
+    lines = F.array(told(EVAL_LINES[0], figure(F.col("mean_iou"), 4)), told(EVAL_LINES[1], figure(F.col("mean_f1"), 4)))
+    return metrics.select(F.posexplode(lines).alias("ord", "line"))
+
+
+def inference_lines(rows: DataFrame) -> DataFrame:
+    """(aoi_index, ord, line) of areas' inferences, which have the fields of ``METADATA`` with w, s, e, n; an area without notes has no line for them."""
+    c = F.col
+    lines = F.array(
+        told(AREA_LINE, c("aoi_index"), F.coalesce("region", F.lit("")), c("w"), c("s"), c("e"), c("n")),
+        F.when(F.coalesce("notes", F.lit("")) != "", told(AREA_LINES[0], c("notes"))),
+        told(AREA_LINES[1], figure(c("iou"), 4), figure(c("f1"), 4)),
+        told(AREA_LINES[2], c("n_gt_pixels"), c("n_pred_pixels")),
+        told(AREA_LINES[3], c("n_pred_polys")),
+    )
+    return rows.select("aoi_index", F.posexplode(F.filter(lines, lambda x: x.isNotNull())).alias("ord", "line"))
 
 
 def sweep_lines(rows: DataFrame) -> DataFrame:
     """(aoi_index, line) of each area's best threshold and area filter."""
-    tag = F.when(F.coalesce("region", F.lit("")) == "", F.lit("<untagged>")).otherwise(F.col("region"))
-    head = F.concat(F.lit("AOI "), F.col("aoi_index").cast("string"), F.lit(" ["), tag, F.lit("]: best thr="), _figure("best_threshold", 2))
-    line = F.concat_ws(" ", head, F.concat(F.lit("area_filter="), _figure("best_area_filter_m2", 0), F.lit("m²")), F.concat(F.lit("IoU="), _figure("best_iou")), F.concat(F.lit("F1="), _figure("best_f1")))
-    return rows.select("aoi_index", line.alias("line"))
+    figures = [figure(F.col(c), places) for c, places in (("best_threshold", 2), ("best_area_filter_m2", 0), ("best_iou", 4), ("best_f1", 4))]
+    return rows.select("aoi_index", told(SWEEP_LINE, F.col("aoi_index"), _tag(), *figures).alias("line"))
 
 
 def history_report(epochs: DataFrame, run: str) -> DataFrame:
