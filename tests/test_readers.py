@@ -45,14 +45,9 @@ def test_filters_never_change_what_a_limit_returns(spark, items):
         return sorted((r["aoi_index"], r["pos"]) for r in readers.search(spark, "open_imagery", items, limit=2).where("n <= 0 AND datetime >= '1995'").collect())
 
     down = rows()
-    every = readers.search(spark, "open_imagery", items)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
-    try:
-        kept = spark.read.format("open_imagery").option("limit", "2").load(items).where("n <= 0 AND datetime >= '1995'")
-        assert sorted((r["aoi_index"], r["pos"]) for r in kept.collect()) == down
-    finally:
-        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    first = every.where("pos < 2 AND n <= 0 AND datetime >= '1995'")
+    kept = readers.search(spark, "open_imagery", items, limit=2).where("n + 0.0 <= 0 AND concat(datetime, '') >= '1995'")  # nothing that goes down
+    assert sorted((r["aoi_index"], r["pos"]) for r in kept.collect()) == down
+    first = readers.search(spark, "open_imagery", items).where("pos < 2 AND n <= 0 AND datetime >= '1995'")
     assert sorted((r["aoi_index"], r["pos"]) for r in first.collect()) == down and down
 
 
