@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions import geo
-from tessera.operators.kernels import dense, outline
+from tessera.functions import geo, tiles
+from tessera.operators import shapes
+from tessera.operators.kernels import dense
 
 
 def buffer_degrees(width_m: Column, lat_ref: Column) -> Column:
@@ -33,39 +34,85 @@ def buffer_lines(line: Column, half: Column) -> Column:
     return F.coalesce(F.transform(segments, quad), F.array().cast("array<array<array<double>>>"))
 
 
-def rings(label: Column, width: int) -> Column:
-    """A struct (component, ring) for each ring of a label array, by component; rings are corners [column, row]."""
+def buffer_shape(line: Column, half: Column, quarter: int = 16) -> Column:
+    """A struct (area, rings) of the buffer of a line of [x, y] as one shape: flat ends, round joins of ``quarter`` steps a quarter circle.
 
-    @F.arrow_udf("array<struct<component:int,ring:array<array<int>>>>")
+    Shells turn left, holes right. Null lines and those without length or half width have area 0 and no rings.
+    """
+
+    @F.arrow_udf("struct<area:double,rings:array<array<array<double>>>>")
+    def run(lines: pa.Array, halves: pa.Array) -> pa.Array:
+        found = []
+        for line, h in zip(lines.to_pylist(), halves.to_pylist(), strict=True):
+            area, rings = shapes.union(shapes.strip(np.array(line or [], float).reshape(-1, 2), h or 0.0, quarter))
+            found.append({"area": area, "rings": [r.tolist() for r in rings]})
+        return pa.array(found, pa.struct([("area", pa.float64()), ("rings", pa.list_(pa.list_(pa.list_(pa.float64()))))]))
+
+    return run(line, half)
+
+
+def polygons(label: Column, width: int) -> Column:
+    """A struct (component, shell, holes) for each component of a label array, by component; rings are the corners [column, row] where they turn.
+
+    Shells run clockwise on the screen, holes the other way, both from their top left corner on. All
+    borders of a chip are walked once.
+    """
+
+    @F.arrow_udf("array<struct<component:int,shell:array<array<int>>,holes:array<array<array<int>>>>>")
     def run(labels: pa.Array) -> pa.Array:
         out: list[list[dict]] = [[] for _ in range(len(labels))]
         for rows, own in dense(labels, np.int64):
             for row, label in zip(rows.tolist(), own, strict=True):
-                for k in np.unique(label[label >= 0]).tolist():
-                    out[row] += [{"component": k, "ring": ring} for ring in outline((label == k).reshape(-1, width))]
-        return pa.array(out, pa.list_(pa.struct([("component", pa.int32()), ("ring", pa.list_(pa.list_(pa.int32())))])))
+                corners, ends, component, area = shapes.borders(label.reshape(-1, width))
+                found: dict[int, dict] = {k: {"component": k, "shell": None, "holes": []} for k in sorted(set(component.tolist()))}
+                for ring, k, a in zip(np.split(corners, ends[:-1]), component.tolist(), area.tolist(), strict=True) if len(ends) else ():
+                    if a > 0:
+                        found[k]["shell"] = ring.tolist()
+                    else:
+                        found[k]["holes"].append(ring.tolist())
+                out[row] = list(found.values())
+        ring = pa.list_(pa.list_(pa.int32()))
+        return pa.array(out, pa.list_(pa.struct([("component", pa.int32()), ("shell", ring), ("holes", pa.list_(ring))])))
 
     return run(label)
 
 
+def tile_bytes(layer: str, features: Column, extent: int = 4096) -> Column:
+    """A tile's bytes from an array of structs (id, rings of points [x, y] in tile steps, y down); empty without features."""
+
+    @F.arrow_udf("binary")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([tiles.encode(layer, [(f["id"], [[tuple(p) for p in r] for r in f["rings"]], {}) for f in own or []], extent) for own in column.to_pylist()], pa.binary())
+
+    return run(features)
+
+
+def tile_features_of(tile: Column, layer: str) -> Column:
+    """An array of structs (id, rings, commands) of a layer of a tile's bytes: what ``tile_bytes`` wrote, and the command stream of each feature."""
+
+    @F.arrow_udf("array<struct<id:long,rings:array<array<array<int>>>,commands:array<long>>>")
+    def run(column: pa.Array) -> pa.Array:
+        found = [tiles.decode(t).get(layer, {"features": []})["features"] if t else [] for t in column.to_pylist()]
+        rows = [[{"id": i, "rings": [[list(p) for p in r] for r in rings], "commands": tiles.commands(rings)} for i, rings, _ in own] for own in found]
+        ring = pa.list_(pa.list_(pa.int32()))
+        return pa.array(rows, pa.list_(pa.struct([("id", pa.int64()), ("rings", pa.list_(ring)), ("commands", pa.list_(pa.int64()))])))
+
+    return run(tile)
+
+
 def simple_ring(points: Column) -> Column:
-    """Whether a ring of [x, y] (its first corner not repeated) has an area and no two of its sides meet but at their common corner."""
-    n = F.size(points)
-    x, y = (lambda i: F.get(F.get(points, F.pmod(i, n).cast("int")), F.lit(0))), (lambda i: F.get(F.get(points, F.pmod(i, n).cast("int")), F.lit(1)))
-    turn = lambda i, j, k: F.signum((x(j) - x(i)) * (y(k) - y(i)) - (y(j) - y(i)) * (x(k) - x(i)))
-    apart = lambda f, i, j: (F.greatest(f(i), f(i + 1)) < F.least(f(j), f(j + 1))) | (F.greatest(f(j), f(j + 1)) < F.least(f(i), f(i + 1)))
+    """Whether a ring of [x, y] (its first corner not repeated) has an area and no two of its sides meet but at their common corner; false for null."""
 
-    def meet(i: Column, j: Column) -> Column:
-        crossed = (turn(i, i + 1, j) * turn(i, i + 1, j + 1) <= 0) & (turn(j, j + 1, i) * turn(j, j + 1, i + 1) <= 0)
-        neighbours = (j - i <= 1) | ((i == 0) & (j == n - 1))
-        return ~neighbours & crossed & ~apart(x, i, j) & ~apart(y, i, j)
+    @F.arrow_udf("boolean")
+    def run(rings: pa.Array) -> pa.Array:
+        sizes = rings.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = rings.flatten().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 2)
+        return pa.array(shapes.simple_rings(flat[:, 0], flat[:, 1], sizes))
 
-    sides = F.sequence(F.lit(0), n - 1)
-    area = F.aggregate(sides, F.lit(0.0), lambda a, i: a + x(i) * y(i + 1) - x(i + 1) * y(i))
-    return F.when(n >= 3, (area != 0) & ~F.exists(sides, lambda i: F.exists(sides, lambda j: (j > i) & meet(i, j)))).otherwise(F.lit(False))
+    return run(points)
 
 
 def valid_way(kind: Column, line: Column) -> Column:
     """Whether a way of [x, y] has a shape: a simple ring for a polygon, two different corners for a line."""
-    ring = F.slice(line, F.lit(1), F.greatest(F.size(line) - 1, F.lit(0)))
+    ring = F.when(kind == "Polygon", F.slice(line, F.lit(1), F.greatest(F.size(line) - 1, F.lit(0))))
     return F.when(kind == "Polygon", simple_ring(ring)).otherwise(F.size(F.array_distinct(line)) >= 2)

@@ -90,38 +90,6 @@ def turned_index(h: int, w: int, flip_h: bool, flip_v: bool, turns: int) -> np.n
     return np.rot90(at, turns).ravel()
 
 
-def outline(cells: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Rings (column, row) round the set cells of a mask, the set side to the right: outer rings and holes.
-
-    Sides between a set and an unset cell are found for all cells at once; only they are walked.
-    """
-    padded = np.pad(cells.astype(bool), 1)
-    inner = padded[1:-1, 1:-1]
-    step: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for beyond, (ac, ar), (bc, br) in ((padded[:-2, 1:-1], (0, 0), (1, 0)), (padded[1:-1, 2:], (1, 0), (1, 1)), (padded[2:, 1:-1], (1, 1), (0, 1)), (padded[1:-1, :-2], (0, 1), (0, 0))):
-        for r, c in np.argwhere(inner & ~beyond).tolist():
-            step.setdefault((c + ac, r + ar), []).append((c + bc, r + br))
-    rings = []
-    for start in sorted(step):
-        while start in step:
-            ring, at, came = [start], start, None
-            while True:
-                nexts = step[at]
-                if came is not None and len(nexts) > 1:  # where two cells touch by a corner, stay with the own cell
-                    nexts.sort(key=lambda b, at=at, came=came: (at[0] - came[0]) * (b[1] - at[1]) - (at[1] - came[1]) * (b[0] - at[0]))
-                    b = nexts.pop()
-                else:
-                    b = nexts.pop(0)
-                if not nexts:
-                    del step[at]
-                came, at = at, b
-                if at == start:
-                    break
-                ring.append(at)
-            rings.append(ring)
-    return rings
-
-
 def bilinear(image: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """Values of images (n, h, w) at fractional pixel centres; outside them 0."""
     _, h, w = image.shape

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import kernels as K
+from tessera.operators import shapes
 
 _INTS, _DOUBLES = pa.int32(), pa.float64()
 
@@ -187,3 +188,35 @@ def inside_polygon(xs: Column, ys: Column, x: Column, y: Column) -> Column:
         return F.when((yi > y) != (yj > y), (x < (xj - xi) * (y - yi) / F.when(yj == yi, F.lit(1.0)).otherwise(yj - yi) + xi).cast("int")).otherwise(0)
 
     return F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), crosses), F.lit(0), lambda a, b: a + b) % 2 == 1
+
+
+def ring_spans(polygons: DataFrame, area: str, polygon: str, rings: str, height: int, width: int, band: int = 64) -> DataFrame:
+    """(area, polygon, row, begin, end) of the pixels whose centres lie in polygons, by the even-odd rule; rings are corners [column, row] in pixels.
+
+    Sides are dealt to the bands of ``band`` rows that they pass and meet by polygon and band, so neither a
+    large ring nor an area of many rings is one task. Null and empty rings burn nothing.
+    """
+    ring = polygons.select(F.col(area).alias("area"), F.col(polygon).alias("polygon"), F.explode(rings).alias("ring"))
+    after = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
+    sides = ring.where(F.size("ring") > 0).select("area", "polygon", F.explode(F.zip_with("ring", after, lambda a, b: F.struct(a[0].alias("x"), a[1].alias("y"), b[0].alias("x2"), b[1].alias("y2")))).alias("s"))
+    y, y2 = F.col("s.y"), F.col("s.y2")
+    low, high = F.greatest(F.ceil(F.least(y, y2) - 0.5), F.lit(0)), F.least(F.ceil(F.greatest(y, y2) - 0.5), F.lit(height)) - 1
+    dealt = sides.withColumns({"low": low, "high": high}).where("low <= high").withColumn("band", F.explode(F.sequence(F.floor(F.col("low") / band), F.floor(F.col("high") / band))))
+
+    @F.arrow_udf("array<struct<row:int,begin:int,end:int>>")
+    def run(own: pa.Array, bands: pa.Array) -> pa.Array:
+        of = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy(zero_copy_only=False))
+        first = bands.to_numpy(zero_copy_only=False)[of] * band
+        flat = own.flatten()
+        found = shapes.spans(*[flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "x2", "y2")], first, np.minimum(first + band, height), width, of)
+        ends = np.searchsorted(found[0], np.arange(len(own) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in found[1:]], ["row", "begin", "end"]))
+
+    met = dealt.groupBy("area", "polygon", "band").agg(F.collect_list("s").alias("sides"))
+    return met.select("area", "polygon", F.explode(run(F.col("sides"), F.col("band"))).alias("z")).select("area", "polygon", "z.*")
+
+
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """(area, row, begin, end) without overlaps: what each span adds to those that begin before it in its row."""
+    before = Window.partitionBy("area", "row").orderBy("begin", "end", "polygon").rowsBetween(Window.unboundedPreceding, -1)
+    return spans.withColumn("begin", F.greatest("begin", F.coalesce(F.max("end").over(before), F.lit(0)))).where("begin < end").select("area", "row", "begin", "end")

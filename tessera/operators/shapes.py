@@ -243,22 +243,21 @@ def _stitched(start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
     return rings
 
 
-def spans(x: np.ndarray, y: np.ndarray, x2: np.ndarray, y2: np.ndarray, first: int, last: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, from, to) of the pixels in rows first to last - 1 whose centres lie inside the sides of a polygon's rings (even-odd rule).
+def spans(x: np.ndarray, y: np.ndarray, x2: np.ndarray, y2: np.ndarray, first: np.ndarray, last: np.ndarray, width: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(of, row, begin, end) of the pixels whose centres lie inside the sides of polygons' rings (even-odd rule), in the order of ``of`` and rows.
 
-    A side is active in the rows whose centres it passes. Its crossing switches the pixels from there on;
-    crossings of a row, in order, are pairs.
+    ``of`` names a side's polygon, first to last - 1 are its rows. A side is active in the rows whose
+    centres it passes. Its crossing switches the pixels from there on; crossings of a row, in order, are pairs.
     """
     flip = y > y2
     x, x2, y, y2 = np.where(flip, x2, x), np.where(flip, x, x2), np.where(flip, y2, y), np.where(flip, y, y2)
-    low = np.clip(np.ceil(y - 0.5), first, last).astype(np.int64)
-    high = np.clip(np.ceil(y2 - 0.5), first, last).astype(np.int64)
-    n = np.maximum(high - low, 0)
+    low, high = (np.minimum(np.maximum(np.ceil(v - 0.5), first), last).astype(np.int64) for v in (y, y2))
+    n = high - low
     e = np.repeat(np.arange(len(x)), n)
     row = low[e] + np.arange(len(e)) - np.repeat(np.cumsum(n) - n, n)
     at = (x2[e] - x[e]) * (row + 0.5 - y[e]) / (y2[e] - y[e]) + x[e]
     column = np.clip(np.ceil(at - 0.5), 0, width).astype(np.int64)
-    order = np.lexsort((column, row))
-    row, column = row[order], column[order]
+    order = np.lexsort((column, row, of[e]))
+    row, column, of = row[order], column[order], of[e][order]
     some = column[0::2] < column[1::2]
-    return row[0::2][some], column[0::2][some], column[1::2][some]
+    return of[0::2][some], row[0::2][some], column[0::2][some], column[1::2][some]

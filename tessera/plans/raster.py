@@ -171,6 +171,28 @@ def rasterize_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return areas.join(burned.groupBy("aoi_index").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("s")), "aoi_index", "left").select("aoi_index", F.coalesce("n", F.lit(0)).alias("burned"), F.coalesce("s", F.lit(0)).alias("index_sum"))
 
 
+GRID = 64
+#: The corners of a star's rays, in quarters of its radius.
+RAYS = ((8, 0), (6, 5), (0, 8), (-5, 6), (-8, 0), (-6, -5), (0, -8), (5, -6))
+
+
+def stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(aoi_index, id, rings) of parts as stars of eight rays in their area's grid; every third has a hole, every fiftieth is large and leaves the grid."""
+    k = F.col("p_partkey")
+    size, cx, cy = F.when(k % 50 == 0, 4.0).otherwise(1.0), k * 13 % GRID, k * 29 % GRID
+    ring = lambda reach: F.array(*[F.array(cx + dx * size * reach(i), cy + dy * size * reach(i)) for i, (dx, dy) in enumerate(RAYS)])
+    outer, hole = ring(lambda i: ((k * 7 + i * 5) % 4 + 1) / 4.0), ring(lambda i: F.lit(0.25))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select((k % 97).alias("aoi_index"), k.alias("id"), F.when(k % 3 == 0, F.array(outer, hole)).otherwise(F.array(outer)).alias("rings"))
+
+
+def rasterize_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings of varied shapes burned into the grid of their area by scanlines: pixels that any of them covers, and the sum of their places."""
+    burned = R.merged_spans(R.ring_spans(stars(spark, sf_dir), "aoi_index", "id", "rings", GRID, GRID, 16))
+    n = (F.col("end") - F.col("begin")).cast("long")
+    places = n * F.col("row") * GRID + n * (F.col("begin") + F.col("end") - 1) / 2
+    return burned.groupBy(F.col("area").alias("aoi_index")).agg(F.sum(n).alias("burned"), F.sum(places).cast("long").alias("index_sum"))
+
+
 def sample_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample row for each chip: image facts, mask and validity counts, and the ways of its area (left join)."""
     ways = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy((F.col("p_partkey") % 700).alias("aoi_index")).agg(F.count(F.lit(1)).alias("n_ways"))
@@ -181,7 +203,7 @@ def sample_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (connected_components, small_component_filter, component_keep_semi_join, component_outline_stats, sweep_with_area_filter, binary_erosion, d4_augment, augmented_samples, bilinear_reproject, pad_and_collate, confusion_classes, inference_report, channel_normalise, valid_pixel_fraction, foreground_pixels, softmax_probability, rasterize_polygons, sample_projection)
+    for f in (connected_components, small_component_filter, component_keep_semi_join, component_outline_stats, sweep_with_area_filter, binary_erosion, d4_augment, augmented_samples, bilinear_reproject, pad_and_collate, confusion_classes, inference_report, channel_normalise, valid_pixel_fraction, foreground_pixels, softmax_probability, rasterize_polygons, rasterize_rings, sample_projection)
 }
 
 
@@ -196,7 +218,20 @@ def _labelled(mask: str, keys: str = "vec_id") -> str:
 
 _MASK = f"WITH RECURSIVE {H.SQL}, {_labelled('SELECT vec_id, i FROM px WHERE p >= 0.6')}"
 _FLIP = "CASE WHEN vec_id % 2 = 1 THEN 7 - {c} ELSE {c} END"
+_RAYS = "r AS (SELECT unnest([" + ", ".join(str(dx) for dx, _ in RAYS) + "]) AS dx, unnest([" + ", ".join(str(dy) for _, dy in RAYS) + "]) AS dy, unnest(range(8)) AS i)"
 SQL = {
+    "rasterize_rings": f"""WITH {_RAYS}, p AS (
+  SELECT p_partkey AS k, CASE WHEN p_partkey % 50 = 0 THEN 4::DOUBLE ELSE 1::DOUBLE END AS size, p_partkey * 13 % {GRID} AS cx, p_partkey * 29 % {GRID} AS cy FROM part
+), c AS (
+  SELECT k, 0 AS ring, i, cx + dx * size * (((k * 7 + i * 5) % 4 + 1) / 4::DOUBLE) AS x, cy + dy * size * (((k * 7 + i * 5) % 4 + 1) / 4::DOUBLE) AS y FROM p, r
+  UNION ALL SELECT k, 1, i, cx + dx * size * 0.25::DOUBLE, cy + dy * size * 0.25::DOUBLE FROM p, r WHERE k % 3 = 0
+), s AS (SELECT a.k, a.x, a.y, b.x AS x2, b.y AS y2 FROM c a JOIN c b ON a.k = b.k AND a.ring = b.ring AND b.i = (a.i + 1) % 8
+), u AS (SELECT k, least(y, y2) AS y, greatest(y, y2) AS y2, CASE WHEN y <= y2 THEN x ELSE x2 END AS x, CASE WHEN y <= y2 THEN x2 ELSE x END AS x2 FROM s
+), w AS (SELECT *, unnest(range(greatest(0, ceil(y - 0.5))::BIGINT, least({GRID}, ceil(y2 - 0.5))::BIGINT)) AS row FROM u
+), z AS (SELECT k, row, (x2 - x) * (row + 0.5::DOUBLE - y) / (y2 - y) + x AS cut FROM w
+), g AS (SELECT k, row, unnest(range(greatest(0, floor(min(cut)) - 1)::BIGINT, least({GRID}, ceil(max(cut)) + 1)::BIGINT)) AS c FROM z GROUP BY k, row
+), f AS (SELECT DISTINCT g.k % 97 AS aoi_index, g.row, g.c FROM g JOIN z ON g.k = z.k AND g.row = z.row GROUP BY g.k, g.row, g.c HAVING count(*) FILTER (cut <= g.c + 0.5::DOUBLE) % 2 = 1)
+SELECT aoi_index, count(*)::BIGINT AS burned, sum(row * {GRID} + c)::BIGINT AS index_sum FROM f GROUP BY aoi_index""",
     "connected_components": f"{_MASK} SELECT vec_id, component, n::BIGINT AS size FROM sz",
     "small_component_filter": f"""{_MASK}, k AS (SELECT lab.vec_id, lab.i FROM lab JOIN sz USING (vec_id, component) WHERE n * 4 >= 10)
 SELECT px.vec_id, string_agg(CASE WHEN k.i IS NULL THEN '0' ELSE '1' END, '' ORDER BY px.i) AS kept FROM px LEFT JOIN k ON px.vec_id = k.vec_id AND px.i = k.i GROUP BY px.vec_id""",

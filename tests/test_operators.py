@@ -69,14 +69,6 @@ def test_labels_are_components(mask):
         assert seen == cells
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.lists(st.booleans(), min_size=6, max_size=6), min_size=6, max_size=6))
-def test_outlines_enclose_the_cells(mask):
-    mask = np.array(mask)
-    area = sum(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) for ring in kernels.outline(mask)) / 2
-    assert area == mask.sum()
-
-
 def test_labels_of_a_serpentine_and_of_a_large_chip():
     mask = np.zeros((256, 256), bool)
     mask[::2] = True

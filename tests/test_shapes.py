@@ -45,8 +45,8 @@ def test_borders_hold_their_components(seed):
         assert inside(own, np.array(px), np.array(py)).reshape(h, w).tolist() == (label == k).tolist()
     assert len(rings) == 0 or set(component) == set(label[label >= 0])
     for r in rings:
-        turn = np.cross(r - np.roll(r, 1, 0), np.roll(r, -1, 0) - r) if len(r) else np.ones(1)
-        assert (turn != 0).all() and tuple(r[0][::-1]) == min(map(tuple, r[:, ::-1]))
+        (cx, cy), (gx, gy) = (r - np.roll(r, 1, 0)).T, (np.roll(r, -1, 0) - r).T
+        assert (cx * gy != cy * gx).all() and tuple(r[0][::-1]) == min(map(tuple, r[:, ::-1]))
 
 
 def test_holes_touch_and_nest():
@@ -156,7 +156,8 @@ def test_spans_are_the_centres_inside(seed):
     sides = np.concatenate([np.column_stack([r, np.roll(r, -1, 0)]) for r in rings])
     burned = np.zeros((20, 20), bool)
     for first in (0, 7, 14):
-        for r, a, b in zip(*shapes.spans(*sides.T, first, min(first + 7, 20), 20), strict=True):
+        rows = [np.full(len(sides), r) for r in (first, min(first + 7, 20))]
+        for _, r, a, b in zip(*shapes.spans(*sides.T, *rows, 20, np.zeros(len(sides), np.int64)), strict=True):
             burned[r, a:b] ^= True
     py, px = np.stack(np.meshgrid(np.arange(20), np.arange(20), indexing="ij")).reshape(2, -1) + 0.5
     assert (burned.ravel() == inside(rings, px, py)).all()
