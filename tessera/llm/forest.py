@@ -86,7 +86,7 @@ def prefix_counts(keyed: DataFrame, trees: int, bits: int, deepest: int) -> Data
 
 
 def _search(bits: int, most: int):
-    """(query, vec_id, rough, slack) of the matches in one part of a cell that may be among the ``most`` nearest; the score is within slack of rough."""
+    """(query, vec_id, rough, slack) of the matches in one part of a cell that may be among the ``most`` nearest; the score, over the query's largest component, is within slack of rough."""
 
     def run(group: pa.Table) -> pa.Table:
         wanted = group.column("depth").to_numpy()
@@ -97,7 +97,9 @@ def _search(bits: int, most: int):
             own, own_key, depth = (queries.column(c).to_numpy() for c in ("id", "key", "depth"))
             x = np.frombuffer(b"".join(points.column("code").to_pylist()), np.int16).reshape(len(ids), -1).astype(np.float32)
             q = np.frombuffer(b"".join(queries.column("code").to_pylist()), np.float64).reshape(len(own), -1)
+            # a query's length changes no order, so its largest component becomes 1, which 32 bits can hold whatever it was;
             # half a unit in every component, and the rounding of sums in 32 bits
+            q = q / np.abs(q).max(1, keepdims=True)
             size = np.abs(q).sum(1)
             slack = unit * (0.5 + 32767 * (x.shape[1] + 2) * float(np.finfo(np.float32).eps))
             shift = bits - depth
@@ -105,7 +107,7 @@ def _search(bits: int, most: int):
             thin = q.astype(np.float32)
             for k in np.flatnonzero(low < high).tolist():
                 at = slice(low[k], high[k])
-                rough, error = (x[at] @ thin[k]) * unit[at], slack[at] * size[k]
+                rough, error = (x[at] @ thin[k]).astype(np.float64) * unit[at], slack[at] * size[k]
                 if len(rough) > most:
                     sure = rough - error
                     kept = np.flatnonzero(rough + error >= np.partition(sure, -most)[-most])

@@ -31,6 +31,8 @@ SPACE = 32
 UNDECIDED = "und"
 #: The bounds of the sample: documents for each language, for counts and for calibration, and languages.
 PER_LANGUAGE, PER_CALIBRATION, MOST_LANGUAGES = 1200, 300, 256
+#: A language of fewer documents fits on all of them.
+LEAST_SPLIT = 100
 #: A text is rejected if its cross-entropy exceeds what this share of calibration documents has, by a tenth.
 CALIBRATED = 0.995
 
@@ -174,17 +176,23 @@ def sharpness(mean: np.ndarray, temperature: float) -> np.ndarray:
 
 
 def learn(labelled: DataFrame, text: str, lang: str, key: str, per_language: int, per_calibration: int, most_languages: int) -> Model | None:
-    """Fits and calibrates on a sample of ``labelled``; None without any labelled text."""
+    """Fits and calibrates on a sample of ``labelled``; None without any labelled text that has a letter.
+
+    A language of fewer than ``LEAST_SPLIT`` documents fits on all of them, so that none is lost; nothing
+    is left to calibrate it, and no text is rejected as too unlike it. Rows without a key are drawn by
+    their text.
+    """
     totals = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(most_languages).collect()
     if not totals:
         return None
-    shares = labelled.sparkSession.createDataFrame([(r["lang"], per_language / r["rows"], (per_language + per_calibration) / r["rows"]) for r in totals], "sample_lang string, fit_share double, all_share double")
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], 1.0 if r["rows"] < LEAST_SPLIT else min(0.8, per_language / r["rows"]), (per_language + per_calibration) / r["rows"]) for r in totals], "sample_lang string, fit_share double, all_share double")
+    own_key = F.coalesce(F.col(key).cast("string"), F.xxhash64(F.col(text)).cast("string"))
     drawn = (
-        labelled.withColumn("sample_at", fraction(random_bits("langid", F.col(key))))
+        labelled.withColumn("sample_at", fraction(random_bits("langid", own_key)))
         .join(F.broadcast(shares), F.col(lang) == F.col("sample_lang"))
         .where(F.col("sample_at") < F.least(F.col("all_share"), F.lit(1.0)))
         # with few documents, a fifth of them calibrates
-        .withColumn("fits", F.col("sample_at") < F.least(F.col("fit_share"), F.lit(0.8)))
+        .withColumn("fits", F.col("sample_at") < F.col("fit_share"))
         .select(F.col("sample_lang").alias("lang"), F.col(text).alias("text"), "fits")
     )
 

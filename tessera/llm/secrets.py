@@ -2,14 +2,17 @@
 
 A scan finds assignments to telling names, access keys, long hexadecimal runs and, as candidates
 only, other long tokens of mixed letters and digits. Hashes of all of them are aggregated by
-distinct owners. A value that many owners share is a copied example; one that keeps to few owners
-looks like a live credential, however many of their documents hold it: that number grows with the
-corpus and with copies of one document. Candidates of the latter kind become spans too.
+distinct repositories and owners. A value that many owners share in many repositories is a copied
+example; one that keeps to few owners looks like a live credential, however many of their
+repositories hold it: that number grows with the corpus and with copies of one document. So does one
+that few repositories hold, of whichever owners. Candidates of the latter kinds become spans too.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -26,8 +29,8 @@ KINDS = ("assign", "access", "hex", "owned")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX, LEAST_TOKEN = 12, 18, 16, 20
-#: A value that at most so many owners hold looks live.
-MOST_OWNERS = 2
+#: A value is widely copied if more owners and more repositories hold it; all others look live.
+MOST_OWNERS, MOST_REPOSITORIES = 2, 3
 
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
@@ -80,11 +83,17 @@ def scan_texts(texts: pa.Array) -> list[list[dict]]:
                             add(k, 1, m.start(), m.end(), m[0])
         for k, a, b in _runs(data, at, _HEX, LEAST_HEX):
             add(k, 2, place(k, a), place(k, b), whole[a:b].decode())
+        reach: dict[int, tuple[list[int], list[int]]] = {}
         for k, a, b in _runs(data, at, _TOKEN, LEAST_TOKEN):
             value = whole[a:b].decode()
             if re.search("[0-9]", value) and re.search("[A-Za-z]", value) and len(set(value)) >= 8:
                 start, end = place(k, a), place(k, b)
-                if not any(x["start"] < end and start < x["end"] for x in found[k]):
+                if k not in reach:  # by start, how far the base findings reach
+                    spans = sorted((x["start"], x["end"]) for x in found[k])
+                    reach[k] = [s for s, _ in spans], list(itertools.accumulate((e for _, e in spans), max))
+                starts, ends = reach[k]
+                before = bisect.bisect_left(starts, end)
+                if not (before and ends[before - 1] > start):
                     add(k, 3, start, end, value)
         out += found
     return out
@@ -115,7 +124,7 @@ def redact(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFra
     return docs.withColumn(text, _cut(F.col(text), F.col(spans)))
 
 
-def find_secrets(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", keep_text: bool = True, most_owners: int = MOST_OWNERS) -> DataFrame:
+def find_secrets(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", keep_text: bool = True, most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """``docs`` with ``base_spans``, ``spans`` (both by start, then kind) and ``n_copied``.
 
     A span is (start, kind, end) in code points, end exclusive, kind an index into ``KINDS``; n_copied
@@ -134,9 +143,11 @@ def find_secrets(docs: DataFrame, text: str = "text", repository: str = "doc_id"
         # the scan is not to be moved into the filter and then run again for its column
         found = materialize(scanned.where(F.size("found") > 0))  # the few documents with findings, without their texts
         held = found.select("secret_r", "secret_t", "o", F.explode("found").alias("f")).select("secret_r", "secret_t", "o", "f.*")
-        # one row for each owner, then for each value: nothing gathers in one group
-        holders = held.groupBy("value", "o").agg(F.lit(1).alias("one")).groupBy("value").agg(F.count("one").alias("owners"))
-        live = holders.where(F.col("owners") <= most_owners).select(F.col("value").alias("live"))
+        # one row for each repository, then for each owner, then for each value: nothing gathers in one group
+        in_repository = held.groupBy("value", "o", "secret_r").agg(F.lit(1).alias("one"))
+        of_owner = in_repository.groupBy("value", "o").agg(F.count(F.lit(1)).alias("repositories"))
+        holders = of_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
+        live = holders.where((F.col("owners") <= most_owners) | (F.col("repositories") <= most_repositories)).select(F.col("value").alias("live"))
         judged = held.join(live, F.col("value") == F.col("live"), "left").select("secret_r", "secret_t", F.struct("start", "kind", "end").alias("s"), F.col("live").isNotNull().alias("live"))
         base, owned = F.col("s.kind") < 3, F.col("live")
         return judged.groupBy("secret_r", "secret_t").agg(
