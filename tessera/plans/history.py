@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import history as T
-from tessera.operators import pixel_model
+from tessera.operators import pixel_model, training
 from tessera.plans import catalogue, chips, raster
 from tessera.sources import reports
+from tessera.sources.scratch import shared_folder
 
 BATCH = 4
 
@@ -79,6 +80,20 @@ def pixel_classifier_probabilities(spark: SparkSession, sf_dir: str) -> DataFram
     return pixel_model.predict(pixel_model.fit(px.where("fitted")), px).select("vec_id", "i", F.round("p", 6).alias("p"), "fitted")
 
 
+def trained(spark: SparkSession, sf_dir: str, settings: training.Settings = training.Settings()) -> training.State:  # noqa: B008
+    """A network trained on the even chips, with the odd ones for validation."""
+    chip = chips.chips(spark, sf_dir).select("vec_id", "px")
+    return training.train(chip.where("vec_id % 2 = 0"), chip.where("vec_id % 2 = 1"), chips.SIDE, shared_folder(spark, "training"), settings)
+
+
+def training_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The epochs of a training in mini-batches, with the lines that report them."""
+    rows = training.history(spark, trained(spark, sf_dir))
+    told = reports.epoch_lines(rows, "train_loss_mean", "val_iou", "val_f1", "best")
+    rounded = [F.round(c, 6).alias(c) for c in ("train_loss_mean", "val_iou", "val_f1")]
+    return told.select("epoch", *rounded, "best", "line")
+
+
 def history_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many epochs each run's report has, which one is best, and which were kept because they improved."""
     rows = _history(spark, sf_dir)
@@ -102,7 +117,7 @@ def inference_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("aoi_index", fields.alias("fields"), get("bbox").alias("bbox"), F.round(get("iou").cast("double"), 9).alias("iou"), get("n_gt_pixels").cast("long").alias("n_gt_pixels"), get("threshold").cast("double").alias("threshold"))
 
 
-QUERIES = {f.__name__: f for f in (history_reports, inference_metadata, epoch_history, best_epoch, running_best, masked_mean_loss, cache_miss_plan, cache_fill, geojson_sink, pixel_classifier_probabilities)}
+QUERIES = {f.__name__: f for f in (history_reports, inference_metadata, epoch_history, best_epoch, running_best, masked_mean_loss, cache_miss_plan, cache_fill, geojson_sink, pixel_classifier_probabilities, training_history)}
 
 _HISTORY = """s AS (SELECT user_id AS run, value, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 4 AS epoch FROM events), h AS (
   SELECT run, epoch, round(avg(value), 9) AS train_loss_mean, CASE WHEN epoch % 3 <> 2 THEN round(max(value) % 1, 9) END AS val_iou, count(*)::BIGINT AS batches FROM s GROUP BY run, epoch
