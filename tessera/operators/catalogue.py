@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,16 +68,37 @@ def way_kind(coords: Column) -> Column:
     return F.when(F.size(coords) >= 2, F.when(closed, "Polygon").otherwise("LineString"))
 
 
+@dataclass(frozen=True)
+class FeatureSpec:
+    """A feature by its tags: one of the keys with any value (None) or with one of the values."""
+
+    name: str
+    tags: tuple[tuple[str, tuple[str, ...] | None], ...]
+
+    def holds(self, tags: dict[str, str]) -> bool:
+        return any(tags.get(k) is not None if values is None else tags.get(k) in values for k, values in self.tags)
+
+    def predicate(self, tags: Column) -> Column:
+        test = F.lit(False)
+        for key, values in self.tags:
+            test = test | F.coalesce(tags[key].isNotNull() if values is None else tags[key].isin(*values), F.lit(False))
+        return test
+
+
+#: The tags of features.
+FEATURES = {
+    s.name: s
+    for s in (
+        FeatureSpec("building", (("building", None),)),
+        FeatureSpec("park", (("leisure", ("park",)), ("landuse", ("recreation_ground",)))),
+        FeatureSpec("parking", (("amenity", ("parking",)), ("parking", ("surface",)))),
+        FeatureSpec("road", (("highway", tuple(ROAD_WIDTHS_M)),)),
+    )
+}
+
+
 def feature_predicate(feature: str, tags: Column) -> Column:
-    has = lambda key: tags[key].isNotNull()
-    one_of = "^(" + "|".join(ROAD_WIDTHS_M) + ")$"
-    tests = {
-        "building": has("building"),
-        "park": (tags["leisure"] == "park") | (tags["landuse"] == "recreation_ground"),
-        "parking": (tags["amenity"] == "parking") | (tags["parking"] == "surface"),
-        "road": tags["highway"].rlike(one_of),
-    }
-    return F.coalesce(tests[feature], F.lit(False))
+    return FEATURES[feature].predicate(tags)
 
 
 def width_m(tags: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import attempts
 from tessera.operators import catalogue as K
 from tessera.operators.aoi import ranked
 
@@ -39,6 +40,26 @@ def stac_first_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.first_usable(K.candidates(items(spark, sf_dir)))
 
 
+def stac_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates that are tried for each area, with the reasons of those that can't serve."""
+    return attempts.tried(K.candidates(items(spark, sf_dir))).select("aoi_index", "rank", "id", "reason")
+
+
+def stac_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidate that serves each area, how many were rejected before it, and the error where none serves."""
+    found = attempts.chosen(K.candidates(items(spark, sf_dir)))
+    return found.select("aoi_index", "id", F.size("rejects").cast("long").alias("rejected"), F.col("error").isNotNull().alias("failed"), F.coalesce(F.length("error"), F.lit(0)).alias("told"))
+
+
+def feature_geometries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The geometries of every feature among all elements of an area, by a table function on each payload."""
+    element = F.struct(F.col("id").alias("k"), "type", F.col("coords").alias("geometry"), F.to_json("tags").alias("told"))
+    own = F.transform(F.sort_array(F.collect_list(element)), lambda x: F.struct(x["k"].alias("id"), x["type"].alias("type"), x["geometry"].alias("geometry"), F.from_json(x["told"], "map<string,string>").alias("tags")))
+    payload = ways(spark, sf_dir).groupBy((F.col("id") % 50).alias("aoi_index")).agg(own.alias("elements")).withColumn("feature", F.explode(F.array(*[F.lit(f) for f in K.FEATURES])))
+    rows = payload.lateralJoin(attempts.geometries(F.col("feature").outer(), F.col("elements").outer()))
+    return rows.groupBy("feature", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("line")).alias("corners"), F.sum("ord").alias("ords"))
+
+
 def top_ranked_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(items(spark, sf_dir), "aoi_index", F.coalesce("datetime", F.lit("")).desc(), F.col("pos")).where("rank <= 2").select("aoi_index", "id", "rank")
 
@@ -84,7 +105,7 @@ def feature_tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ways(spark, sf_dir).select("id", *[test(f) for f in ("building", "park", "parking", "road")]).where("building OR park OR parking OR road")
 
 
-QUERIES: dict = {f.__name__: f for f in (stac_candidates, stac_first_usable, top_ranked_item, cloud_then_newest, json_props_scan, road_width_resolution, way_geometry_kind, polygon_ways, feature_tag_filter)}
+QUERIES: dict = {f.__name__: f for f in (stac_candidates, stac_first_usable, stac_attempts, stac_choice, feature_geometries, top_ranked_item, cloud_then_newest, json_props_scan, road_width_resolution, way_geometry_kind, polygon_ways, feature_tag_filter)}
 
 _ITEMS = """i AS (
   SELECT o_custkey AS aoi_index, o_orderkey AS k, CASE WHEN o_orderkey % 19 <> 0 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END AS dt, o_orderpriority LIKE '%NOT%' AS dsm,
@@ -92,6 +113,10 @@ _ITEMS = """i AS (
 ), c AS (
   SELECT *, row_number() OVER (PARTITION BY aoi_index ORDER BY coalesce(dt, '') DESC, k)::INT AS rank FROM i WHERE NOT dsm AND k % 17 <> 0 AND (k % 4 <> 0 OR k % 8 = 0)
 )"""
+_TRIED = f"""{_ITEMS}, j AS (
+  SELECT aoi_index, rank, k::VARCHAR AS id, CASE WHEN k % 4 + 1 < 3 THEN 'COG has ' || (k % 4 + 1) || ' band(s); RGB needs >= 3'
+    WHEN k % 9 = 0 THEN 'COG dtypes (''uint8'', ''uint8'', ''float32'') not in {{''uint8''}} (likely a DSM / elevation product masquerading as imagery)' END AS reason FROM c
+), u AS (SELECT *, min(rank) FILTER (reason IS NULL) OVER (PARTITION BY aoi_index) AS stop FROM j QUALIFY rank <= coalesce(stop, rank))"""
 _WIDTHS = "MAP {'motorway': 12.0, 'residential': 5.0, 'service': 3.5, 'primary_link': 6.0}"
 _WAYS = """w AS (
   SELECT p_partkey AS k, p_size AS z, p_size % 6 AS n, ['motorway', 'residential', 'service', 'footway', 'primary_link'][p_partkey % 5 + 1] AS highway FROM part
@@ -100,6 +125,12 @@ SQL = {
     "stac_candidates": f"WITH {_ITEMS} SELECT aoi_index, k::VARCHAR AS id, '/vsicurl/https://x.example/' || k AS path, rank FROM c",
     "stac_first_usable": f"""WITH {_ITEMS}, u AS (SELECT *, k % 4 + 1 >= 3 AND k % 9 <> 0 AS ok FROM c)
 SELECT aoi_index, arg_min(k::VARCHAR, rank) FILTER (ok) AS id, 'https://x.example/' || (arg_min(k::VARCHAR, rank) FILTER (ok)) AS href, count(*) FILTER (NOT ok)::BIGINT AS rejected FROM u GROUP BY aoi_index""",
+    "stac_attempts": f"""WITH {_TRIED} SELECT aoi_index, rank, id, reason FROM u""",
+    "stac_choice": f"""WITH {_TRIED} SELECT aoi_index, max(id) FILTER (reason IS NULL) AS id, count(reason)::BIGINT AS rejected, count(*) = count(reason) AS failed,
+  CASE WHEN count(*) = count(reason) THEN (26 + sum(length(id) + 2 + length(reason)) + 2 * (count(*) - 1))::INT ELSE 0 END AS told FROM u GROUP BY aoi_index""",
+    "feature_geometries": f"""WITH {_WAYS}, e AS (SELECT *, row_number() OVER (PARTITION BY k % 50 ORDER BY k) - 1 AS ord FROM w), t AS (
+  SELECT *, unnest(['building', 'park', 'parking', 'road']) AS feature, unnest([k % 6 = 0, k % 8 = 0 OR k % 9 = 0, k % 10 = 0, highway <> 'footway']) AS has FROM e WHERE k % 11 <> 0 AND n >= 2
+) SELECT feature, CASE WHEN k % 2 = 0 AND n >= 4 THEN 'Polygon' ELSE 'LineString' END AS kind, count(*)::BIGINT AS n, sum(n)::BIGINT AS corners, sum(ord)::BIGINT AS ords FROM t WHERE has GROUP BY ALL""",
     "top_ranked_item": f"WITH {_ITEMS} SELECT aoi_index, k::VARCHAR AS id, row_number() OVER (PARTITION BY aoi_index ORDER BY coalesce(dt, '') DESC, k)::INT AS rank FROM i QUALIFY rank <= 2",
     "cloud_then_newest": f"""WITH {_ITEMS}, d AS (SELECT *, coalesce(substr(translate(dt, '-:TZ ', ''), 1, 14)::BIGINT, 0) AS digits FROM i)
 SELECT aoi_index, k::VARCHAR AS id, row_number() OVER (PARTITION BY aoi_index ORDER BY cloud, digits DESC, k)::INT AS rank, digits FROM d""",

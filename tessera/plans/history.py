@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import history as T
 from tessera.operators import pixel_model, training
 from tessera.plans import catalogue, chips, raster
-from tessera.sources import reports
+from tessera.sources import leases, reports
 from tessera.sources.scratch import shared_folder
 
 BATCH = 4
@@ -58,6 +58,15 @@ def cache_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.fill(requests, cached, lambda missing: missing.select("key", "aoi", F.lit(True).alias("filled"))).groupBy("filled").agg(F.count(F.lit(1)).alias("n"), F.sum("aoi").alias("aois"))
 
 
+def leased_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fills of a keyed table, the second asking for the keys of the first and more: which one fetched each key."""
+    requests = _requests(spark, sf_dir).select("key", "aoi").distinct()
+    path = shared_folder(spark, "cache")
+    for number, part in enumerate((requests.where("aoi % 3 = 0"), requests), 1):
+        rows = leases.fill_once(part, path, "imagery", lambda missing, n=number: missing.select("key", "aoi", F.lit(n).alias("fill_number")))
+    return rows.select("key", "aoi", "fill_number")
+
+
 def geojson_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A feature of each way as GeoJSON text, closed ways as polygons."""
     ways = catalogue.ways(spark, sf_dir).withColumn("kind", catalogue.K.way_kind(F.col("coords"))).where("type = 'way' AND kind IS NOT NULL")
@@ -108,16 +117,16 @@ def inference_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("vec_id")
     rows = raster.inference_report(spark, sf_dir).select(
         v.alias("aoi_index"), (v % 360 - 180.0).alias("w"), (v % 90 * 1.0).alias("s"), (v % 360 - 179.5).alias("e"), (v % 90 + 0.5).alias("n"), F.lit("").alias("region"), F.lit("").alias("notes"), F.lit(0.6).alias("threshold"),
-        F.lit(raster.MIN_AREA_M2).alias("area_filter_m2"), "iou", "f1", (F.col("pred_pixels") - F.col("tp")).alias("n_pred_polys"), F.col("gt_pixels").alias("n_gt_pixels"), F.col("pred_pixels").alias("n_pred_pixels"),
+        F.lit(raster.MIN_AREA_M2).alias("area_filter_m2"), "iou", "f1", F.col("pred_polys").alias("n_pred_polys"), F.col("gt_pixels").alias("n_gt_pixels"), F.col("pred_pixels").alias("n_pred_pixels"),
         F.col("valid_pixels").alias("n_valid_pixels"), F.col("total_pixels").alias("n_total_pixels"), "valid_fraction", F.lit(raster.PIXEL_M2).alias("pixel_area_m2"),
     )
     told = reports.metadata(rows)
     get = lambda name: F.get_json_object("metadata", f"$.{name}")
     fields = F.array_join(F.json_object_keys("metadata"), ",")
-    return told.select("aoi_index", fields.alias("fields"), get("bbox").alias("bbox"), F.round(get("iou").cast("double"), 9).alias("iou"), get("n_gt_pixels").cast("long").alias("n_gt_pixels"), get("threshold").cast("double").alias("threshold"))
+    return told.select("aoi_index", fields.alias("fields"), get("bbox").alias("bbox"), F.round(get("iou").cast("double"), 9).alias("iou"), get("n_gt_pixels").cast("long").alias("n_gt_pixels"), get("n_pred_polys").cast("long").alias("n_pred_polys"), get("threshold").cast("double").alias("threshold"))
 
 
-QUERIES = {f.__name__: f for f in (history_reports, inference_metadata, epoch_history, best_epoch, running_best, masked_mean_loss, cache_miss_plan, cache_fill, geojson_sink, pixel_classifier_probabilities, training_history)}
+QUERIES = {f.__name__: f for f in (history_reports, inference_metadata, epoch_history, best_epoch, running_best, masked_mean_loss, cache_miss_plan, cache_fill, leased_fill, geojson_sink, pixel_classifier_probabilities, training_history)}
 
 _HISTORY = """s AS (SELECT user_id AS run, value, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 4 AS epoch FROM events), h AS (
   SELECT run, epoch, round(avg(value), 9) AS train_loss_mean, CASE WHEN epoch % 3 <> 2 THEN round(max(value) % 1, 9) END AS val_iou, count(*)::BIGINT AS batches FROM s GROUP BY run, epoch
@@ -128,7 +137,7 @@ SQL = {
     "history_reports": f"""WITH {_HISTORY}, i AS (SELECT run, epoch, val_iou, coalesce(val_iou > coalesce(max(val_iou) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1), false) AS improved FROM h)
 SELECT run, count(*)::BIGINT AS epochs, coalesce(arg_max(epoch, (val_iou, -epoch)) FILTER (val_iou > -1), max(epoch)) AS best_epoch, coalesce(string_agg(epoch::VARCHAR, ',' ORDER BY epoch) FILTER (improved), '') AS kept FROM i GROUP BY run""",
     "inference_metadata": f"""WITH r AS ({raster.SQL["inference_report"]})
-SELECT vec_id AS aoi_index, '{",".join(reports.METADATA)}' AS fields, '[' || (vec_id % 360 - 180.0::DOUBLE) || ',' || (vec_id % 90)::DOUBLE || ',' || (vec_id % 360 - 179.5::DOUBLE) || ',' || (vec_id % 90 + 0.5::DOUBLE) || ']' AS bbox, round(iou, 9) AS iou, gt_pixels AS n_gt_pixels, 0.6::DOUBLE AS threshold FROM r""",
+SELECT vec_id AS aoi_index, '{",".join(reports.METADATA)}' AS fields, '[' || (vec_id % 360 - 180.0::DOUBLE) || ',' || (vec_id % 90)::DOUBLE || ',' || (vec_id % 360 - 179.5::DOUBLE) || ',' || (vec_id % 90 + 0.5::DOUBLE) || ']' AS bbox, round(iou, 9) AS iou, gt_pixels AS n_gt_pixels, pred_polys AS n_pred_polys, 0.6::DOUBLE AS threshold FROM r""",
     "epoch_history": f"WITH {_HISTORY} SELECT * FROM h",
     "best_epoch": f"""WITH {_HISTORY}
 SELECT run, coalesce(arg_max(epoch, (val_iou, -epoch)) FILTER (val_iou > -1), max(epoch)) AS best_epoch, max(val_iou) FILTER (val_iou > -1) AS best_val_iou FROM h GROUP BY run""",
@@ -138,5 +147,6 @@ SELECT run, coalesce(arg_max(epoch, (val_iou, -epoch)) FILTER (val_iou > -1), ma
 ) SELECT k AS id, '{{"type":"Feature","geometry":{{"type":"' || CASE WHEN closed THEN 'Polygon","coordinates":[' || line || ']' ELSE 'LineString","coordinates":' || line END || '}},"properties":{{}}}}' AS feature FROM p""",
     "masked_mean_loss": "SELECT user_id AS run, round(sum(value * (event_id % 3 <> 0)::INT) / greatest(sum((event_id % 3 <> 0)::INT), 1), 9) AS loss FROM events GROUP BY user_id",
     "cache_miss_plan": f"WITH {_REQUESTS} SELECT key, aoi FROM k WHERE aoi % 3 <> 0",
+    "leased_fill": f"WITH {_REQUESTS} SELECT key, aoi, CASE WHEN aoi % 3 = 0 THEN 1 ELSE 2 END AS fill_number FROM k",
     "cache_fill": f"WITH {_REQUESTS} SELECT aoi % 3 <> 0 AS filled, count(*)::BIGINT AS n, sum(aoi)::BIGINT AS aois FROM k GROUP BY 1",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import metrics as M
 from tessera.operators import calibration as C
 from tessera.operators import raster as R
+from tessera.operators import seams as S
 from tessera.plans import chips as H
 
 PIXEL_M2, MIN_AREA_M2, MAX_AREA_M2 = 4.0, 10.0, 60.0
@@ -120,6 +121,7 @@ def inference_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda test: F.size(F.filter(z, test)).cast("long")
     counted = kept.select(
         "vec_id",
+        F.size(F.filter(R.sizes(F.col("label")), lambda c: c["size"] * PIXEL_M2 >= MIN_AREA_M2)).cast("long").alias("pred_polys"),
         n(lambda x: (x["t"] == 1) & (x["v"] == 1)).alias("gt_pixels"),
         n(lambda x: (x["k"] == 1) & (x["v"] == 1)).alias("pred_pixels"),
         n(lambda x: x["v"] == 1).alias("valid_pixels"),
@@ -131,9 +133,9 @@ def inference_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def channel_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three bands of 21 pixels, as bytes, over 255; a pixel is valid if any band is set. Every fifth chip has one band."""
+    """Three bands of 22 pixels, each beginning with the last one of the band before, as bytes, over 255; a pixel is valid if any band is set. Every fifth chip has one band."""
     byte = F.transform("px", lambda x: F.floor(x["p"] * 255).cast("int"))
-    base = H.chips(spark, sf_dir).select("vec_id", byte.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(20))).alias("i"))
+    base = H.chips(spark, sf_dir).select("vec_id", byte.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(21))).alias("i"))
     bands = F.when(F.col("vec_id") % 5 == 0, F.array(F.get("b", F.col("i")))).otherwise(F.array(*[F.get("b", F.col("i") + 21 * k) for k in range(3)]))
     z = base.withColumn("z", R.normalised(bands))
     return z.select("vec_id", "i", *[F.get("z", F.lit(k)).alias(x) for k, x in enumerate("rgb")], F.exists("z", lambda x: x > 0).alias("valid"))
@@ -171,6 +173,15 @@ def rasterize_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return areas.join(burned.groupBy("aoi_index").agg(F.count(F.lit(1)).alias("n"), F.sum("i").alias("s")), "aoi_index", "left").select("aoi_index", F.coalesce("n", F.lit(0)).alias("burned"), F.coalesce("s", F.lit(0)).alias("index_sum"))
 
 
+def seam_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of rasters of four by four chips, over their seams: the first pixel of each and its size."""
+    v = F.col("vec_id")
+    mask = F.transform("px", lambda x: M.at_least(x["p"], 0.55).cast("int"))
+    tiles = H.chips(spark, sf_dir).select(F.floor(v / 16).alias("raster"), F.floor(v % 16 / 4).cast("int").alias("tile_row"), (v % 4).cast("int").alias("tile_col"), mask.alias("mask"))
+    found = S.component_sizes(S.components(tiles, H.SIDE, H.SIDE))
+    return found.select("raster", F.shiftright("component", S.ROW).cast("int").alias("row"), F.col("component").bitwiseAND(F.lit((1 << S.ROW) - 1)).cast("int").alias("col"), "size")
+
+
 GRID = 64
 #: The corners of a star's rays, in quarters of its radius.
 RAYS = ((8, 0), (6, 5), (0, 8), (-5, 6), (-8, 0), (-6, -5), (0, -8), (5, -6))
@@ -203,16 +214,16 @@ def sample_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (connected_components, small_component_filter, component_keep_semi_join, component_outline_stats, sweep_with_area_filter, binary_erosion, d4_augment, augmented_samples, bilinear_reproject, pad_and_collate, confusion_classes, inference_report, channel_normalise, valid_pixel_fraction, foreground_pixels, softmax_probability, rasterize_polygons, rasterize_rings, sample_projection)
+    for f in (connected_components, small_component_filter, component_keep_semi_join, component_outline_stats, sweep_with_area_filter, binary_erosion, d4_augment, augmented_samples, bilinear_reproject, pad_and_collate, confusion_classes, inference_report, channel_normalise, valid_pixel_fraction, foreground_pixels, softmax_probability, rasterize_polygons, rasterize_rings, seam_components, sample_projection)
 }
 
 
-def _labelled(mask: str, keys: str = "vec_id") -> str:
+def _labelled(mask: str, keys: str = "vec_id", side: int = 8) -> str:
     on = " AND ".join(f"r.{k} = m.{k}" for k in keys.split(", "))
     ks = ", ".join(f"r.{k}" for k in keys.split(", "))
     return f"""m AS ({mask}), r AS (
   SELECT {keys}, i, i AS root FROM m
-  UNION SELECT {ks.replace('r.', 'r.')}, m.i, r.root FROM r JOIN m ON {on} AND ((abs(r.i - m.i) = 8) OR (abs(r.i - m.i) = 1 AND r.i // 8 = m.i // 8)) AND m.i > r.root
+  UNION SELECT {ks.replace('r.', 'r.')}, m.i, r.root FROM r JOIN m ON {on} AND ((abs(r.i - m.i) = {side}) OR (abs(r.i - m.i) = 1 AND r.i // {side} = m.i // {side})) AND m.i > r.root
 ), lab AS (SELECT {keys}, i, min(root) AS component FROM r GROUP BY {keys}, i), sz AS (SELECT {keys}, component, count(*) AS n FROM lab GROUP BY {keys}, component)"""
 
 
@@ -220,6 +231,8 @@ _MASK = f"WITH RECURSIVE {H.SQL}, {_labelled('SELECT vec_id, i FROM px WHERE p >
 _FLIP = "CASE WHEN vec_id % 2 = 1 THEN 7 - {c} ELSE {c} END"
 _RAYS = "r AS (SELECT unnest([" + ", ".join(str(dx) for dx, _ in RAYS) + "]) AS dx, unnest([" + ", ".join(str(dy) for _, dy in RAYS) + "]) AS dy, unnest(range(8)) AS i)"
 SQL = {
+    "seam_components": f"""WITH RECURSIVE {H.SQL}, {_labelled("SELECT vec_id // 16 AS vec_id, (vec_id % 16 // 4 * 8 + i // 8) * 32 + vec_id % 4 * 8 + i % 8 AS i FROM px WHERE p >= 0.55", side=32)}
+SELECT vec_id AS raster, (component // 32)::INT AS row, (component % 32)::INT AS col, n::BIGINT AS size FROM sz""",
     "rasterize_rings": f"""WITH {_RAYS}, p AS (
   SELECT p_partkey AS k, CASE WHEN p_partkey % 50 = 0 THEN 4::DOUBLE ELSE 1::DOUBLE END AS size, p_partkey * 13 % {GRID} AS cx, p_partkey * 29 % {GRID} AS cy FROM part
 ), c AS (
@@ -270,12 +283,12 @@ SELECT q.vec_id, string_agg(px.target::VARCHAR, '' ORDER BY o) AS mask, string_a
 SELECT s.vec_id, s.batch, to_h, to_w, any_value(h * w) AS valid_pixels, any_value(to_h * to_w) AS pixels, any_value((32 - to_h % 32) % 32) AS pad_h, round(sum(p), 6) AS total
 FROM s JOIN b USING (batch) JOIN px ON s.vec_id = px.vec_id AND px.i // 8 < h AND px.i % 8 < w GROUP BY s.vec_id, s.batch, to_h, to_w""",
     "confusion_classes": f"""WITH {H.SQL} SELECT region, CASE WHEN valid = 0 THEN 'invalid' WHEN p >= 0.5 AND target = 1 THEN 'tp' WHEN p >= 0.5 THEN 'fp' WHEN target = 1 THEN 'fn' ELSE 'tn' END AS class, count(*)::BIGINT AS n FROM px GROUP BY ALL""",
-    "inference_report": f"""{_MASK}, k AS (SELECT lab.vec_id, lab.i FROM lab JOIN sz USING (vec_id, component) WHERE n * 4 >= 10), a AS (
-  SELECT px.vec_id, count(*) FILTER (valid = 1 AND target = 1)::BIGINT AS gt_pixels, count(*) FILTER (valid = 1 AND k.i IS NOT NULL)::BIGINT AS pred_pixels, count(*) FILTER (valid = 1)::BIGINT AS valid_pixels, count(*)::BIGINT AS total_pixels,
+    "inference_report": f"""{_MASK}, k AS (SELECT lab.vec_id, lab.i, component FROM lab JOIN sz USING (vec_id, component) WHERE n * 4 >= 10), a AS (
+  SELECT px.vec_id, count(DISTINCT component)::BIGINT AS pred_polys, count(*) FILTER (valid = 1 AND target = 1)::BIGINT AS gt_pixels, count(*) FILTER (valid = 1 AND k.i IS NOT NULL)::BIGINT AS pred_pixels, count(*) FILTER (valid = 1)::BIGINT AS valid_pixels, count(*)::BIGINT AS total_pixels,
     count(*) FILTER (valid = 1 AND k.i IS NOT NULL AND target = 1)::BIGINT AS tp FROM px LEFT JOIN k ON px.vec_id = k.vec_id AND px.i = k.i GROUP BY px.vec_id
 ), b AS (SELECT *, pred_pixels - tp AS fp, gt_pixels - tp AS fn FROM a)
-SELECT vec_id, gt_pixels, pred_pixels, valid_pixels, total_pixels, tp, valid_pixels / total_pixels::DOUBLE AS valid_fraction, {H.IOU} AS iou, {H.PANEL_F1} AS f1 FROM b""",
-    "channel_normalise": f"""WITH {H.SQL}, b AS (SELECT vec_id, [floor(x * 255)::INT FOR x IN p] AS b FROM t), e AS (SELECT vec_id, b, unnest(range(21))::INT AS i FROM b), z AS (
+SELECT vec_id, pred_polys, gt_pixels, pred_pixels, valid_pixels, total_pixels, tp, valid_pixels / total_pixels::DOUBLE AS valid_fraction, {H.IOU} AS iou, {H.PANEL_F1} AS f1 FROM b""",
+    "channel_normalise": f"""WITH {H.SQL}, b AS (SELECT vec_id, [floor(x * 255)::INT FOR x IN p] AS b FROM t), e AS (SELECT vec_id, b, unnest(range(22))::INT AS i FROM b), z AS (
   SELECT vec_id, i, b[i + 1] / 255::DOUBLE AS r, CASE WHEN vec_id % 5 = 0 THEN 0::DOUBLE ELSE b[i + 22] / 255::DOUBLE END AS g, CASE WHEN vec_id % 5 = 0 THEN 0::DOUBLE ELSE b[i + 43] / 255::DOUBLE END AS b FROM e
 ) SELECT *, r + g + b > 0 AS valid FROM z""",
     "valid_pixel_fraction": f"""WITH {H.SQL}, v AS (SELECT vec_id, target, CASE WHEN vec_id % 7 = 0 THEN 1 ELSE valid END AS v FROM px)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
@@ -17,3 +17,18 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found}/tessera/{kind}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, which cuts its lineage."""
+    path = shared_folder(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that ``stored`` wrote, once nothing reads it any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(conf).delete(at, True)
