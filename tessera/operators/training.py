@@ -132,6 +132,18 @@ def predict(chips: DataFrame, weights: np.ndarray, side: int) -> DataFrame:
     return chips.withColumn("predicted", run(F.col("px")))
 
 
+def probabilities(chips: DataFrame, weights: np.ndarray, side: int) -> DataFrame:
+    """``chips`` whose pixels' ``p`` is the probability of class one."""
+
+    @F.arrow_udf("array<double>")
+    def run(px: pa.Array) -> pa.Array:
+        p = px.flatten().field("p").to_numpy(zero_copy_only=False).reshape(len(px), -1)
+        share = forward(weights, patches(p, side))[1][:, 1]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(px) + 1, dtype=np.int32) * p.shape[1]), pa.array(share))
+
+    return chips.withColumn("px", F.zip_with("px", run(F.col("px")), lambda x, y: x.withField("p", y)))
+
+
 def scores(chips: DataFrame, weights: np.ndarray, side: int) -> tuple[float, float] | None:
     """The means over chips of IoU and F1 among valid pixels; None without chips."""
     seen = F.zip_with("px", "predicted", lambda x, y: F.when(x["valid"] == 1, x["target"] * 2 + y))

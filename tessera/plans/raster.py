@@ -56,18 +56,8 @@ def component_outline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sweep_with_area_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best threshold and area filter of each chip; components are labelled and counted once for each threshold, and filters are sums over them."""
-    found = R.component_counts(_field("p"), _field("target"), _field("valid"), C.THRESHOLDS, H.SIDE)
-    each = H.chips(spark, sf_dir).select("vec_id", F.explode(found).alias("f")).select("vec_id", "f.*")
-    areas = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(area).alias("area")) for k, area in enumerate(C.AREA_FILTERS_M2)])
-    each = each.withColumn("a", F.explode(areas))
-    total = lambda name: F.aggregate(
-        "components", F.lit(0).cast("long"), lambda s, c: s + F.when(c["size"] * F.lit(PIXEL_M2) >= F.col("a.area"), c[name]).otherwise(0)
-    )
-    threshold = F.element_at(F.array(*[F.lit(t) for t in C.THRESHOLDS]), F.col("ordinal") + 1)
-    counted = each.select("vec_id", threshold.alias("threshold"), F.col("a.area").alias("area_filter"), (F.col("ordinal") * len(C.AREA_FILTERS_M2) + F.col("a.k")).alias("ordinal"), total("tp").alias("tp"), total("fp").alias("fp"), "positives")
-    scored = C.scored(counted.withColumn("fn", F.col("positives") - F.col("tp")))
-    best = M.first_best(F.col("iou"), F.col("ordinal"), F.col("threshold").alias("best_threshold"), F.col("area_filter").alias("best_area_filter_m2"), F.col("iou").alias("best_iou"), F.col("f1").alias("best_f1"))
-    return scored.groupBy("vec_id").agg(best.alias("b")).select("vec_id", "b.*")
+    grid = C.sweep_areas(H.chips(spark, sf_dir).withColumn("pixel_m2", F.lit(PIXEL_M2)), H.SIDE, "vec_id")
+    return C.best_of_grid(grid, "vec_id")
 
 
 def binary_erosion(spark: SparkSession, sf_dir: str) -> DataFrame:
