@@ -11,6 +11,8 @@ from tessera.operators import calibration as C
 from tessera.operators import raster as R
 from tessera.operators import seams as S
 from tessera.plans import chips as H
+from tessera.sources import pyramid
+from tessera.sources.scratch import shared_folder
 
 PIXEL_M2, MIN_AREA_M2, MAX_AREA_M2 = 4.0, 10.0, 60.0
 
@@ -172,6 +174,24 @@ def seam_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("raster", F.shiftright("component", S.ROW).cast("int").alias("row"), F.col("component").bitwiseAND(F.lit((1 << S.ROW) - 1)).cast("int").alias("col"), "size")
 
 
+#: A window in the rasters of four by four chips: first row and column, last row and column (excluded); and how large it may get.
+WINDOW, MAX_SIDE, LEVELS = (3, 5, 22, 31), 16, 2
+
+
+def windowed_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of each raster of four by four chips, read from blocks at the overview level that fits."""
+    v = F.col("vec_id")
+    p = F.transform("px", lambda x: F.when(x["valid"] == 1, x["p"]).otherwise(float("nan")))
+    blocks = H.chips(spark, sf_dir).select(F.floor(v / 16).alias("raster"), F.floor(v % 16 / 4).alias("block_row"), (v % 4).alias("block_col"), p.alias("values"))
+    path = shared_folder(spark, "pyramid")
+    pyramid.write_pyramid(blocks, path, H.SIDE, LEVELS)
+    found = pyramid.read_window(spark, path, WINDOW, MAX_SIDE, H.SIDE, LEVELS)
+    known = F.filter("values", lambda x: ~F.isnan(x))
+    placed = F.zip_with("values", F.sequence(F.lit(0), F.size("values") - 1), lambda x, i: F.when(F.isnan(x), 0.0).otherwise(x * (i + 1)))
+    total = lambda xs: F.round(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x), 6)
+    return found.select("raster", "level", "height", "width", F.size(known).cast("long").alias("known"), total(known).alias("total"), total(placed).alias("placed"))
+
+
 GRID = 64
 #: The corners of a star's rays, in quarters of its radius.
 RAYS = ((8, 0), (6, 5), (0, 8), (-5, 6), (-8, 0), (-6, -5), (0, -8), (5, -6))
@@ -204,7 +224,7 @@ def sample_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (connected_components, small_component_filter, component_keep_semi_join, component_outline_stats, sweep_with_area_filter, binary_erosion, d4_augment, augmented_samples, bilinear_reproject, pad_and_collate, confusion_classes, inference_report, channel_normalise, valid_pixel_fraction, foreground_pixels, softmax_probability, rasterize_polygons, rasterize_rings, seam_components, sample_projection)
+    for f in (connected_components, small_component_filter, component_keep_semi_join, component_outline_stats, sweep_with_area_filter, binary_erosion, d4_augment, augmented_samples, bilinear_reproject, pad_and_collate, confusion_classes, inference_report, channel_normalise, valid_pixel_fraction, foreground_pixels, softmax_probability, rasterize_polygons, rasterize_rings, seam_components, windowed_read, sample_projection)
 }
 
 
@@ -221,6 +241,11 @@ _MASK = f"WITH RECURSIVE {H.SQL}, {_labelled('SELECT vec_id, i FROM px WHERE p >
 _FLIP = "CASE WHEN vec_id % 2 = 1 THEN 7 - {c} ELSE {c} END"
 _RAYS = "r AS (SELECT unnest([" + ", ".join(str(dx) for dx, _ in RAYS) + "]) AS dx, unnest([" + ", ".join(str(dy) for _, dy in RAYS) + "]) AS dy, unnest(range(8)) AS i)"
 SQL = {
+    "windowed_read": f"""WITH {H.SQL}, a AS (
+  SELECT vec_id // 16 AS raster, (vec_id % 16 // 4 * 8 + i // 8) // 2 AS r, (vec_id % 4 * 8 + i % 8) // 2 AS c, p FROM px WHERE valid = 1
+), l AS (SELECT raster, r, c, avg(p) AS v FROM a WHERE r >= 1 AND r < 11 AND c >= 2 AND c < 16 GROUP BY ALL
+), met AS (SELECT DISTINCT vec_id // 16 AS raster FROM px WHERE vec_id % 16 // 4 * 8 <= 21)
+SELECT met.raster, 1 AS level, 10 AS height, 14 AS width, count(v)::BIGINT AS known, round(coalesce(sum(v), 0), 6) AS total, round(coalesce(sum(v * ((r - 1) * 14 + c - 2 + 1)), 0), 6) AS placed FROM met LEFT JOIN l ON met.raster = l.raster GROUP BY met.raster""",
     "seam_components": f"""WITH RECURSIVE {H.SQL}, {_labelled("SELECT vec_id // 16 AS vec_id, (vec_id % 16 // 4 * 8 + i // 8) * 32 + vec_id % 4 * 8 + i % 8 AS i FROM px WHERE p >= 0.55", side=32)}
 SELECT vec_id AS raster, (component // 32)::INT AS row, (component % 32)::INT AS col, n::BIGINT AS size FROM sz""",
     "rasterize_rings": f"""WITH {_RAYS}, p AS (
