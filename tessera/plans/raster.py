@@ -11,6 +11,7 @@ from tessera.operators import calibration as C
 from tessera.operators import raster as R
 from tessera.operators import seams as S
 from tessera.plans import chips as H
+from tessera.sources import images as image_files
 from tessera.sources import pyramid
 from tessera.sources.scratch import shared_folder
 
@@ -192,6 +193,23 @@ def windowed_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("raster", "level", "height", "width", F.size(known).cast("long").alias("known"), total(known).alias("total"), total(placed).alias("placed"))
 
 
+def tiff_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of each raster of four by four chips out of a TIFF of its bytes; pixels of chips that are missing are 0."""
+    v = F.col("vec_id")
+    own = H.chips(spark, sf_dir).select(F.floor(v / 16).alias("raster"), (v % 16).cast("int").alias("at"), F.transform("px", lambda x: F.floor(x["p"] * 255).cast("int")).alias("b"))
+    chip = own.groupBy("raster").agg(F.map_from_entries(F.collect_list(F.struct("at", "b"))).alias("chips"))
+    place = lambda i: F.struct((F.floor(i / 256) * 4 + F.floor(i % 32 / 8)).cast("int").alias("chip"), (F.floor(i / 32) % 8 * 8 + i % 8).cast("int").alias("pixel"))
+    values = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.coalesce(F.get(F.try_element_at("chips", place(i)["chip"]), place(i)["pixel"]), F.lit(0)))
+    side = F.lit(32)
+    rows = chip.select(F.col("raster").cast("string").alias("key"), values.alias("values"), side.alias("height"), side.alias("width"), F.lit(1).alias("bands"), *[F.lit(float(x)).alias(c) for c, x in zip("wsen", (0, 0, 32, 32), strict=True)])
+    path = shared_folder(spark, "images")
+    image_files.write_images(rows, path, 16, 3857)
+    wanted = rows.select(F.concat(F.lit(f"{path}/"), "key", F.lit(".tif")).alias("path"), *[F.lit(x).alias(c) for c, x in zip(("row", "col", "last_row", "last_col"), WINDOW, strict=True)])
+    placed = F.aggregate(F.zip_with("values", F.sequence(F.lit(1), F.size("values")), lambda x, i: x * i), F.lit(0).cast("long"), lambda a, x: a + x)
+    found = image_files.read_windows(wanted)
+    return found.select(F.regexp_extract("path", r"(\d+)\.tif$", 1).cast("long").alias("raster"), "height", "width", "epsg", F.col("n").alias("north"), F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), placed.alias("placed"))
+
+
 GRID = 64
 #: The corners of a star's rays, in quarters of its radius.
 RAYS = ((8, 0), (6, 5), (0, 8), (-5, 6), (-8, 0), (-6, -5), (0, -8), (5, -6))
@@ -224,7 +242,7 @@ def sample_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (connected_components, small_component_filter, component_keep_semi_join, component_outline_stats, sweep_with_area_filter, binary_erosion, d4_augment, augmented_samples, bilinear_reproject, pad_and_collate, confusion_classes, inference_report, channel_normalise, valid_pixel_fraction, foreground_pixels, softmax_probability, rasterize_polygons, rasterize_rings, seam_components, windowed_read, sample_projection)
+    for f in (connected_components, small_component_filter, component_keep_semi_join, component_outline_stats, sweep_with_area_filter, binary_erosion, d4_augment, augmented_samples, bilinear_reproject, pad_and_collate, confusion_classes, inference_report, channel_normalise, valid_pixel_fraction, foreground_pixels, softmax_probability, rasterize_polygons, rasterize_rings, seam_components, windowed_read, tiff_windows, sample_projection)
 }
 
 
@@ -241,6 +259,11 @@ _MASK = f"WITH RECURSIVE {H.SQL}, {_labelled('SELECT vec_id, i FROM px WHERE p >
 _FLIP = "CASE WHEN vec_id % 2 = 1 THEN 7 - {c} ELSE {c} END"
 _RAYS = "r AS (SELECT unnest([" + ", ".join(str(dx) for dx, _ in RAYS) + "]) AS dx, unnest([" + ", ".join(str(dy) for _, dy in RAYS) + "]) AS dy, unnest(range(8)) AS i)"
 SQL = {
+    "tiff_windows": f"""WITH {H.SQL}, a AS (
+  SELECT vec_id // 16 AS raster, vec_id % 16 // 4 * 8 + i // 8 - 3 AS r, vec_id % 4 * 8 + i % 8 - 5 AS c, floor(p * 255)::BIGINT AS b FROM px
+), k AS (SELECT DISTINCT raster FROM a)
+SELECT k.raster, 19 AS height, 26 AS width, 3857 AS epsg, 32::DOUBLE AS north, coalesce(sum(b), 0)::BIGINT AS total, coalesce(sum(b * (r * 26 + c + 1)), 0)::BIGINT AS placed
+FROM k LEFT JOIN a ON k.raster = a.raster AND r >= 0 AND r < 19 AND c >= 0 AND c < 26 GROUP BY k.raster""",
     "windowed_read": f"""WITH {H.SQL}, a AS (
   SELECT vec_id // 16 AS raster, (vec_id % 16 // 4 * 8 + i // 8) // 2 AS r, (vec_id % 4 * 8 + i % 8) // 2 AS c, p FROM px WHERE valid = 1
 ), l AS (SELECT raster, r, c, avg(p) AS v FROM a WHERE r >= 1 AND r < 11 AND c >= 2 AND c < 16 GROUP BY ALL
