@@ -46,7 +46,7 @@ def write_images(rows: DataFrame, path: str, tile: int = 256, epsg: int | None =
 
 
 def read_windows(wanted: DataFrame) -> DataFrame:
-    """The window of each file (path, row, col, last_row, last_col), read by its directory and the tiles that it meets; see WINDOW."""
+    """The window of each file (path, row, col, last_row, last_col), read by its directory and the tiles that it meets; null ends are the image's. See WINDOW."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,7 +54,8 @@ def read_windows(wanted: DataFrame) -> DataFrame:
                 fs, at = pyarrow.fs.FileSystem.from_uri(r["path"]) if ":" in r["path"] else (pyarrow.fs.LocalFileSystem(), r["path"])
                 with fs.open_input_file(at) as f:
                     tiff = images.Tiff.open(lambda offset, n, f=f: f.read_at(n, offset))
-                    own = tiff.window(r["row"], r["col"], r["last_row"], r["last_col"])
+                    last = [tiff.shape[k] if r[c] is None else r[c] for k, c in enumerate(("last_row", "last_col"))]
+                    own = tiff.window(r["row"], r["col"], *last)
                     w, s, e, n = tiff.bounds or (None,) * 4
                 one = {"path": r["path"], **dict(zip(("height", "width", "bands"), own.shape, strict=True)), "row": r["row"], "col": r["col"], "w": w, "s": s, "e": e, "n": n, "epsg": tiff.epsg, "values": own.ravel().tolist()}
                 kinds = [("path", pa.string()), *[(c, pa.int32()) for c in ("height", "width", "bands", "row", "col")], *[(c, pa.float64()) for c in "wsen"], ("epsg", pa.int32()), ("values", pa.list_(pa.int32()))]

@@ -1,7 +1,6 @@
 """Scans of catalogue and map payloads in JSON files, with explicit schemas, and sources by name.
 
-Live services need a network and raster codecs; a source reads what was fetched before. Sources
-that can't be served say so loudly.
+Live services need a network; a source reads what was fetched before: payloads, vector tiles, tiled TIFF.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.operators import catalogue as K
 from tessera.operators import geometry as G
 from tessera.operators.aoi import ranked
+from tessera.sources import images
 
 STAC = """features array<struct<id: string, collection: string, bbox: array<double>,
   properties: struct<datetime: string, instruments: array<string>, title: string, `eo:cloud_cover`: double>,
@@ -75,12 +75,17 @@ def map_polygons(spark: SparkSession, path: str) -> DataFrame:
     return map_features(spark, path).where("kind = 'Polygon'")
 
 
-def vector_tiles(spark: SparkSession, path: str) -> DataFrame:
-    raise NotImplementedError("vector tiles need a protobuf codec; use map_features")
+def vector_tiles(spark: SparkSession, path: str, layer: str = "building") -> DataFrame:
+    """(path, id, rings) of the polygons of a layer in files of vector tiles; rings are in tile steps, the outer one first."""
+    tiles = spark.read.format("binaryFile").load(path)
+    return tiles.select("path", F.explode(G.tile_features_of(F.col("content"), layer)).alias("f")).select("path", "f.id", "f.rings")
 
 
 def pixels(spark: SparkSession, path: str) -> DataFrame:
-    raise NotImplementedError("cloud-optimised GeoTIFF needs a raster codec; read chips that were decoded before")
+    """The images of a folder of tiled TIFF files (``*.tif``), whole; ``images.read_windows`` reads parts of them."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").load(path).select("path")
+    whole = F.lit(None).cast("int")
+    return images.read_windows(files.select("path", F.lit(0).alias("row"), F.lit(0).alias("col"), whole.alias("last_row"), whole.alias("last_col")))
 
 
 SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"open_imagery": open_imagery, "cloud_imagery": cloud_imagery, "map_features": map_features, "map_polygons": map_polygons, "vector_tiles": vector_tiles, "pixels": pixels}

@@ -1,11 +1,13 @@
 import json
 
+import numpy as np
 import pytest
 from compare import DATA
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tessera import cli
+from tessera.functions import images, tiles
 from tessera.operators import pixel_model
 from tessera.sources import payloads, recipes, reports, sinks
 from tessera.streaming import requests
@@ -36,10 +38,7 @@ def test_ways(spark, tmp_path):
     assert payloads.map_polygons(spark, str(tmp_path)).count() == 1
 
 
-def test_sources_that_cannot_be_served(spark):
-    for name in ("vector_tiles", "pixels"):
-        with pytest.raises(NotImplementedError):
-            payloads.source(name)(spark, "")
+def test_sources_that_there_are_not(spark):
     with pytest.raises(KeyError, match="open_imagery"):
         payloads.source("else")
 
@@ -164,3 +163,17 @@ def test_stream_of_requests(spark, tmp_path):
         requests.check_stream(requests.requests(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("aoi_index").collect()
     assert [(r["aoi_index"], r["hard_pass"]) for r in got] == [(0, True), (1, False), (2, True)]
+
+
+def test_tiles_and_images_of_a_folder(spark, tmp_path):
+    (tmp_path / "tiles").mkdir()
+    (tmp_path / "tif").mkdir()
+    square = [[(0, 0), (4096, 0), (4096, 4096), (0, 4096)], [(10, 10), (10, 20), (20, 20)]]
+    (tmp_path / "tiles" / "1.mvt").write_bytes(tiles.encode("building", [(7, square, {})]))
+    (tmp_path / "tiles" / "2.mvt").write_bytes(b"")
+    rows = payloads.source("vector_tiles")(spark, str(tmp_path / "tiles")).collect()
+    assert [(r["id"], r["rings"]) for r in rows] == [(7, [[list(p) for p in ring] for ring in square])]
+    image = np.arange(20 * 30 * 3).reshape(20, 30, 3).astype(np.uint8)
+    (tmp_path / "tif" / "a.tif").write_bytes(images.encode_tiff(image, 16))
+    row = payloads.source("pixels")(spark, str(tmp_path / "tif")).first()
+    assert (row["height"], row["width"], row["bands"], row["w"]) == (20, 30, 3, None) and row["values"] == image.ravel().tolist()
