@@ -37,10 +37,11 @@ def scored(counted: DataFrame) -> DataFrame:
 
 
 def sweep(chips: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
-    """A row of counts and metrics for each chip and threshold, with the threshold's ordinal."""
-    grid = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(t).alias("threshold")) for i, t in enumerate(thresholds)])
-    each = F.transform(grid, lambda g: F.struct(g["ordinal"].alias("ordinal"), g["threshold"].alias("threshold"), *counts(F.col("px"), lambda x: M.at_least(x["p"], g["threshold"]))))
-    return scored(chips.select("vec_id", "region", F.explode(each).alias("s")).select("vec_id", "region", "s.*"))
+    """A row of counts and metrics for each chip and threshold, with the threshold's ordinal; thresholds rise."""
+    field = lambda name: F.transform("px", lambda x: x[name])
+    each = chips.select("vec_id", "region", F.explode(R.threshold_counts(field("p"), field("target"), field("valid"), thresholds)).alias("s"))
+    threshold = F.element_at(F.array(*[F.lit(t) for t in thresholds]), F.col("s.ordinal") + 1)
+    return scored(each.select("vec_id", "region", "s.ordinal", threshold.alias("threshold"), "s.tp", "s.fp", "s.fn"))
 
 
 def best_thresholds(swept: DataFrame) -> DataFrame:

@@ -51,6 +51,28 @@ def keep_large(label: Column, pixel_area_m2: float, min_area_m2: float) -> Colum
     return run(label)
 
 
+def threshold_counts(p: Column, target: Column, valid: Column, thresholds: tuple[float, ...]) -> Column:
+    """For each of rising thresholds a struct (ordinal, tp, fp, fn) over valid pixels: one histogram of the steps that pixels reach, added up from above."""
+    steps = np.array(thresholds)
+
+    @F.arrow_udf("array<struct<ordinal:int,tp:long,fp:long,fn:long>>")
+    def run(ps: pa.Array, targets: pa.Array, valids: pa.Array) -> pa.Array:
+        n, t = len(ps), len(thresholds)
+        reached, positives = np.zeros((2, n, t), np.int64), np.zeros((n, 1), np.int64)
+        for (rows, own), (_, truth), (_, good) in zip(K.dense(ps, float), K.dense(targets, np.int64), K.dense(valids, np.int64), strict=True):
+            at = np.arange(len(own))[:, None] * (t + 1) + np.searchsorted(steps, own, "right")
+            for k in (0, 1):
+                mark = (truth == k) & (good == 1)
+                counts = np.bincount(at[mark], minlength=len(own) * (t + 1)).reshape(-1, t + 1)
+                reached[k][rows] = counts[:, ::-1].cumsum(1)[:, ::-1][:, 1:]
+                if k:
+                    positives[rows, 0] = mark.sum(1)
+        fields = [np.tile(np.arange(t, dtype=np.int32), n), reached[1].ravel(), reached[0].ravel(), (positives - reached[1]).ravel()]
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * t), pa.StructArray.from_arrays([pa.array(x) for x in fields], ["ordinal", "tp", "fp", "fn"]))
+
+    return run(p, target, valid)
+
+
 def component_counts(p: Column, target: Column, valid: Column, thresholds: tuple[float, ...], width: int) -> Column:
     """For each threshold a struct (ordinal, positives, components): set pixels of the truth, and (size, tp, fp) of each component.
 
