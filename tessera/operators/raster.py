@@ -191,6 +191,33 @@ def resample(values: Column, width: int, rows: np.ndarray, cols: np.ndarray) ->
     return run(values)
 
 
+def reproject(values: Column, width: int, box: Column, to_width: Column, to_height: Column) -> Column:
+    """Chips (array<double>) that cover a box (w, s, e, n) in degrees, read by bilinear weights on the Mercator grid of the same bounds; each area has its own.
+
+    A target pixel takes the value at its centre; 0 where that lies outside the centres of the outer source pixels.
+    """
+
+    @F.arrow_udf("array<double>")
+    def run(values: pa.Array, boxes: pa.Array, *sizes: pa.Array) -> pa.Array:
+        w, s, e, n = (boxes.field(c).to_numpy(zero_copy_only=False) for c in "wsen")
+        to_w, to_h = (x.to_numpy(zero_copy_only=False) for x in sizes)
+        out: list = [None] * len(values)
+        for rows, own in K.dense(values, float):
+            for k, chip in zip(rows.tolist(), own.reshape(len(rows), -1, width) if own.shape[1] else own, strict=True):
+                if not chip.size:
+                    out[k] = []
+                    continue
+                x0, x1 = np.radians(w[k]), np.radians(e[k])
+                y0, y1 = np.log(np.tan(np.pi / 4 + np.radians(s[k]) / 2)), np.log(np.tan(np.pi / 4 + np.radians(n[k]) / 2))
+                lon = np.degrees(x0 + (np.arange(to_w[k]) + 0.5) * ((x1 - x0) / to_w[k]))
+                lat = np.degrees(2 * np.arctan(np.exp(y1 - (np.arange(to_h[k]) + 0.5) * ((y1 - y0) / to_h[k]))) - np.pi / 2)
+                cols, lines = (lon - w[k]) / (e[k] - w[k]) * chip.shape[1] - 0.5, (n[k] - lat) / (n[k] - s[k]) * chip.shape[0] - 0.5
+                out[k] = K.bilinear(chip[None], *np.meshgrid(lines, cols, indexing="ij"))[0].ravel()
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return run(values, box, to_width, to_height)
+
+
 def normalised(bands: Column) -> Column:
     """The first three bands over 255; missing bands are 0."""
     return F.slice(F.concat(F.transform(bands, lambda b: b / 255.0), F.array_repeat(F.lit(0.0), 3)), 1, 3)

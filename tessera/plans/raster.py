@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import geo
 from tessera.functions import metrics as M
 from tessera.operators import calibration as C
 from tessera.operators import raster as R
@@ -102,6 +103,19 @@ def bilinear_reproject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.chips(spark, sf_dir).select("vec_id", F.posexplode(z).alias("o", "value")).select("vec_id", "o", F.round("value", 9).alias("value"))
 
 
+def area_reproject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chips of boxes in degrees on the Mercator grid of their own bounds, the longer side of six pixels."""
+    v = F.col("vec_id")
+    w, s = v % 300 - 150.0, v * 7 % 120 - 60.0
+    box = F.struct(w.alias("w"), s.alias("s"), (w + 1 + v % 4 * 0.5).alias("e"), (s + 1 + v % 3 * 0.75).alias("n"))
+    base = H.chips(spark, sf_dir).select("vec_id", _field("p").alias("p"), box.alias("box"))
+    side = lambda f, a, b: f(F.col(f"box.{b}")) - f(F.col(f"box.{a}"))
+    to_w, to_h = geo.output_size(side(geo.mercator_x, "w", "e"), side(geo.mercator_y, "s", "n"), 6)
+    sized = base.withColumns({"to_w": to_w, "to_h": to_h})
+    z = R.reproject(F.col("p"), H.SIDE, F.col("box"), F.col("to_w"), F.col("to_h"))
+    return sized.select("vec_id", "to_w", "to_h", F.posexplode(z).alias("o", "value")).select("vec_id", "to_w", "to_h", "o", F.round("value", 6).alias("value"))
+
+
 def confusion_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixel = H.pixels(H.chips(spark, sf_dir)).withColumn("class", R.confusion_class(F.col("target"), M.at_least(F.col("p"), 0.5).cast("int"), F.col("valid")))
     return pixel.groupBy("region", "class").agg(F.count(F.lit(1)).alias("n"))
@@ -242,7 +256,7 @@ def sample_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (connected_components, small_component_filter, component_keep_semi_join, component_outline_stats, sweep_with_area_filter, binary_erosion, d4_augment, augmented_samples, bilinear_reproject, pad_and_collate, confusion_classes, inference_report, channel_normalise, valid_pixel_fraction, foreground_pixels, softmax_probability, rasterize_polygons, rasterize_rings, seam_components, windowed_read, tiff_windows, sample_projection)
+    for f in (connected_components, small_component_filter, component_keep_semi_join, component_outline_stats, sweep_with_area_filter, binary_erosion, d4_augment, augmented_samples, bilinear_reproject, area_reproject, pad_and_collate, confusion_classes, inference_report, channel_normalise, valid_pixel_fraction, foreground_pixels, softmax_probability, rasterize_polygons, rasterize_rings, seam_components, windowed_read, tiff_windows, sample_projection)
 }
 
 
@@ -317,6 +331,18 @@ SELECT q.vec_id, string_agg(px.target::VARCHAR, '' ORDER BY o) AS mask, string_a
     "bilinear_reproject": f"""WITH {H.SQL}, g AS (SELECT o::INT AS o, (o // 5) * 1.75::DOUBLE - 0.5::DOUBLE AS y, (o % 5) * 1.75::DOUBLE - 0.5::DOUBLE AS x FROM (SELECT unnest(range(25)) AS o)), k AS (
   SELECT o, (floor(y) + dy)::INT AS r, (floor(x) + dx)::INT AS c, (1 - abs(y - floor(y) - dy)) * (1 - abs(x - floor(x) - dx)) AS weight, y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7 AS inside FROM g, (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx)
 ) SELECT vec_id, o, round(coalesce(sum(p * weight) FILTER (inside), 0), 9) AS value FROM k LEFT JOIN px ON px.i = greatest(least(r, 7), 0) * 8 + greatest(least(c, 7), 0) GROUP BY vec_id, o""",
+    "area_reproject": f"""WITH {H.SQL}, b AS (
+  SELECT vec_id, vec_id % 300 - 150::DOUBLE AS w, vec_id * 7 % 120 - 60::DOUBLE AS s, vec_id % 300 - 150::DOUBLE + 1 + vec_id % 4 * 0.5::DOUBLE AS e, vec_id * 7 % 120 - 60::DOUBLE + 1 + vec_id % 3 * 0.75::DOUBLE AS n FROM c
+), m AS (SELECT *, radians(w) AS x0, radians(e) AS x1, ln(tan(pi() / 4 + radians(s) / 2)) AS y0, ln(tan(pi() / 4 + radians(n) / 2)) AS y1 FROM b
+), z AS (SELECT *, (x1 - x0) / (y1 - y0) AS ratio FROM m
+), d AS (SELECT *, CASE WHEN ratio >= 1 THEN 6 ELSE greatest(1, round_even(6 * ratio, 0)::INT) END AS to_w, CASE WHEN ratio >= 1 THEN greatest(1, round_even(6 / ratio, 0)::INT) ELSE 6 END AS to_h FROM z
+), o AS (SELECT *, unnest(range(to_w * to_h))::INT AS o FROM d
+), g AS (
+  SELECT vec_id, to_w, to_h, o, (degrees(x0 + (o % to_w + 0.5::DOUBLE) * ((x1 - x0) / to_w)) - w) / (e - w) * 8 - 0.5::DOUBLE AS x,
+    (n - degrees(2 * atan(exp(y1 - (o // to_w + 0.5::DOUBLE) * ((y1 - y0) / to_h))) - pi() / 2)) / (n - s) * 8 - 0.5::DOUBLE AS y FROM o
+), k AS (
+  SELECT *, (floor(y) + dy)::INT AS r, (floor(x) + dx)::INT AS q, (1 - abs(y - floor(y) - dy)) * (1 - abs(x - floor(x) - dx)) AS weight, y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7 AS inside FROM g, (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx)
+) SELECT k.vec_id, to_w, to_h, o, round(coalesce(sum(p * weight) FILTER (inside), 0), 6) AS value FROM k JOIN px ON px.vec_id = k.vec_id AND px.i = greatest(least(r, 7), 0) * 8 + greatest(least(q, 7), 0) GROUP BY ALL""",
     "pad_and_collate": f"""WITH {H.SQL}, s AS (SELECT vec_id, vec_id // 4 AS batch, (vec_id % 5 + 3)::INT AS h, (vec_id % 3 + 5)::INT AS w FROM c), b AS (SELECT batch, max(h) AS to_h, max(w) AS to_w FROM s GROUP BY batch)
 SELECT s.vec_id, s.batch, to_h, to_w, any_value(h * w) AS valid_pixels, any_value(to_h * to_w) AS pixels, any_value((32 - to_h % 32) % 32) AS pad_h, round(sum(p), 6) AS total
 FROM s JOIN b USING (batch) JOIN px ON s.vec_id = px.vec_id AND px.i // 8 < h AND px.i % 8 < w GROUP BY s.vec_id, s.batch, to_h, to_w""",

@@ -218,3 +218,13 @@ def test_boxes_need_an_extent(spark):
 def test_bilinear_between_pixels():
     image = np.arange(9.0).reshape(1, 3, 3)
     assert kernels.bilinear(image, np.array([[0.5, 5.0]]), np.array([[0.5, 0.0]])).tolist() == [[[2.0, 0.0]]]
+
+
+def test_areas_are_resampled_on_their_own_grids(spark):
+    rows = [(1, [1.0, 2.0, 3.0, 4.0], 0.0, 0.0, 1.0, 1.0, 1, 1), (2, [5.0] * 9, 10.0, -5.0, 12.0, -4.0, 4, 2), (3, [], 0.0, 0.0, 1.0, 1.0, 2, 2), (4, None, 0.0, 0.0, 1.0, 1.0, 2, 2)]
+    frame = spark.createDataFrame(rows, "id int, v array<double>, w double, s double, e double, n double, to_w int, to_h int")
+    box = F.struct("w", "s", "e", "n")
+    one = {r["id"]: r["z"] for r in frame.where("id <> 2").select("id", raster.reproject(F.col("v"), 2, box, F.col("to_w"), F.col("to_h")).alias("z")).collect()}
+    assert one[1][0] == pytest.approx(2.5, abs=1e-3) and one[3] == [] and one[4] == []
+    two = frame.where("id = 2").select(raster.reproject(F.col("v"), 3, box, F.col("to_w"), F.col("to_h")).alias("z")).first()["z"]
+    assert len(two) == 8 and two.count(0.0) == 4 and all(x == pytest.approx(5.0) for x in two if x)
