@@ -96,7 +96,7 @@ def test_ownership_on_a_whole_table_equals_brute_force(spark):
     planted = [(-1 - i, f"see {rng.choice(values)} and {rng.choice(values)} é {rng.choice(values)}", rng.choice(["s1", "s2", "s3", "s4", None])) for i in range(60)]
     frame = spark.read.parquet(str(DATA / "sf0.01/documents.parquet")).select("doc_id", "text", "source").union(spark.createDataFrame(planted, "doc_id long, text string, source string"))
     docs = frame.collect()
-    found, owners = {}, collections.defaultdict(set)
+    found, owners, repositories = {}, collections.defaultdict(set), collections.defaultdict(set)
     for r in docs:
         text = r["text"] or ""
         spans = [(0, m.start(), m.end(), m[2]) for m in secrets.ASSIGN.finditer(text) if len(m[2]) >= 12]
@@ -110,13 +110,15 @@ def test_ownership_on_a_whole_table_equals_brute_force(spark):
         found[r["doc_id"]] = spans
         for *_, v in spans:
             owners[v].add(r["source"])
-    assert {len(owners[v]) > secrets.MOST_OWNERS for spans in found.values() for k, *_, v in spans if k == 3} == {True, False}
+            repositories[v].add((r["source"], r["doc_id"]))
+    copied = {v for v in owners if len(owners[v]) > secrets.MOST_OWNERS and len(repositories[v]) > secrets.MOST_REPOSITORIES}
+    assert {v in copied for spans in found.values() for k, *_, v in spans if k == 3} == {True, False}
     got = {r["doc_id"]: r for r in secrets.find_secrets(frame).collect()}
     for d, spans in found.items():
-        kept = sorted((a, k, b) for k, a, b, v in spans if k < 3 or len(owners[v]) <= secrets.MOST_OWNERS)
+        kept = sorted((a, k, b) for k, a, b, v in spans if k < 3 or v not in copied)
         base = sorted((a, k, b) for k, a, b, _ in spans if k < 3)
         assert ([tuple(s) for s in got[d]["spans"]], [tuple(s) for s in got[d]["base_spans"]]) == (kept, base)
-        assert got[d]["n_copied"] == sum(k < 3 and len(owners[v]) > secrets.MOST_OWNERS for k, _, _, v in spans)
+        assert got[d]["n_copied"] == sum(k < 3 and v in copied for k, _, _, v in spans)
 
 
 def test_fences_of_language_and_source_decide(spark):
