@@ -12,7 +12,7 @@ a known bound: a match leaves its task if that error could hide it among the nea
 that are left meet the original vectors for their exact scores.
 
 The matches of each length come from counts of prefixes, so no task sees a whole tree. Cells with
-many vectors are cut by a hash. Of equal vectors only the first by id can be among the nearest, so
+many vectors or many queries are cut by hashes, and each part of the ones meets each of the others. Of equal vectors only the first by id can be among the nearest, so
 no more of them than results enter the forest; equal queries are searched once.
 """
 
@@ -33,8 +33,8 @@ TREES, BITS, SEED = 24, 30, 5
 #: Matches wanted in all trees together: a number, and a share of all vectors beyond it. Vectors without
 #: any structure need this much for a recall of 0.9; where neighbours stand out, a small share does.
 MATCHES, SHARE = 4000, 0.45
-#: Vectors of a cell that one task takes.
-CELL_ROWS = 8192
+#: Vectors and queries of a cell that one group takes.
+CELL_ROWS, CELL_QUERIES = 8192, 4096
 
 
 def clean(vectors: DataFrame, vector: str) -> DataFrame:
@@ -122,7 +122,7 @@ def _search(bits: int, most: int):
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = NEAREST, trees: int = TREES, bits: int = BITS, matches: int = MATCHES, share: float = SHARE, cell_rows: int = CELL_ROWS, seed: int = SEED
+    vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = NEAREST, trees: int = TREES, bits: int = BITS, matches: int = MATCHES, share: float = SHARE, cell_rows: int = CELL_ROWS, cell_queries: int = CELL_QUERIES, seed: int = SEED
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products found for each query, its own row left out.
 
@@ -131,10 +131,10 @@ def nearest(
     An empty table, or one without other vectors, gives no rows. Rows that repeat an id are one
     candidate. Ids are longs.
     """
-    return settle(vectors.sparkSession, lambda: _nearest(vectors, queries, key, vector, k, trees, bits, matches, share, cell_rows, seed))
+    return settle(vectors.sparkSession, lambda: _nearest(vectors, queries, key, vector, k, trees, bits, matches, share, cell_rows, cell_queries, seed))
 
 
-def _nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, trees: int, bits: int, matches: int, share: float, cell_rows: int, seed: int) -> DataFrame:
+def _nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, trees: int, bits: int, matches: int, share: float, cell_rows: int, cell_queries: int, seed: int) -> DataFrame:
     usable = clean(vectors.where(F.col(key).isNotNull()), vector).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     lengths = usable.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("longest")).orderBy(F.desc("n"), F.desc("dim")).first()
@@ -161,25 +161,28 @@ def _nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: i
     depths = matched.where(F.col("matches") >= F.least(F.lit(wanted), F.lit(float(trees * n)))).groupBy("id").agg(F.max("depth").alias("depth"))
 
     # cells of the first ``level`` bits, large ones in parts; a query that ascended further visits more cells
-    parts = small(counts.where(F.col("depth") == level).select(F.col("tree").alias("of_tree"), F.col("prefix").alias("of_cell"), F.ceil(F.col("n") / cell_rows).alias("parts")), 200_000)
-    in_cell = (F.col("tree") == F.col("of_tree")) & (F.col("cell") == F.col("of_cell"))
-    placed = (
-        points.select("id", "code", "unit", F.posexplode("keys").alias("tree", "key"))
-        .withColumn("cell", F.expr(f"shiftright(key, {bits - level})"))
-        .join(parts, in_cell)
-        .select("tree", "cell", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "id", "key", F.lit(-1).alias("depth"), "code", "unit")
-    )
     up = f"greatest(0, {level} - depth)"
-    visits = (
+    calls = (
         searched.join(depths, "id")
         .select("id", "code", "unit", "depth", F.posexplode("keys").alias("tree", "key"))
         .withColumn("below", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"shiftleft(1L, {up}) - 1"))))
         .withColumn("cell", F.expr(f"shiftleft(shiftright(key, {bits - level} + {up}), {up}) + below"))
-        .join(parts, in_cell)
-        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .select("tree", "cell", "part", "id", "key", "depth", "code", "unit")
     )
-    found = placed.unionByName(visits).groupBy("tree", "cell", "part").applyInArrow(_search(bits, k + 1), "query long, vec_id long, rough double, slack double")
+    called = calls.groupBy("tree", "cell").agg(F.count(F.lit(1)).alias("calls"))
+    held = counts.where(F.col("depth") == level).select("tree", F.col("prefix").alias("cell"), F.ceil(F.col("n") / cell_rows).alias("parts"))
+    cells = held.join(called, ["tree", "cell"]).select(F.col("tree").alias("of_tree"), F.col("cell").alias("of_cell"), "parts", F.ceil(F.col("calls") / cell_queries).alias("sides"))
+    cells = small(materialize(cells), 200_000)
+    in_cell = (F.col("tree") == F.col("of_tree")) & (F.col("cell") == F.col("of_cell"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one_of = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    placed = (
+        points.select("id", "code", "unit", F.posexplode("keys").alias("tree", "key"))
+        .withColumn("cell", F.expr(f"shiftright(key, {bits - level})"))
+        .join(cells, in_cell)
+        .select("tree", "cell", one_of("parts").alias("part"), each("sides").alias("side"), "id", "key", F.lit(-1).alias("depth"), "code", "unit")
+    )
+    visits = calls.join(cells, in_cell).select("tree", "cell", each("parts").alias("part"), one_of("sides").alias("side"), "id", "key", "depth", "code", "unit")
+    found = placed.unionByName(visits).groupBy("tree", "cell", "part", "side").applyInArrow(_search(bits, k + 1), "query long, vec_id long, rough double, slack double")
     # one row for each match, those that can still be among the nearest, then their exact scores
     once = found.groupBy("query", "vec_id").agg(F.max("rough").alias("rough"), F.max("slack").alias("slack"))
     sure = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.col("rough") - F.col("slack"))))

@@ -39,7 +39,7 @@ def test_nearest_with_copies_and_odd_vectors(spark):
     frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("tree", F.lit("mine"))
     want = brute({i: np.array(v) for i, v in rows}, {i: np.array(v) for i, v in rows if i % 20 == 0}, 5)
     got = collections.defaultdict(list)
-    for r in forest.nearest(frame, frame.where("vec_id % 20 = 0"), k=5, share=24.0, cell_rows=16).orderBy("query_id", "rank").collect():
+    for r in forest.nearest(frame, frame.where("vec_id % 20 = 0"), k=5, share=24.0, cell_rows=16, cell_queries=1).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append(r["vec_id"])
     assert dict(got) == {q: [i for i, _ in v] for q, v in want.items()}
     assert forest.nearest(frame.limit(0), frame.limit(0)).count() == 0
