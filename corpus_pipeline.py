@@ -21,7 +21,10 @@ def _boxed(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality rules reject, null and empty texts among them; repeated rows stay or go together."""
+    """Drops the documents that the quality rules reject, null and empty texts among them; repeated rows stay or go together.
+
+    An empty table stays empty. Columns of any name stay: the operator sees the three that it needs beside the whole document.
+    """
     return quality.judge(_boxed(docs, "text", "lang", "source"), keep_text=False).where("kept").select("document.*")
 
 
@@ -30,6 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that repeat an id are judged by their own text; of rows that repeat id and text one stays. Of
     the documents without an id in a group one stays as well. Those without words link with nothing.
+    An empty table stays empty, and columns of any name stay.
     """
     row = F.xxhash64("doc_id", "text")
 
@@ -46,7 +50,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the kind of a secret in its place; n_chars follows where there is one. A null or empty text stays; repeated rows are cut alike."""
+    """Puts the kind of a secret in its place; n_chars follows where there is one. A null or empty text stays; repeated rows are cut alike.
+
+    An empty table stays empty. Columns of any name stay as they are, but for text and n_chars.
+    """
     cut = secrets.redact(secrets.find_secrets(_boxed(docs, "doc_id", "text", "source")))
     document = F.col("document").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
@@ -55,7 +62,12 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it. Sizes and keys are dealt by source, documents stay where they are."""
+    """Repeats each document as often as the mix takes it. Sizes and keys are dealt by source, documents stay where they are.
+
+    Null and empty texts have no words and are never taken. A null source is one of its own. Repeated
+    rows share their draws and are taken alike, as far as the last budget goes. An empty table stays
+    empty, and columns of any name stay.
+    """
     sizes = mixing.with_draws(docs.select("doc_id", "text", "source")).select("source", "size", "weight", "draw")
     cuts = mixing.cutoffs(mixing.mix_sources(materialize(sizes)))
     drawn = mixing.with_draws(_boxed(docs, "doc_id", "text", "source")).drop("text")
