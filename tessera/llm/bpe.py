@@ -267,7 +267,7 @@ def encode(text: Column, path: str = RANKS, pattern: str = PATTERN, most_chars:
 
 
 def decode(ids: Column, path: str = RANKS, pattern: str = PATTERN) -> Column:
-    """The bytes of a list of ids; null and empty lists give no bytes, repeated rows equal ones."""
+    """The bytes of a list of ids; null and empty lists give no bytes, repeated rows equal ones; an empty table stays empty."""
     bound_batches(SparkSession.active())
 
     @F.arrow_udf(BinaryType())

@@ -120,7 +120,11 @@ def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def redact(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
-    """Puts ``[kind]`` in the place of every span (of spans that overlap, one for all)."""
+    """Puts ``[kind]`` in the place of every span (of spans that overlap, one for all).
+
+    A null text, and one without spans, stays as it is; null spans are none. Repeated rows are cut alike,
+    an empty table stays empty, and no other column is touched.
+    """
     return docs.withColumn(text, _cut(F.col(text), F.col(spans)))
 
 
@@ -129,8 +133,8 @@ def find_secrets(docs: DataFrame, text: str = "text", repository: str = "doc_id"
 
     A span is (start, kind, end) in code points, end exclusive, kind an index into ``KINDS``; n_copied
     counts the base spans whose value is too widely held to look live. A null text counts as empty,
-    a null owner or repository as one of its own. Repeated rows get the same spans. An empty table
-    gives an empty table. Other columns stay, but for those named as a result or ``secret_*``.
+    a null owner or repository as one of its own. Repeated rows get the same spans. A very long text is
+    scanned whole, in time about in proportion to it. An empty table gives an empty table. Other columns stay, but for those named as a result or ``secret_*``.
 
     ``docs`` is read twice, once for the scan, whose findings are written, and once to meet them.
     """
