@@ -27,8 +27,11 @@ GROUPS = 8
 
 @dataclass(frozen=True)
 class Settings:
+    """How to train. A batch has about ``batch`` chips, more where an epoch would have more than ``most_batches`` of them: each is a round through the driver."""
+
     epochs: int = 3
     batch: int = 64
+    most_batches: int = 20
     hidden: int = 8
     rate: float = 0.02
     seed: int = 0
@@ -180,14 +183,14 @@ def load(spark: SparkSession, path: str) -> State | None:
 def train(chips: DataFrame, validation: DataFrame | None, side: int, path: str, settings: Settings = Settings(), key: str = "vec_id") -> State:  # noqa: B008
     """Trains on chips (key, px) for the settings' epochs and returns the state; ``path`` is the run's folder, which all executors see.
 
-    A batch is what a hash of key, seed and epoch makes of it: about ``batch`` chips. Batches of an
+    A batch is what a hash of key, seed and epoch makes of it. Batches of an
     epoch are written side by side, so a batch reads its own chips only. An epoch is better if its
     validation IoU is larger than all before; without validation the last epoch is the best. A folder
     with epochs of an earlier run is gone on with; to begin anew takes another folder.
     """
     spark = chips.sparkSession
     state = load(spark, path) or start(settings)
-    batches = max(1, math.ceil(chips.count() / settings.batch))
+    batches = max(1, min(settings.most_batches, math.ceil(chips.count() / settings.batch)))
     for epoch in range(len(state.history) + 1, settings.epochs + 1):
         own = F.pmod(F.xxhash64(F.col(key), F.lit(settings.seed), F.lit(epoch)), F.lit(batches)).cast("int")
         dealt = f"{path}/batches"
