@@ -12,6 +12,8 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.kernels import bound_batches as bound_batches
+
 #: A word of a text; ASCII white space separates words and nothing else does.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,18 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
-    """Bounds the Arrow batches that this session hands to Python workers, unless they are bounded more tightly.
-
-    A batch, what is made of it and its reply are in memory at once in every worker of an executor, and
-    ten thousand texts have no bound. A single row is never cut.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    found = spark.conf.get(name).lower().removesuffix("b")
-    if not found.isdigit() or not 0 < int(found) <= most_bytes:
-        spark.conf.set(name, str(most_bytes))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: ``spark.checkpoint.dir``; on one machine, where it is unset, a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)

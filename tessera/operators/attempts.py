@@ -35,10 +35,13 @@ class _Attempts:
 
 
 class _Geometries:
-    def eval(self, feature: str, elements: list) -> Iterator[tuple]:
-        """The ways of a feature among the elements of a payload, with their kind; a KeyError names an unknown feature."""
+    def eval(self, feature: str, elements: list, nth: list | None = None) -> Iterator[tuple]:
+        """The ways of a feature among the elements of a payload, with their kind; a KeyError names an unknown feature.
+
+        ``nth`` tells the positions of the elements where these are a part of a payload.
+        """
         spec: FeatureSpec = FEATURES[feature]
-        for ord_, e in enumerate(elements or []):
+        for ord_, e in zip(nth or range(len(elements or [])), elements or [], strict=True):
             if e is None or e["type"] != "way" or not spec.holds(e["tags"] or {}):
                 continue
             line = [(p["lon"], p["lat"]) for p in e["geometry"] or []]
@@ -47,7 +50,7 @@ class _Geometries:
 
 
 attempts = udtf(_Attempts, returnType="rank int, id string, href string, reason string", useArrow=True)
-geometries = udtf(_Geometries, returnType="ord int, kind string, line array<array<double>>, tags map<string,string>", useArrow=True)
+geometries = udtf(_Geometries, returnType="ord long, kind string, line array<array<double>>, tags map<string,string>", useArrow=True)
 
 
 def tried(candidates: DataFrame) -> DataFrame:

@@ -10,6 +10,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+
+def bound_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+    """Bounds the Arrow batches that this session hands to Python workers, unless they are bounded more tightly.
+
+    A batch, what is made of it and its reply are in memory at once in every worker of an executor, and
+    ten thousand rows have no bound. A single row is never cut.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = spark.conf.get(name).lower().removesuffix("b")
+    if not found.isdigit() or not 0 < int(found) <= most_bytes:
+        spark.conf.set(name, str(most_bytes))
 
 
 def dense(arrays: pa.Array, dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:

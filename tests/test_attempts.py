@@ -1,10 +1,12 @@
 """Candidates tried one after the other, geometries of features, and what fails."""
 
 import pytest
+from compare import check
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tessera.operators import attempts, catalogue
+from tessera.plans import catalogue as plans
 
 ROWS = [(1, 1, "a", "u/a", 1, ["uint8"]), (1, 2, "b", "u/b", 3, ["uint8"] * 3), (1, 3, "c", "u/c", 3, ["uint8"] * 3), (2, 1, "d", "u/d", 4, ["uint8", "uint8", "float32", "uint8"]), (2, 2, "e", "u/e", None, None), (3, 1, "f", None, 5, ["uint8"] * 3 + ["float32"])]
 SCHEMA = "aoi_index long, rank int, id string, href string, bands int, dtypes array<string>"
@@ -38,6 +40,22 @@ def test_geometries_of_a_spec(spark):
         rows("volcano")
 
 
+def test_geometries_of_a_part_of_a_payload_keep_their_positions(spark):
+    way = ("way", [{"lon": 0.0, "lat": 0.0}, {"lon": 1.0, "lat": 0.0}], {"building": "yes"})
+    frame = spark.createDataFrame([([way, way], [5, 9_000_000_000]), ([], [])], "elements array<struct<type:string,geometry:array<struct<lon:double,lat:double>>,tags:map<string,string>>>, nth array<long>")
+    got = frame.lateralJoin(attempts.geometries(F.lit("building"), F.col("elements").outer(), F.col("nth").outer())).collect()
+    assert [r["ord"] for r in got] == [5, 9_000_000_000]
+
+
+def test_payloads_are_dealt_by_pages(spark, monkeypatch):
+    seen = []
+    geometries = attempts.geometries
+    monkeypatch.setattr(plans, "PAGE_IDS", 250)
+    monkeypatch.setattr(plans.attempts, "geometries", lambda *args: seen.append(len(args)) or geometries(*args))
+    check(spark, plans.feature_geometries, plans.SQL["feature_geometries"], "sf0.01")
+    assert seen == [3] and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().removesuffix("b")) <= 4 << 20
+
+
 def test_specs_agree_as_columns_and_in_python(spark):
     tags = [{"building": "x"}, {"leisure": "park"}, {"leisure": "pitch", "landuse": "recreation_ground"}, {"amenity": "parking"}, {"parking": "lane"}, {"highway": "footway"}, {"highway": "trunk"}, {}]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(tags)], "i int, tags map<string,string>")
