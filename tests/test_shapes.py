@@ -4,8 +4,9 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators import kernels, shapes
+from tessera.operators import geometry, kernels, shapes
 
 
 def signed(ring):
@@ -139,6 +140,37 @@ def test_a_loop_has_a_hole_and_a_straight_line_none():
     assert shapes.union(shapes.strip(np.zeros((3, 2)), 1.0)) == (0.0, []) and shapes.strip(loop, 0.0) == []
 
 
+def test_many_unions_at_once_equal_each_by_itself():
+    rng = np.random.default_rng(5)
+    lines = [rng.integers(0, 5, (int(n), 2)).astype(float) for n in rng.integers(0, 7, 300)]
+    strips = [shapes.strip(line, 0.2) for line in lines]
+    area, rings, of = shapes.unions([p for s in strips for p in s], np.repeat(np.arange(300), [len(s) for s in strips]), 300)
+    assert (np.diff(of) >= 0).all()
+    for k, s in enumerate(strips):
+        alone, own = shapes.union(s)
+        found = [r for r, shape in zip(rings, of, strict=True) if shape == k]
+        assert area[k] == pytest.approx(alone, rel=1e-12) and len(found) == len(own) and all(np.array_equal(a, b) for a, b in zip(found, own, strict=True))
+
+
+def test_many_unions_at_once_are_quick():
+    strips = [shapes.strip(np.array([[float(i % 3 + k % 7), float(i)] for i in range(3)]), 0.1) for k in range(400)]
+    began = time.perf_counter()
+    each = [shapes.union(s)[0] for s in strips]
+    between = time.perf_counter()
+    area, rings, _ = shapes.unions([p for s in strips for p in s], np.repeat(np.arange(400), [len(s) for s in strips]), 400)
+    assert time.perf_counter() - between < (between - began) / 2 and len(rings) == 400 and area.tolist() == pytest.approx(each)
+
+
+def test_buffers_of_many_batches(spark):
+    lines = [[[float(i % 3 + k % 7), float(i)] for i in range(5)] for k in range(600)] + [None, []]  # more corners than are united at once
+    frame = spark.createDataFrame([(k, line) for k, line in enumerate(lines)], "k int, line array<array<double>>").coalesce(1)
+    got = [r["b"] for r in frame.select("k", geometry.buffer_shape(F.col("line"), F.lit(0.1)).alias("b")).orderBy("k").collect()]
+    assert [len(b["rings"]) for b in got] == [1] * 600 + [0, 0] and got[-1]["area"] == got[-2]["area"] == 0
+    for k in (0, 1, 272, 273, 599):
+        area, rings = shapes.union(shapes.strip(np.array(lines[k]), 0.1))
+        assert got[k]["area"] == pytest.approx(area, rel=1e-12) and got[k]["rings"] == [r.tolist() for r in rings]
+
+
 def test_long_lines_are_quick():
     t = np.linspace(0, 60, 600)
     line = np.column_stack([t * np.cos(t), t * np.sin(t)])
