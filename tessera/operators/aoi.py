@@ -11,6 +11,8 @@ from tessera.functions.figures import figure, told
 MIN_VALID_FRACTION, FULL_VALID_FRACTION = 0.5, 1.0
 DENSITY_LOW, DENSITY_HIGH = 100.0, 2000.0
 MIN_DISTANCE_M = 200.0
+#: Areas of one place that go together into pairs with those of another.
+RUN = 1024
 #: The texts of reasons and warnings.
 LOW_VALID = "valid_pixel_fraction %s < threshold %s"
 FEW_POLYGONS = "polygon_count %s < feature.min_positive_polygon_count %s"
@@ -33,24 +35,45 @@ def split(aois: DataFrame, recipe: str, val_regions: tuple[str, ...] = ()) -> Da
     return aois.join(facts, F.col(recipe) == F.col("of_recipe")).withColumn("split", F.when(explicit | last, "val").otherwise("train")).drop("of_recipe", "any_val", "n_aois", "last")
 
 
-def close_pairs(train: DataFrame, val: DataFrame, max_m: float = MIN_DISTANCE_M, by: tuple[str, ...] = ()) -> DataFrame:
-    """(train, val, metres, by...) of pairs closer than ``max_m`` that agree in ``by``; inputs are (aoi_index, lon, lat, by...).
+def close_places(train: DataFrame, val: DataFrame, max_m: float = MIN_DISTANCE_M, by: tuple[str, ...] = ()) -> DataFrame:
+    """(lon, lat, n, val_lon, val_lat, val_n, metres, by...) of places closer than ``max_m`` that agree in ``by``, with the areas at each; inputs are (lon, lat, by...).
 
-    Both sides are dealt by cells as wide as the distance, a val area to its own and all eight cells
+    Both sides are dealt by cells as wide as the distance, a val place to its own and all eight cells
     around, so that pairs meet by equality. Cells widen with the latitude (of the cell's row, towards
-    the pole), and those of one row are counted from the west. A val area is dealt on the other side of the
+    the pole), and those of one row are counted from the west. A val place is dealt on the other side of the
     180th meridian as well.
     """
     d_lat = max_m / (geo.EARTH_M * 3.14159265358979 / 180)
     row = lambda lat: F.floor(lat / d_lat)
     width = lambda r: d_lat / F.greatest(F.lit(1e-6), F.cos(F.radians(F.least(F.lit(89.9), (F.abs(r) + 2) * d_lat))))
-    left = train.withColumn("r", row(F.col("lat"))).withColumn("c", F.floor(F.col("lon") / width(F.col("r"))))
+    place = lambda rows: rows.groupBy("lon", "lat", *by).agg(F.count(F.lit(1)).alias("n"))
+    left = place(train).withColumn("r", row(F.col("lat"))).withColumn("c", F.floor(F.col("lon") / width(F.col("r"))))
     near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    right = val.select("aoi_index", "lon", "lat", *by).withColumn("x", F.explode(F.array(*[F.col("lon") + d for d in (-360.0, 0.0, 360.0)]))).where(F.abs("x") <= 270)
+    right = place(val).withColumn("x", F.explode(F.array(*[F.col("lon") + d for d in (-360.0, 0.0, 360.0)]))).where(F.abs("x") <= 270)
     right = right.withColumn("dr", near).withColumn("r", row(F.col("lat")) + F.col("dr")).withColumn("dc", near).withColumn("c", F.floor(F.col("x") / width(F.col("r"))) + F.col("dc"))
-    right = right.select(F.col("aoi_index").alias("val"), F.col("lon").alias("val_lon"), F.col("lat").alias("val_lat"), "r", "c", *by)
+    right = right.select(F.col("lon").alias("val_lon"), F.col("lat").alias("val_lat"), F.col("n").alias("val_n"), "r", "c", *by)
     metres = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("val_lon"), F.col("val_lat"))
-    return left.join(right, ["r", "c", *by]).select(F.col("aoi_index").alias("train"), "val", metres.alias("metres"), *by).where(F.col("metres") < max_m)
+    return left.join(right, ["r", "c", *by]).select("lon", "lat", "n", "val_lon", "val_lat", "val_n", metres.alias("metres"), *by).where(F.col("metres") < max_m)
+
+
+def close_pairs(train: DataFrame, val: DataFrame, max_m: float = MIN_DISTANCE_M, by: tuple[str, ...] = (), digits: int | None = None) -> DataFrame:
+    """(train, val, metres, by...) of pairs closer than ``max_m`` that agree in ``by``; inputs are (aoi_index, lon, lat, by...).
+
+    ``digits`` rounds the metres of the result. Places meet first (``close_places``), so that a distance is worked out once for all areas at two places. The areas
+    at a place come in runs of some ``RUN``; pairs of runs are dealt evenly and only then become pairs of areas.
+    """
+
+    def runs(rows: DataFrame, name: str) -> DataFrame:
+        at = ["lon", "lat", *by]
+        n = rows.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / RUN).alias("n_runs"))
+        run = F.when(F.col("n_runs") > 1, F.pmod(F.xxhash64("aoi_index"), F.col("n_runs"))).otherwise(0)
+        return rows.join(n, at).groupBy(*at, run.alias("run")).agg(F.collect_list("aoi_index").alias(name)).drop("run")
+
+    places = close_places(train, val, max_m, by).withColumn("metres", F.col("metres") if digits is None else F.round("metres", digits))
+    met = places.drop("n", "val_n").join(runs(train, "trains"), ["lon", "lat", *by]).drop("lon", "lat")
+    met = met.join(runs(val, "vals").withColumnsRenamed({"lon": "val_lon", "lat": "val_lat"}), ["val_lon", "val_lat", *by]).select("trains", "vals", "metres", *by)
+    dealt = met.repartition(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.select(F.explode("trains").alias("train"), "vals", "metres", *by).select("train", F.explode("vals").alias("val"), "metres", *by)
 
 
 def soft_valid(v: Column) -> Column:

@@ -57,14 +57,14 @@ def _centres(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def train_val_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _centres(spark, sf_dir)
-    return A.close_pairs(at.where(~F.col("holdout")), at.where("holdout")).withColumn("metres", F.round("metres", 3))
+    return A.close_pairs(at.where(~F.col("holdout")), at.where("holdout"), digits=3)
 
 
 def recipe_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors and warnings of each recipe: mixed phenotypes, areas without one beside those with one, and train areas too close to val areas."""
     at = _centres(spark, sf_dir)
-    pairs = A.close_pairs(at.where(~F.col("holdout")), at.where("holdout"), by=("recipe",))
-    leaks = pairs.groupBy("recipe").agg(F.count(F.lit(1)).alias("leaks"))
+    places = A.close_places(at.where(~F.col("holdout")), at.where("holdout"), by=("recipe",))
+    leaks = places.groupBy("recipe").agg(F.sum(F.col("n") * F.col("val_n")).alias("leaks"))
     kind = F.nullif(F.col("phenotype"), F.lit(""))
     found = catalogue(spark, sf_dir).groupBy("recipe").agg(F.count_distinct(kind).alias("kinds"), F.min(kind).alias("one"), F.bool_or(F.col("phenotype") == "").alias("untagged"))
     joined = found.join(leaks, "recipe", "left").withColumn("leaks", F.coalesce("leaks", F.lit(0)))

@@ -182,6 +182,19 @@ def test_close_pairs_equal_brute_force(spark):
     assert got == {(r["aoi_index"], r["v"]) for r in cross.collect()} and got
 
 
+def test_areas_at_one_place_meet_by_runs(spark, monkeypatch):
+    monkeypatch.setattr(aoi, "RUN", 4)
+    points = [(i, 10 + i % 3 * 0.001, 45.0 + i % 2 * 0.001, "ab"[i % 5 == 0]) for i in range(120)] + [(500, None, 45.0, "a"), (501, 10.0, None, "a")]
+    frame = spark.createDataFrame(points, "aoi_index int, lon double, lat double, recipe string")
+    train, val = frame.where("aoi_index % 4 <> 0"), frame.where("aoi_index % 4 = 0")
+    metres = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("vlon"), F.col("vlat"))
+    cross = train.crossJoin(val.toDF("v", "vlon", "vlat", "vrecipe")).where((metres < 200) & (F.col("recipe") == F.col("vrecipe")))
+    want = sorted((r["aoi_index"], r["v"], r["m"], r["recipe"]) for r in cross.withColumn("m", F.round(metres, 3)).collect())
+    assert sorted(map(tuple, aoi.close_pairs(train, val, by=("recipe",), digits=3).select("train", "val", "metres", "recipe").collect())) == want
+    places = aoi.close_places(train, val, by=("recipe",))
+    assert places.selectExpr("sum(n * val_n)").first()[0] == len(want) > 10 * places.count()
+
+
 def test_failed_imagery_is_the_only_reason(spark):
     facts = spark.createDataFrame([(0.0, 0.0, 0.01, 0.01, 0.2, 0, 0.0, 3, 0.05, 0.5, "timeout"), (0.0, 0.0, 0.01, 0.01, 1.0, 900, 0.2, 3, 0.05, 0.5, None)], "w double, s double, e double, n double, valid_fraction double, n_polygons int, pixel_fraction double, min_count int, min_fraction double, min_valid double, fetch_error string")
     bad, good = aoi.check(facts).orderBy("n_polygons").collect()
