@@ -25,6 +25,15 @@ def bound_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
         spark.conf.set(name, str(most_bytes))
 
 
+#: Rows of a batch that a kernel turns into its result at once.
+ROWS = 512
+
+
+def by_rows(fn: Callable[..., pa.Array], *columns: pa.Array) -> pa.Array:
+    """``fn`` over ``ROWS`` rows after the other, put together, so that what is made on the way doesn't grow with the batch."""
+    return pa.concat_arrays([fn(*(c.slice(k, ROWS) for c in columns)) for k in range(0, max(len(columns[0]), 1), ROWS)])
+
+
 def dense(arrays: pa.Array, dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, values) for each length: which rows of ``arrays`` have it, and their values as a matrix. Null arrays count as empty."""
     lengths = arrays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)

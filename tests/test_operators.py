@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geo, metrics
 from tessera.operators import aoi, calibration, catalogue, geometry, history, kernels, raster
+from tessera.plans import chips
 from tessera.plans.history import geojson_feature
 
 
@@ -195,6 +197,23 @@ def test_areas_at_one_place_meet_by_runs(spark, monkeypatch):
     assert places.selectExpr("sum(n * val_n)").first()[0] == len(want) > 10 * places.count()
 
 
+def test_kernels_take_some_rows_at_a_time(spark):
+    seen = []
+    found = kernels.by_rows(lambda a, b: seen.append(len(a)) or pa.array([x + y for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]), pa.array(range(kernels.ROWS * 2 + 1)), pa.array(range(kernels.ROWS * 2 + 1)))
+    assert seen == [kernels.ROWS, kernels.ROWS, 1] and found.to_pylist() == [2 * k for k in range(kernels.ROWS * 2 + 1)]
+    assert kernels.by_rows(lambda a: a, pa.array([], pa.int32())).to_pylist() == []
+    labelled = spark.createDataFrame([(k, [0, 0, -1, -1] if k % 2 else [-1, -1, -1, 3] if k % 3 else []) for k in range(1100)], "k int, label array<int>").coalesce(1)
+    sizes = {r["k"]: len(r["s"]) for r in labelled.select("k", geometry.polygons(F.col("label"), 2).alias("s")).collect()}
+    assert sizes == {k: int(k % 2 or k % 3 != 0) for k in range(1100)}
+
+
+def test_chips_bound_the_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    chips.chips(spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get(name).lower().removesuffix("b")) <= 4 << 20
+
+
 def test_failed_imagery_is_the_only_reason(spark):
     facts = spark.createDataFrame([(0.0, 0.0, 0.01, 0.01, 0.2, 0, 0.0, 3, 0.05, 0.5, "timeout"), (0.0, 0.0, 0.01, 0.01, 1.0, 900, 0.2, 3, 0.05, 0.5, None)], "w double, s double, e double, n double, valid_fraction double, n_polygons int, pixel_fraction double, min_count int, min_fraction double, min_valid double, fetch_error string")
     bad, good = aoi.check(facts).orderBy("n_polygons").collect()
