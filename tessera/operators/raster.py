@@ -79,8 +79,7 @@ def component_counts(p: Column, target: Column, valid: Column, thresholds: tuple
     Counts are over valid pixels, sizes over all. Whatever is asked of any area filter is a sum over these.
     """
 
-    @F.arrow_udf("array<struct<ordinal:int,positives:int,components:array<struct<size:int,tp:int,fp:int>>>>")
-    def run(ps: pa.Array, targets: pa.Array, valids: pa.Array) -> pa.Array:
+    def some(ps: pa.Array, targets: pa.Array, valids: pa.Array) -> pa.Array:
         n, t = len(ps), len(thresholds)
         cell, numbers = [], []
         positives = np.zeros(n, np.int64)
@@ -104,6 +103,10 @@ def component_counts(p: Column, target: Column, valid: Column, thresholds: tuple
         cells = pa.StructArray.from_arrays([pa.array(np.tile(np.arange(t), n), _INTS), pa.array(np.repeat(positives, t), _INTS), components], ["ordinal", "positives", "components"])
         return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * t, pa.int32()), cells)
 
+    @F.arrow_udf("array<struct<ordinal:int,positives:int,components:array<struct<size:int,tp:int,fp:int>>>>")
+    def run(ps: pa.Array, targets: pa.Array, valids: pa.Array) -> pa.Array:
+        return K.by_rows(some, ps, targets, valids)
+
     return run(p, target, valid)
 
 
